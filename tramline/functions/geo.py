@@ -39,17 +39,25 @@ def nearest(segs: Column | str, lat: Column, lon: Column, cos_lat: Column) -> Co
     """
     per = CONFIG.metres_per_degree
 
-    def one(s: Column) -> Column:
-        ax, ay = (s["lon"] - lon) * cos_lat * per, (s["lat"] - lat) * per
-        dx, dy = (s["lon2"] - s["lon"]) * cos_lat * per, (s["lat2"] - s["lat"]) * per
-        size = dx * dx + dy * dy
-        t = F.when(size == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(-(ax * dx + ay * dy), size))))
-        x, y = ax + t * dx, ay + t * dy
+    # Each step is a pass of its own: what a lambda's struct holds is computed once, an expression is not.
+    def planar(s: Column) -> Column:
+        return F.struct(
+            s.alias("s"), ((s["lon"] - lon) * cos_lat * per).alias("ax"), ((s["lat"] - lat) * per).alias("ay"), ((s["lon2"] - s["lon"]) * cos_lat * per).alias("dx"), ((s["lat2"] - s["lat"]) * per).alias("dy")
+        )
+
+    def placed(g: Column) -> Column:
+        size = g["dx"] * g["dx"] + g["dy"] * g["dy"]
+        t = F.when(size == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(-(g["ax"] * g["dx"] + g["ay"] * g["dy"]), size))))
+        return F.struct(g.alias("g"), t.alias("t"))
+
+    def measured(h: Column) -> Column:
+        g, t, s = h["g"], h["t"], h["g"]["s"]
+        x, y = g["ax"] + t * g["dx"], g["ay"] + t * g["dy"]
         return F.struct(
             (x * x + y * y).alias("d2"), s["k"].alias("k"), (s["m"] + t * (s["m2"] - s["m"])).alias("along"), (s["lat"] + t * (s["lat2"] - s["lat"])).alias("lat"), (s["lon"] + t * (s["lon2"] - s["lon"])).alias("lon")
         )
 
-    return F.array_min(F.transform(as_column(segs), one))
+    return F.array_min(F.transform(F.transform(F.transform(as_column(segs), planar), placed), measured))
 
 
 def near(segs: Column | str, hint: Column, window: float) -> Column:
@@ -65,7 +73,8 @@ def near(segs: Column | str, hint: Column, window: float) -> Column:
 def with_projection(rows, lat: str = "latitude", lon: str = "longitude", segs: str = "segments", prefix: str = ""):
     """rows with distanceAlongRouteMetres, crossTrackMetres, segmentIndex, snappedLatitude, snappedLongitude."""
     p = prefix
-    near_ = rows.withColumn("_cos", F.cos(F.radians(lat))).withColumn("_n", nearest(segs, F.col(lat), F.col(lon), F.col("_cos")))
+    # generated, so that no filter or field pulls the search into itself and repeats it
+    near_ = rows.withColumn("_cos", F.cos(F.radians(lat))).withColumn("_n", F.explode(F.array(nearest(segs, F.col(lat), F.col(lon), F.col("_cos")))))
     return near_.withColumns(
         {
             f"{p}distanceAlongRouteMetres": F.col("_n.along"),

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.config import CONFIG
-from tramline.functions import geo, times
+from tramline.functions import times
 from tramline.functions.status import from_ratio
-from tramline.operators import gaps, resolve, schedule
+from tramline.operators import gaps, resolve, schedule, snap
 from tramline.schema import RECORD
 
 KEYS = ["windowStart", "windowEnd", "headwayGroup", "routeShortName", "routeLongName", "directionId"]
@@ -17,9 +17,8 @@ KEYS = ["windowStart", "windowEnd", "headwayGroup", "routeShortName", "routeLong
 def project(pings: DataFrame, trips: DataFrame, shapes: DataFrame, routes: DataFrame) -> DataFrame:
     """Resolved pings with their place along the trip's shape; pings too far from it are left out, as are those without vehicle, trip or position."""
     known = resolve.resolve(pings.filter("vehicleId is not null and tripId is not null"), trips, shapes, routes)
-    lines = resolve.small_side(resolve.polylines(shapes).select(F.col("shapeId").alias("_shape"), "segments"), resolve.MAX_SHAPES)
-    placed = geo.with_projection(known.join(lines, F.col("tripShape") == F.col("_shape")).drop("_shape"))
-    return placed.filter(F.col("crossTrackMetres") <= CONFIG.max_cross_track_m)
+    placed = snap.snap(known, resolve.polylines(shapes))
+    return placed.filter(F.col("crossTrackMetres") <= CONFIG.max_cross_track_m)  # null and NaN are no distances
 
 
 def windowed(projected: DataFrame) -> DataFrame:
