@@ -58,21 +58,21 @@ def assemble(points: DataFrame) -> DataFrame:
     return got.select("shapeId", segments(F.col("pts")).alias("segments"), F.element_at("pts", -1)["m"].alias("shapeLengthMetres"), F.size("pts").alias("pointCount"))
 
 
-def contexts(trips: DataFrame, shapes: DataFrame, routes: DataFrame) -> DataFrame:
+def contexts(trips: DataFrame, shapes: DataFrame, routes: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """(tripId, shapeId, serviceId, directionId, static route columns, shapeLengthMetres): trips that have a shape; the route may be missing."""
     r = routes.select("routeId", "shortName", "longName")
-    lengths = polylines(shapes).select("shapeId", "shapeLengthMetres")
+    lengths = (polylines(shapes) if lines is None else lines).select("shapeId", "shapeLengthMetres")
     return usable_trips(trips).join(lengths, "shapeId").join(r, "routeId", "left")
 
 
-def resolve(pings: DataFrame, trips: DataFrame, shapes: DataFrame, routes: DataFrame) -> DataFrame:
+def resolve(pings: DataFrame, trips: DataFrame, shapes: DataFrame, routes: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """pings with headwayGroup, routeShortName, routeLongName, tripDirection, tripShape, shapeLengthMetres.
 
     The trip's own route counts; if the feed lacks it, the route whose short name the ping carries. Pings whose
     trip, shape or route can't be found are left out. Dimension tables are broadcast only below a counted size.
     """
     by_name = first_by_short_name(routes, "routeId").select(F.col("shortName").alias("_short"), F.col("longName").alias("_long"))
-    ctx = contexts(trips, shapes, routes).select(
+    ctx = contexts(trips, shapes, routes, lines).select(
         F.col("tripId").alias("_trip"), F.col("shapeId").alias("tripShape"), F.col("directionId").alias("tripDirection"), F.col("shortName").alias("_s1"), F.col("longName").alias("_l1"), "shapeLengthMetres"
     )
     found = pings.join(small_side(ctx, MAX_TRIPS), bare(pings["tripId"]) == F.col("_trip"))

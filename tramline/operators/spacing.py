@@ -16,8 +16,9 @@ KEYS = ["windowStart", "windowEnd", "headwayGroup", "routeShortName", "routeLong
 
 def project(pings: DataFrame, trips: DataFrame, shapes: DataFrame, routes: DataFrame) -> DataFrame:
     """Resolved pings with their place along the trip's shape; pings too far from it are left out, as are those without vehicle, trip or position."""
-    known = resolve.resolve(pings.filter("vehicleId is not null and tripId is not null"), trips, shapes, routes)
-    placed = snap.snap(known, resolve.polylines(shapes))
+    lines = resolve.polylines(shapes).persist()  # a static table that three steps read
+    known = resolve.resolve(pings.filter("vehicleId is not null and tripId is not null"), trips, shapes, routes, lines)
+    placed = snap.snap(known, lines)
     return placed.filter(F.col("crossTrackMetres") <= CONFIG.max_cross_track_m)  # null and NaN are no distances
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +28,30 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application; they may not have it on their path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tramline-"), "tramline-package.zip")  # the driver serves it from here
+    with zipfile.ZipFile(path, "w") as z:
+        for base, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(base, n)
+                    z.write(full, os.path.join("tramline", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def utc(spark: SparkSession) -> SparkSession:
-    """All times mean UTC; zone-free timestamps are read in the session's zone, so it must be UTC."""
+    """The session as every query needs it: all times mean UTC (zone-free timestamps are read in the session's
+    zone), and the workers have this package."""
+    ship(spark)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
