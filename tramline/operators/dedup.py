@@ -70,18 +70,14 @@ def first_deliveries(rows: DataFrame, producer: Column, number: Column, raw_prod
 def apply_batch(first: DataFrame, carry: list[str], seen: Seen | None = None) -> Applied:
     """Accept what `seen` doesn't cover of a batch reduced by first_deliveries, and merge it into `seen`."""
     first = first.withColumn("_block", floor_div(F.col("_number"), BLOCK))
-    good, odd = first.filter("_fine"), first.filter("not _fine")
     if seen is not None:
-        r = seen.ranges
-        good = good.join(
-            r, (good["_producer"] == r["producer"]) & (good["_block"] == r["block"]) & good["_number"].between(r["lo"], r["hi"]), "left_anti"
-        )
-        x = seen.exact
-        odd = odd.join(x, odd["_producer"].eqNullSafe(x["raw_producer"]) & odd["_raw"].eqNullSafe(x["raw_number"]), "left_anti")
-    new = good.select(F.col("_producer").alias("producer"), F.col("_block").alias("block"), F.col("_number").alias("lo"), F.col("_number").alias("hi"))
-    exact = odd.select(F.col("_producer").alias("raw_producer"), F.col("_raw").alias("raw_number"))
+        r, x = seen.ranges, seen.exact
+        first = first.join(r, (F.col("_producer") == r["producer"]) & (F.col("_block") == r["block"]) & F.col("_number").between(r["lo"], r["hi"]), "left_anti")
+        first = first.join(x, F.col("_producer").eqNullSafe(x["raw_producer"]) & F.col("_raw").eqNullSafe(x["raw_number"]) & ~F.col("_fine"), "left_anti")
+    new = first.filter("_fine").select(F.col("_producer").alias("producer"), F.col("_block").alias("block"), F.col("_number").alias("lo"), F.col("_number").alias("hi"))
+    exact = first.filter("not _fine").select(F.col("_producer").alias("raw_producer"), F.col("_raw").alias("raw_number"))
     ranges = merge_ranges(new if seen is None else new.unionByName(seen.ranges))
-    rows = good.unionByName(odd).select(*[F.col(f"_row.{c}").alias(c) for c in carry])
+    rows = first.select(*[F.col(f"_row.{c}").alias(c) for c in carry])
     return Applied(rows, Seen(ranges, exact if seen is None else exact.unionByName(seen.exact)))
 
 
@@ -98,13 +94,13 @@ def arrival_batches(pings: DataFrame, batches: int) -> list[DataFrame]:
     """The log cut into slices of arrival time of equal length; rows without one come in the first."""
     if batches < 2:
         return [pings]
-    at = micros("receivedAt")
-    lo, hi = pings.agg(F.min(at), F.max(at)).first()
+    lo, hi = pings.agg(F.min("receivedAt"), F.max("receivedAt")).first()
     if lo is None:
         return [pings]
-    edges = [lo + (hi - lo) * k // batches for k in range(1, batches)]
-    which = sum((F.when(at >= e, 1).otherwise(0) for e in edges), F.lit(0))
-    return [pings.filter(which == k) for k in range(batches)]
+    at = F.col("receivedAt")  # compared as it is, so that the slices reach the scan
+    edges = [F.lit(lo + (hi - lo) * k / batches) for k in range(1, batches)]
+    first = [at.isNull() | (at < edges[0])]
+    return [pings.filter(c) for c in first + [(at >= a) & (at < b) for a, b in zip(edges[:-1], edges[1:], strict=True)] + [at >= edges[-1]]]
 
 
 def replay(pings: DataFrame, batches: int = 2) -> Applied:
