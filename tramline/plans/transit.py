@@ -61,11 +61,10 @@ def consumer_loop(spark: SparkSession, d: str) -> DataFrame:
 @query("src_5", """SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT routeId) AS BIGINT) AS routes, CAST(sum(routeType) AS BIGINT) AS types, CAST(count(CASE WHEN longName LIKE '%,%' THEN 1 END) AS BIGINT) AS quoted FROM gtfs_routes""")
 def csv_scan(spark: SparkSession, d: str) -> DataFrame:
     """Routes written as CSV by header name (quoted commas, a missing column) and read back."""
-    import tempfile
-
+    from tramline.session import shared_folder
     from tramline.sources.gtfs import read_csv
 
-    out = tempfile.mkdtemp(prefix="tramline-csv-") if spark.sparkContext.master.startswith("local[") else f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/csv"
+    out = f"{shared_folder(spark)}/routes-csv"
     ROUTES(spark, d).select(F.col("routeId").alias("route_id"), F.col("longName").alias("route_long_name"), F.col("routeType").alias("route_type")).write.mode("overwrite").option("header", True).option("escape", '"').csv(out)
     r = read_csv(spark, out, ["route_id", "route_long_name", "route_type", "route_color"])
     return r.agg(F.count("*").alias("n"), F.count_distinct("route_id").alias("routes"), F.sum(times.lenient_int("route_type", 0)).alias("types"), F.count_if(F.col("route_long_name").contains(",")).alias("quoted"))

@@ -57,18 +57,19 @@ def utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared checkpoint folder and go on from the written rows.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; only where that is unset, as in a local test, a temporary folder."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return shared or os.path.join(tempfile.gettempdir(), "tramline-checkpoints")
+
 
-    The folder is the cluster's spark.checkpoint.dir; only where that is unset, as in a local test, a
-    temporary one is set.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Write df once to the shared checkpoint folder and go on from the written rows."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if shared is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "tramline-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

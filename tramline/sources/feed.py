@@ -103,6 +103,36 @@ def decode(message: bytes) -> list[dict]:
     return out
 
 
+def encode(pings: list[dict], header: int | None = None) -> bytes:
+    """The feed message of some pings, for replays; None and NaN fields are left out."""
+
+    def varint(x: int) -> bytes:
+        out = bytearray()
+        while x > 127:
+            out.append(x & 127 | 128)
+            x >>= 7
+        return bytes(out) + bytes([x])
+
+    def put(number: int, value) -> bytes:
+        if value is None or value != value or value == "":
+            return b""
+        if isinstance(value, float):
+            return varint(number << 3 | 5) + struct.pack("<f", value)
+        if isinstance(value, int):
+            return varint(number << 3) + varint(value)
+        data = value.encode() if isinstance(value, str) else value
+        return varint(number << 3 | 2) + varint(len(data)) + data
+
+    whole = lambda x: None if x is None or x != x else int(x)
+    out = put(HEADER, put(1, "2.0") + put(HEADER_TIMESTAMP, header))
+    for p in pings:
+        at = b"".join(put(n, None if p[k] is None else float(p[k])) for n, k in ((P_LATITUDE, "latitude"), (P_LONGITUDE, "longitude"), (P_BEARING, "bearingDegrees"), (P_SPEED, "speedMetersPerSecond")))
+        trip = put(TRIP_ID, p["tripId"]) + put(TRIP_ROUTE, p["routeId"]) + put(TRIP_DIRECTION, whole(p["directionId"]))
+        vehicle = put(V_TRIP, trip) + put(V_POSITION, at) + put(V_TIMESTAMP, whole(p["timestamp"])) + put(V_DESCRIPTOR, put(DESCRIPTOR_ID, p["vehicleId"]))
+        out += put(ENTITY, put(ENTITY_ID, p["vehicleId"]) + put(ENTITY_VEHICLE, vehicle))
+    return out
+
+
 def land(feed: VehicleFeed, folder: str, name: str) -> str:
     """Fetch once and put the message where the readers of `landed` look, in one move."""
     import os
