@@ -12,6 +12,7 @@ from tramline.functions import geo, ids, status
 from tramline.operators import episodes, gaps, quality, resolve, schedule, spacing, state
 from tramline.plans.registry import Registry
 from tramline.plans.transit import _DISORDER, ALERT_SQL, NOW_SQL, POINTS_CTE, RESOLVED_CTE, RH, ROUTES, SHAPES, STATUS_SQL, TRIPS, TRIPS_CTE, VP
+from tramline.session import one_row
 from tramline.sources.tables import table
 
 R = Registry()
@@ -140,16 +141,16 @@ def shape_assembly(spark: SparkSession, d: str) -> DataFrame:
     return resolve.polylines(SHAPES(spark, d)).select("shapeId", F.col("pointCount").alias("n"), F.round("shapeLengthMetres", 2).alias("len"))
 
 
-@query("ag_7", f"WITH {CALENDAR_CTE} SELECT date, serviceId FROM active")
+@query("ag_7", f"WITH {CALENDAR_CTE} SELECT CAST(date AS VARCHAR) AS date, serviceId FROM active")
 def services(spark: SparkSession, d: str) -> DataFrame:
-    return active(spark)
+    return active(spark).withColumn("date", F.col("date").cast("string"))
 
 
-@query("ag_8", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, (CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-06-30') AS covered FROM orders")
+@query("ag_8", "SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS date, (CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-06-30') AS covered FROM orders")
 def calendar_coverage(spark: SparkSession, d: str) -> DataFrame:
     dates = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
     weekly = spark.createDataFrame([("a", dt.date(1995, 1, 1), dt.date(1995, 12, 31)), ("b", dt.date(1995, 10, 1), dt.date(1996, 6, 30))], "serviceId string, start date, end date")
-    return schedule.covered(dates, weekly)
+    return schedule.covered(dates, weekly).withColumn("date", F.col("date").cast("string"))
 
 
 MOMENTS_CTE = """moments AS (SELECT DISTINCT headwayGroup, CAST(x AS DATE) AS date, CAST(hour(x) * 3600 + minute(x) * 60 + second(x) AS INTEGER) AS second
@@ -167,15 +168,15 @@ def _near(moments: str = "moments") -> str:
     FROM near GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND count(*) FILTER (gap > 0) > 0 AND count(pace) > 0)"""
 
 
-@query("ag_6", f"WITH {SCHED_CTE}, {CALENDAR_CTE}, {MOMENTS_CTE}, {_near()} SELECT headwayGroup, date, second, trips, CAST(headway AS INTEGER) AS headway, round(speed, 4) AS speed FROM found")
+@query("ag_6", f"WITH {SCHED_CTE}, {CALENDAR_CTE}, {MOMENTS_CTE}, {_near()} SELECT headwayGroup, CAST(date AS VARCHAR) AS date, second, trips, CAST(headway AS INTEGER) AS headway, round(speed, 4) AS speed FROM found")
 def scheduled_headway(spark: SparkSession, d: str) -> DataFrame:
     date, second = spacing.moment("windowEnd")
     m = RH(spark, d).select("headwayGroup", date.alias("date"), second.alias("second")).distinct()
     s = schedule.scheduled_headways(m, timetable_rows(spark, d), active(spark))
-    return s.select("headwayGroup", "date", "second", F.col("tripsConsidered").alias("trips"), F.col("scheduledHeadwaySeconds").alias("headway"), F.round("averageSpeedMps", 4).alias("speed"))
+    return s.select("headwayGroup", F.col("date").cast("string").alias("date"), "second", F.col("tripsConsidered").alias("trips"), F.col("scheduledHeadwaySeconds").alias("headway"), F.round("averageSpeedMps", 4).alias("speed"))
 
 
-@query("jn_7", f"WITH {SCHED_CTE}, {CALENDAR_CTE}, {MOMENTS_CTE}, {_near()} SELECT headwayGroup, date, second, CAST(headway AS INTEGER) AS headway, round(speed, 4) AS speed FROM found")
+@query("jn_7", f"WITH {SCHED_CTE}, {CALENDAR_CTE}, {MOMENTS_CTE}, {_near()} SELECT headwayGroup, CAST(date AS VARCHAR) AS date, second, CAST(headway AS INTEGER) AS headway, round(speed, 4) AS speed FROM found")
 def schedule_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The same lookup by arrays, as streams do it: one timetable per group, the day's services as an array."""
     date, second = spacing.moment("windowEnd")
@@ -183,7 +184,7 @@ def schedule_lookup(spark: SparkSession, d: str) -> DataFrame:
     on = active(spark).groupBy("date").agg(F.collect_set("serviceId").alias("services"))
     x = m.join(schedule.timetable(timetable_rows(spark, d)), "headwayGroup").join(F.broadcast(on), "date")
     got = x.withColumn("s", schedule.scheduled_from_array(F.col("timetable"), F.col("second"), F.col("services"))).filter("s is not null")
-    return got.select("headwayGroup", "date", "second", F.col("s.scheduledHeadwaySeconds").alias("headway"), F.round("s.averageSpeedMps", 4).alias("speed"))
+    return got.select("headwayGroup", F.col("date").cast("string").alias("date"), "second", F.col("s.scheduledHeadwaySeconds").alias("headway"), F.round("s.averageSpeedMps", 4).alias("speed"))
 
 
 @query("wn_2", f"WITH {SCHED_CTE}, g AS (SELECT headwayGroup, startSeconds - lag(startSeconds) OVER (PARTITION BY headwayGroup ORDER BY startSeconds) AS gap FROM sched) SELECT headwayGroup, CAST(count(*) AS BIGINT) AS n, CAST(min(gap) AS INTEGER) AS least, CAST(max(gap) AS INTEGER) AS most FROM g WHERE gap > 0 GROUP BY 1")
@@ -461,8 +462,7 @@ _EP = ["episodeId", "headwayGroup", "startedAt", "lastSeenAt", "windowsObserved"
 
 
 def all_episodes(spark: SparkSession, d: str) -> DataFrame:
-    now = VP(spark, d).agg(F.max("receivedAt")).first()[0]
-    return episodes.episodes(RH(spark, d), F.lit(now).cast(NTZ))
+    return episodes.episodes(RH(spark, d), latest_of(VP(spark, d), "receivedAt"))
 
 
 @query("wn_9", f"WITH {EPISODES_CTE} SELECT {', '.join(_EP)} FROM full_")
@@ -489,13 +489,14 @@ def silence_sweep(spark: SparkSession, d: str) -> DataFrame:
 # Views -----------------------------------------------------------------------------------------------
 
 
-def newest_end(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows.agg(F.max("windowEnd").alias("_now")))  # one row
+def latest_of(rows: DataFrame, column: str):
+    """The newest time of a column, as a literal."""
+    return F.lit(rows.agg(F.max(column)).first()[0]).cast(NTZ)
 
 
 def live_routes(spark: SparkSession, d: str) -> DataFrame:
     r = latest_records(spark, d)
-    return state.live(r.join(newest_end(RH(spark, d))), "windowEnd", F.col("_now"), CONFIG.route_ttl).withColumn("disorder", status.disorder("status", "headwayRatio"))
+    return state.live(r, "windowEnd", latest_of(RH(spark, d), "windowEnd"), CONFIG.route_ttl).withColumn("disorder", status.disorder("status", "headwayRatio"))
 
 
 V1 = f"WITH {LATEST_CTE} SELECT headwayGroup, recordId, status, {_DISORDER} AS disorder FROM latest WHERE windowEnd >= (SELECT max(windowEnd) FROM route_headways) - INTERVAL 10 MINUTE"
@@ -551,7 +552,7 @@ def latest_vehicles(spark: SparkSession, d: str) -> DataFrame:
 
 def live_vehicles(spark: SparkSession, d: str) -> DataFrame:
     v = latest_vehicles(spark, d)
-    return state.live(v.join(F.broadcast(v.agg(F.max("timestamp").alias("_now")))), "timestamp", F.col("_now"), CONFIG.vehicle_ttl)  # one row
+    return state.live(v, "timestamp", latest_of(v, "timestamp"), CONFIG.vehicle_ttl)
 
 
 @query("v_5", f"WITH {VEHICLES_CTE} SELECT vehicle, deliveryId, routeId FROM vlive")
@@ -571,16 +572,12 @@ def eviction(spark: SparkSession, d: str) -> DataFrame:
 
 
 def counters(spark: SparkSession, d: str) -> DataFrame:
-    """One row of counts: the parts are single rows."""
+    """One row of counts."""
     e = all_episodes(spark, d)
-    parts = [
+    return one_row(
         live_routes(spark, d).agg(F.count("*").alias("routes")), live_vehicles(spark, d).agg(F.count("*").alias("vehicles")), e.agg(F.count_if(F.col("endedAt").isNull()).alias("openAlerts"), F.count("*").alias("openedTotal")),
         RH(spark, d).agg(F.count("*").alias("records"), F.max("windowEnd").alias("newest")), episodes.accepted(RH(spark, d)).agg(F.count("*").alias("accepted")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(F.broadcast(p))
-    return out
+    )
 
 
 V7 = f"""WITH {EPISODES_CTE}, {VEHICLES_CTE}, {LATEST_CTE} SELECT (SELECT CAST(count(*) AS BIGINT) FROM latest WHERE windowEnd >= (SELECT max(windowEnd) FROM route_headways) - INTERVAL 10 MINUTE) AS routes,
@@ -600,9 +597,7 @@ query("ag_21", V7)(counters)
 def view_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """One row: live routes, open alerts, live vehicles and counters. What it collects is bounded by the fleet."""
     pack = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))
-    out = counters(spark, d)
-    for part in (pack(view_routes(spark, d), "routeViews"), pack(view_alerts(spark, d), "alerts"), pack(view_vehicles(spark, d), "vehicleViews")):
-        out = out.join(F.broadcast(part))
+    out = one_row(counters(spark, d), pack(view_routes(spark, d), "routeViews"), pack(view_alerts(spark, d), "alerts"), pack(view_vehicles(spark, d), "vehicleViews"))
     return out.withColumn("sequence", F.unix_millis(F.col("newest").cast("timestamp")))
 
 

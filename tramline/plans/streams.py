@@ -13,7 +13,7 @@ from tramline.functions import ids
 from tramline.plans import flows
 from tramline.plans.registry import Registry
 from tramline.plans.transit import ALERT_SQL, RH, ROUTES, SHAPES, TRIPS, VP
-from tramline.session import shared_folder
+from tramline.session import one_row, shared_folder
 from tramline.sources import feed, pings
 from tramline.streaming import sinks, spacing
 
@@ -76,7 +76,7 @@ def fan_out(spark: SparkSession, d: str) -> DataFrame:
     """One batch to both topics, as folders."""
     a, r = fresh(spark, "alerts"), fresh(spark, "records")
     sinks.fan_out(sinks.folder_sink(a), sinks.folder_sink(r))(RH(spark, d), 0)
-    return spark.read.text(r).agg(F.count("*").alias("records")).join(F.broadcast(spark.read.text(a).agg(F.count("*").alias("alerts"))))
+    return one_row(spark.read.text(r).agg(F.count("*").alias("records")), spark.read.text(a).agg(F.count("*").alias("alerts")))
 
 
 @query("st_2", """SELECT unnest([b, b - INTERVAL 30 SECOND]) AS windowStart, deliveryId FROM (SELECT deliveryId, time_bucket(INTERVAL 30 SECOND, "timestamp", TIMESTAMP '1970-01-01') AS b FROM vehicle_positions)""")

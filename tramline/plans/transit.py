@@ -30,11 +30,6 @@ ROUNDED = ", ".join(f"CAST(round(CAST({x} AS DECIMAL(28, 10)), {n}) AS DOUBLE) A
 NOW_SQL = "(SELECT max(receivedAt) FROM vehicle_positions)"
 
 
-def now_of(pings: DataFrame) -> DataFrame:
-    """One row: the newest arrival."""
-    return pings.agg(F.max("receivedAt").alias("_now"))
-
-
 # Scans ---------------------------------------------------------------------------------------------
 
 
@@ -244,9 +239,6 @@ def set_intersection(spark: SparkSession, d: str) -> DataFrame:
 
 # Functions -----------------------------------------------------------------------------------------
 
-_TIMES = ["06:20:00", "00:00:00", "23:59:59", "24:00:00", "25:30:00", "26:15:30", " 6:20:00", "  6:20:00 ", "", "not a time", "12:99:00", None]
-
-
 @query("fn_1", """SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 60 < 60 THEN (o_orderkey % 30) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 60 END AS INTEGER) AS seconds FROM orders""")
 def gtfs_time(spark: SparkSession, d: str) -> DataFrame:
     """Times written as H:MM:SS, with hours up to 29, and read back."""
@@ -255,9 +247,9 @@ def gtfs_time(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", times.gtfs_seconds(text).alias("seconds"))
 
 
-@query("fn_2", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders")
+@query("fn_2", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
 def gtfs_date(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", times.gtfs_date(F.date_format("o_orderdate", "yyyyMMdd")).alias("day"))
+    return table(spark, d, "orders").select("o_orderkey", times.gtfs_date(F.date_format("o_orderdate", "yyyyMMdd")).cast("string").alias("day"))
 
 
 @query("fn_3", "SELECT event_id, CAST(coalesce(TRY_CAST(substr(props, 7, 1) AS INTEGER), -1) AS INTEGER) AS i, coalesce(TRY_CAST(event_type AS DOUBLE), 0.5) AS x FROM events")
@@ -279,11 +271,11 @@ def day_columns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.size(times.day_set(flag(p % 2 == 1), flag(p % 3 == 0))).alias("days"))
 
 
-@query("fn_6", """SELECT recordId, CAST(strftime(x, '%Y-%m-%d') AS DATE) AS day, CAST(hour(x) * 3600 + minute(x) * 60 + second(x) AS INTEGER) AS seconds
+@query("fn_6", """SELECT recordId, strftime(x, '%Y-%m-%d') AS day, CAST(hour(x) * 3600 + minute(x) * 60 + second(x) AS INTEGER) AS seconds
   FROM (SELECT recordId, (windowEnd AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS x FROM route_headways)""")
 def local_time(spark: SparkSession, d: str) -> DataFrame:
     x = times.local("windowEnd", "America/New_York")
-    return RH(spark, d).select("recordId", F.to_date(x).alias("day"), times.second_of_day(x).alias("seconds"))
+    return RH(spark, d).select("recordId", F.to_date(x).cast("string").alias("day"), times.second_of_day(x).alias("seconds"))
 
 
 STATUS_SQL = "CASE WHEN {r} <= 0.25 THEN 'SEVERE_BUNCHING' WHEN {r} <= 0.5 THEN 'BUNCHING' WHEN {r} >= 2.5 THEN 'SEVERE_GAPPING' WHEN {r} >= 1.5 THEN 'GAPPING' WHEN {r} IS NOT NULL THEN 'ON_SCHEDULE' END"

@@ -77,3 +77,11 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most max_rows rows; otherwise df as it is, so that the
     join shuffles. The size is counted (up to the bound) before the hint is given."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Single rows of different columns as one row, by a union and an aggregate instead of a product."""
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p, allowMissingColumns=True)
+    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
