@@ -12,9 +12,9 @@ from tramline import schema
 from tramline.functions import ids
 from tramline.plans import flows
 from tramline.plans.registry import Registry
-from tramline.plans.transit import ALERT_SQL, RH, ROUTES, SHAPES, TRIPS, VP
+from tramline.plans.transit import ALERT_SQL, POINTS_CTE, RH, ROUTES, SHAPES, TRIPS, TRIPS_CTE, VP
 from tramline.session import one_row, shared_folder
-from tramline.sources import feed, pings
+from tramline.sources import feed, gtfs, pings
 from tramline.streaming import sinks, spacing
 
 R = Registry()
@@ -71,6 +71,46 @@ def log_scan(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).agg(F.count("*").alias("n"), F.count_distinct("vehicleId").alias("vehicles"))
 
 
+query("snk_7", ORACLES["src_8"])(log_scan)  # the same checkpointed query
+query("st_11", ORACLES["src_8"])(log_scan)  # and its source takes so many files at a time
+
+
+@query(
+    "src_4",
+    f"""WITH {TRIPS_CTE}, {POINTS_CTE} SELECT (SELECT CAST(count(*) AS BIGINT) FROM gtfs_routes) AS routes, (SELECT CAST(count(*) AS BIGINT) FROM trips) AS trips,
+  (SELECT CAST(count(*) AS BIGINT) FROM shapes) AS shapes, (SELECT round(sum(len) / 1000, 1) FROM shapes) AS kilometres""",
+)
+def archive_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The static tables as a GTFS archive, unpacked to the shared folder and read by header names.
+
+    An archive is one file that one machine writes; the static feed is what goes through the driver.
+    """
+    import csv
+    import io
+    import zipfile
+
+    folder = fresh(spark, "gtfs").removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+
+    def text(df: DataFrame) -> str:
+        out = io.StringIO()
+        w = csv.writer(out)
+        w.writerow(df.columns)
+        w.writerows(df.toLocalIterator())
+        return out.getvalue()
+
+    points = SHAPES(spark, d).select(F.col("shapeId").alias("shape_id"), F.explode("pts").alias("p")).select(
+        "shape_id", F.col("p.lat").alias("shape_pt_lat"), F.col("p.lon").alias("shape_pt_lon"), F.col("p.seq").alias("shape_pt_sequence"), (F.col("p.dist_m") / 1000).alias("shape_dist_traveled")
+    )
+    trips = TRIPS(spark, d).orderBy("feedRow").select(F.col("tripId").alias("trip_id"), F.col("routeId").alias("route_id"), F.col("serviceId").alias("service_id"), F.col("directionId").alias("direction_id"), F.col("shapeId").alias("shape_id"))
+    routes = ROUTES(spark, d).select(F.col("routeId").alias("route_id"), F.col("shortName").alias("route_short_name"), F.col("longName").alias("route_long_name"), F.col("routeType").alias("route_type"), F.col("colorHex").alias("route_color"))
+    with zipfile.ZipFile(f"{folder}/feed.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for name, df in (("routes", routes), ("trips", trips), ("shapes", points)):
+            z.writestr(f"{name}.txt", text(df))
+    s = gtfs.load(spark, f"{folder}/feed.zip", f"{folder}/staged")
+    return one_row(s.routes.agg(F.count("*").alias("routes")), s.trips.agg(F.count("*").alias("trips")), s.lines.agg(F.count("*").alias("shapes"), F.round(F.sum("shapeLengthMetres") / 1000, 1).alias("kilometres")))
+
+
 @query("snk_4", f"""SELECT CAST(count(*) AS BIGINT) AS records, CAST(count(*) FILTER (status IN {ALERT_SQL}) AS BIGINT) AS alerts FROM route_headways""")
 def fan_out(spark: SparkSession, d: str) -> DataFrame:
     """One batch to both topics, as folders."""
