@@ -68,6 +68,24 @@ def test_same_as_full_alignment(spark):
     assert found(spark, docs, items) == want
 
 
+def test_bunched_edits_at_one_in_ten(spark):
+    """Edits a few words apart leave long gaps between runs: as many as allowed, and one more."""
+    items, docs = [], []
+    for n in (100, 120, 150, 200, 250):
+        ws = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(ws)))
+        for step in (3, 4, 5):
+            for more in (0, 1):
+                piece = ws[: n // 2]
+                edits = n // 20 + more
+                for k in range(edits):
+                    piece[(len(piece) - step * (edits - 1)) // 2 + step * k] = f"other{k}"
+                docs.append((len(docs), " ".join(piece)))
+    want = {(d, i) for d, t in docs for i, s in items if f"w{i}x" in t and full(s.split(), t.split())}
+    assert {(d, i) for d, i in want if d % 2 == 0} == {(d, items[d // 6][0]) for d in range(0, len(docs), 2)}
+    assert found(spark, docs, items) == want
+
+
 def test_blocks_of_items_change_nothing(spark):
     items, docs = cases(20)
     assert found(spark, docs, items, block_words=40) == found(spark, docs, items)

@@ -150,17 +150,25 @@ def find_hits(items: Items):
     return run
 
 
-def edits(a: np.ndarray, b: np.ndarray) -> int:
-    """Fewest changes, drops and additions that turn a into b."""
+def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Fewest changes, drops and additions that turn a into b; most + 1 if that takes more than `most`."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
     if not len(a) or not len(b):
         return max(len(a), len(b))
+    a, b = a.tolist(), b.tolist()
     row = list(range(len(b) + 1))
-    for i, x in enumerate(a.tolist()):
-        new = [i + 1]
-        for j, y in enumerate(b.tolist()):
-            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+    for i, x in enumerate(a, 1):
+        # places further than `most` off the diagonal take more edits than that
+        lo, hi = max(1, i - most), min(len(b), i + most)
+        new = [most + 1] * (len(b) + 1)
+        new[0] = i
+        for j in range(lo, hi + 1):
+            new[j] = min(row[j - 1] + (x != b[j - 1]), row[j] + 1, new[j - 1] + 1)
+        if min(new) > most:
+            return most + 1
         row = new
-    return row[-1]
+    return min(row[-1], most + 1)
 
 
 def extensions(a: np.ndarray, b: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -216,14 +224,16 @@ def leaks(item: np.ndarray, doc: np.ndarray, runs: list[tuple[int, int, int]]) -
                     for y, ey in after:
                         if length + x + y >= half and 10 * (e + ex + ey) <= length + x + y:
                             return True
+            # Between two runs of a stretch x edits leave less than K words before, between and after them.
+            wide = K * (most - e) + K - 1
             for j in range(k + 1, len(runs)):
                 p2, q2, w2 = runs[j]
-                if p2 - (p + w) > most:
+                if p2 - (p + w) > wide:
                     break
                 trim = max(0, p + w - p2, q + w - q2)
-                if w2 - trim < 1 or q2 + trim - (q + w) > most:
+                if w2 - trim < 1 or q2 + trim - (q + w) > wide:
                     continue
-                c = e + edits(item[q + w : q2 + trim], doc[p + w : p2 + trim])
+                c = e + edits(item[q + w : q2 + trim], doc[p + w : p2 + trim], most - e)
                 if c <= most and c < cost.get(j, most + 1):
                     cost[j] = c
     return False
