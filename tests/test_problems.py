@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from statistics import median
 
+import pytest
 from pyspark.sql import functions as F
 
 from tramline.functions.medians import grouped_median, value_counts
@@ -122,6 +123,33 @@ def test_readings(spark):
     assert anomaly.anomalies(df.limit(0)).count() == 0
 
 
+def test_spikes_against_the_season_of_their_source(spark):
+    """A spike below the high season's level is named, plain readings of the high season are not, and another source's season doesn't count."""
+    rng, rows = random.Random(5), []
+
+    def add(source, day, hour, x):
+        at = dt.datetime(2026, 8, 3 + day, hour, tzinfo=dt.timezone.utc).timestamp()
+        rows.append(("vehicle_positions", source, len(rows), int(at * 1e6) + len(rows), x))
+        return len(rows) - 1
+
+    high = {"A": range(12, 24), "hot": range(12), "late": range(20, 24)}
+    for source, each in (("A", 60), ("hot", 300), ("late", 60)):
+        for hour in range(24):
+            for _ in range(each):
+                add(source, 0, hour, (20.0 if hour in high[source] else 5.0) + min(rng.expovariate(3), 2.0))
+    for k in range(48):
+        add("thin", k % 5, 6 + 12 * (k % 2), (6.0, 8.0)[k % 2] + k * 0.01)
+    spikes = {add("A", 1, 3, 19.0), add("hot", 1, 15, 19.0), add("late", 1, 4, 19.0)}
+    df = spark.createDataFrame(rows, "src string, source string, record_id long, t long, x double")
+    assert {r.record_id for r in anomaly.anomalies(df, confirm="risk").collect()} == spikes
+    counts = value_counts(df.withColumn("hour", anomaly.hour_of_day()), ["src", "source", "hour"], "x")
+    level = {(r.source, r.hour): r.level for r in anomaly.levels(counts, anomaly.Rules()).collect()}
+    assert abs(level["A", 3] - 5.2) < 0.2 and abs(level["A", 15] - 20.2) < 0.2 and abs(level["hot", 3] - 20.2) < 0.2
+    m = {s: median(x for _, source, _, _, x in rows if source == s) for s in ("A", "hot", "late", "thin")}
+    others = sum(level[s, 18] - m[s] for s in ("A", "hot", "late")) / 3
+    assert level["thin", 18] == pytest.approx(m["thin"] + others)  # 24 readings an hour: the season of all sources, one vote each
+
+
 def varint(x):
     out = b""
     while x > 127:

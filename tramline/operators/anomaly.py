@@ -6,10 +6,11 @@ Readings are rows (src, source, record_id, t, x). A reading is named if
   b. it lies far above what its source normally shows,
   c. it is one of `stuck` or more successive readings of its source with the very same value, not 0.
 
-For b, the peaks of a source are its readings above M + 4 D (M the median of its ordinary readings, D the
-median of their distances from M), and a generalised Pareto distribution is fitted to the peaks' seasonal
-residuals (`tail_cutoffs`), which sets the source's cut-off at a fixed risk. `anomalies` confirms peaks
-either by that cut-off (confirm="risk") or by the fixed rule M + 8 D (confirm="spread").
+For b, M is the median of a source's ordinary readings and D the median of their distances from it.
+`anomalies` names either what exceeds M + 8 D (confirm="spread", no fit), or goes by seasonal residuals
+(confirm="risk"): readings less the level of their source and hour of day (`levels`). A generalised Pareto
+distribution is fitted to the residuals above 4 times their own D, the peaks, and sets the source's cut-off
+at a fixed risk (`tail_cutoffs`); what is compared with both is the residual.
 
 A source may hold any share of the rows: medians come from histograms, runs are found within (source, UTC
 day) and joined across days by the first and last run of each day.
@@ -66,9 +67,13 @@ def impossible():
     return F.isnan("x") | (F.col("x") < 0) | (F.col("x") > top)
 
 
+def ordinary(readings: DataFrame) -> DataFrame:
+    return readings.filter(~impossible() & (F.col("x") != 0) & F.col("source").isNotNull())
+
+
 def spreads(readings: DataFrame, rules: Rules) -> DataFrame:
     """(src, source, m, d, n) of the ordinary readings of every source that has enough of them."""
-    counts = cut(value_counts(readings.filter(~impossible() & (F.col("x") != 0) & F.col("source").isNotNull()), KEYS, "x"))
+    counts = cut(value_counts(ordinary(readings), KEYS, "x"))
     m = grouped_median(counts, KEYS, "x", "m", "n_readings").filter(F.col("n_readings") >= rules.least_readings)
     far = counts.join(m, KEYS).select(*KEYS, F.abs(F.col("x") - F.col("m")).alias("y"), "n").groupBy(*KEYS, "y").agg(F.sum("n").alias("n"))
     return m.join(grouped_median(far, KEYS, "y", "d", "_n").drop("_n"), KEYS)
@@ -104,30 +109,44 @@ def with_runs(readings: DataFrame, rules: Rules) -> DataFrame:
     return found.withColumn("stuck", long & (F.col("x") != 0)).drop("_day", "_turn", "_run", "_last", "_size", "_chained")
 
 
-def seasons(readings: DataFrame) -> DataFrame:
-    """(src, hour, season): how far the hour of day lies from the mean, over all sources of a src; at most 24 rows a src."""
-    plain = readings.filter(~impossible() & (F.col("x") != 0)).withColumn("hour", F.pmod(floor_div(F.col("t"), 3_600_000_000), F.lit(24)))
-    by = plain.groupBy("src", "hour").agg(F.sum("x").alias("s"), F.count("*").alias("c"))
-    w = Window.partitionBy("src")
-    return by.select("src", "hour", (F.col("s") / F.col("c") - F.sum("s").over(w) / F.sum("c").over(w)).alias("season"))
+def hour_of_day():
+    return F.pmod(floor_div(F.col("t"), 3_600_000_000), F.lit(24))
+
+
+def levels(counts: DataFrame, rules: Rules) -> DataFrame:
+    """(src, source, hour, level, n_readings): what a source with enough readings normally shows in each hour of day it has any.
+
+    counts: (src, source, hour, x, n). The level is the median of the source's own readings in the hour if
+    there are `least_readings` of them; else its median over all hours and the season of the hour, which is the mean
+    of what it adds to the medians of the other sources of the src, one vote a source. No level is below 0.
+    """
+    m = cut(grouped_median(counts, KEYS, "x", "m", "n_readings").filter(F.col("n_readings") >= rules.least_readings))
+    at_hour = grouped_median(counts, [*KEYS, "hour"], "x", "_at", "_n").join(m, KEYS)
+    own = cut(at_hour.withColumn("_season", F.when(F.col("_n") >= rules.least_readings, F.col("_at") - F.col("m"))))
+    pooled = own.groupBy("src", "hour").agg(F.avg("_season").alias("_pooled"))  # at most 24 rows a src
+    season = F.coalesce("_season", "_pooled", F.lit(0.0))
+    return own.join(F.broadcast(pooled), ["src", "hour"]).select(*KEYS, "hour", F.greatest(F.lit(0.0), F.col("m") + season).alias("level"), "n_readings")
 
 
-def tail_cutoffs(readings: DataFrame, stats: DataFrame, rules: Rules) -> DataFrame:
-    """(src, source, peak_at, peaks, shape, scale, cutoff) by method of moments.
+def tail_cutoffs(counts: DataFrame, level: DataFrame, rules: Rules) -> DataFrame:
+    """(src, source, peak_at, peaks, shape, scale, cutoff) by method of moments; peak_at and cutoff are residuals.
 
-    Residuals are readings less the season of their hour. A source with under 5 peaks, or none that differ,
-    has the exponential tail (shape 0) of its mean excess; one without peaks has no cut-off.
+    Residuals are readings less the level of their source and hour; those above `peak_spreads` times their median
+    distance from 0 are peaks. A source with under 5 peaks, or none that differ, has the exponential tail
+    (shape 0) of its mean excess; one without peaks has no cut-off.
     """
-    hour = F.pmod(floor_div(F.col("t"), 3_600_000_000), F.lit(24))
-    plain = readings.filter(~impossible() & (F.col("x") != 0)).withColumn("hour", hour)
-    r = plain.join(F.broadcast(seasons(readings)), ["src", "hour"]).join(stats, KEYS)
-    at = F.col("m") + rules.peak_spreads * F.col("d")
-    over = F.col("x") - F.col("season") - at
-    fit = r.filter(over > 0).groupBy(*KEYS).agg(
-        F.first(at).alias("peak_at"), F.first("n_readings").alias("n_readings"), F.count("*").alias("peaks"), F.avg(over).alias("mean"), F.var_pop(over).alias("var")
+    away = counts.join(level, [*KEYS, "hour"]).select(*KEYS, F.abs(F.col("x") - F.col("level")).alias("_y"), "n")
+    d = grouped_median(away, KEYS, "_y", "d", "_n").drop("_n")
+    # D goes to the few rows of the levels, so that the readings stay spread by hour
+    at = level.join(d, KEYS).withColumn("peak_at", rules.peak_spreads * F.col("d"))
+    over = counts.join(at, [*KEYS, "hour"]).withColumn("_over", F.col("x") - F.col("level") - F.col("peak_at"))
+    mean = lambda x: F.sum(F.col("n") * x) / F.sum("n")
+    fit = over.filter("_over > 0").groupBy(*KEYS).agg(
+        F.first("peak_at").alias("peak_at"), F.first("n_readings").alias("n_readings"), F.sum("n").alias("peaks"), mean(F.col("_over")).alias("mean"), mean(F.col("_over") * F.col("_over")).alias("_square")
     )
-    enough = (F.col("peaks") >= 5) & (F.col("var") > 0)
-    ratio = F.when(enough, F.col("mean") * F.col("mean") / F.col("var")).otherwise(1.0)
+    var = F.col("_square") - F.col("mean") * F.col("mean")
+    enough = (F.col("peaks") >= 5) & (var > 1e-12 * F.col("_square"))
+    ratio = F.when(enough, F.col("mean") * F.col("mean") / var).otherwise(1.0)
     shape, scale = 0.5 * (1 - ratio), 0.5 * F.col("mean") * (ratio + 1)
     rate = F.col("n_readings") * rules.risk / F.col("peaks")
     z = F.when(F.abs("shape") < 1e-6, -F.log(rate)).otherwise((F.pow(rate, -F.col("shape")) - 1) / F.col("shape"))
@@ -142,14 +161,19 @@ def anomalies(readings: DataFrame, rules: Rules = Rules(), confirm: str = "sprea
     with fewer than `least_readings` ordinary readings have no rule b. An empty table gives no rows.
     """
     rows = cut(readings)
-    stats = spreads(rows, rules)
     marked = with_runs(rows, rules)
+    keys = KEYS
     if confirm == "risk":
-        stats = cut(stats)
-        limit = tail_cutoffs(rows, stats, rules).select(*KEYS, "peak_at", F.col("cutoff").alias("limit"))
+        keys = [*KEYS, "hour"]
+        marked = marked.withColumn("hour", hour_of_day())
+        counts = cut(value_counts(ordinary(rows).withColumn("hour", hour_of_day()), keys, "x"))
+        level = cut(levels(counts, rules))
+        above = lambda c: F.col("level") + F.col(c)
+        limit = level.join(tail_cutoffs(counts, level, rules), KEYS).select(*keys, above("peak_at").alias("peak_at"), above("cutoff").alias("limit"))
     else:
+        stats = spreads(rows, rules)
         spread = lambda k: F.col("m") + k * F.col("d")
         limit = stats.select(*KEYS, spread(rules.peak_spreads).alias("peak_at"), spread(rules.far_spreads).alias("limit"))
     peak = (F.col("x") > F.col("peak_at")) & (F.col("x") > F.col("limit"))
-    judged = marked.join(limit, KEYS, "left").withColumn("impossible", impossible()).withColumn("far", F.coalesce(~F.col("impossible") & peak, F.lit(False)))
+    judged = marked.join(limit, keys, "left").withColumn("impossible", impossible()).withColumn("far", F.coalesce(~F.col("impossible") & peak, F.lit(False)))
     return judged.filter("impossible or far or stuck").select("src", "record_id", "impossible", "far", "stuck")

@@ -49,7 +49,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_risk(spark: SparkSession, d: str) -> DataFrame:
-    """The same readings judged by the fitted cut-offs at fixed risk instead of the fixed spread."""
+    """The same readings judged by their seasonal residuals against the fitted cut-offs at fixed risk instead of the fixed spread."""
     readings = anomaly.transit_readings(table(spark, d, "vehicle_positions"), table(spark, d, "shape_projections"))
     return anomaly.anomalies(readings, confirm="risk")
 
