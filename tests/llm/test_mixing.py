@@ -30,6 +30,26 @@ def test_plan_keeps_every_limit():
     assert plan([0.0], [1.0], [2.0]).quotas == [0.0]
 
 
+def test_source_that_may_not_be_used(spark):
+    """Its target alone can't be met; the others are as if it had no tokens."""
+    p, q = (plan([1000.0, 100.0, x], [0.5, 0.4, 0.1], [1.0, 3.0, r]) for x, r in ((50.0, 0.0), (0.0, 5.0)))
+    assert p == q and p.quotas[1] == pytest.approx(300) and p.quotas[2] == 0
+    assert plan([1000.0, 100.0, 50.0], [0.5, 0.4, 0.1], [1.0, 3.0, 0.0], 1000.0).exponent > 0
+    docs = [(k, f"text number {k}", "abc"[k % 3]) for k in range(600)]
+    m = mix(spark.createDataFrame(docs, DOCS), spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 2), ("c", 0.1, None)], TARGETS))
+    assert {r.source for r in m.rows.collect()} == {"a", "b"}
+
+
+def test_registered_budget_is_tempered(spark):
+    from tramline.llm.queries import QUERIES
+
+    rows = QUERIES["p7_tempered"](spark, "/root/testdata/sf0.01").collect()
+    have = {r.source: r.tokens for r in rows}
+    assert 0.01 < rows[0].exponent < 0.99 and sum(r.used_tokens for r in rows) == pytest.approx(0.9 * sum(have.values()), rel=0.01)
+    assert all(r.used_tokens <= r.max_repeats * r.tokens for r in rows)
+    assert any(r.weight * 0.9 * sum(have.values()) == pytest.approx(r.max_repeats * r.tokens, rel=1e-6) for r in rows)  # one limit binds
+
+
 def test_shares_are_reached(spark):
     docs = [(k, f"text number {k} " * (1 + k % 7), ["big", " BIG", "small_one", "small-one", None, "other"][k % 6]) for k in range(3000)]
     docs += [(9000, None, "big"), (9001, "", "small-one")]

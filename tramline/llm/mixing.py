@@ -102,7 +102,8 @@ class Plan:
 
 
 def plan(tokens: list[float], targets: list[float], repeats: list[float], budget: float | None = None) -> Plan:
-    """Weights and token quotas of sources. Every quota is at most repeats * tokens, whatever the budget."""
+    """Weights and token quotas of sources. Every quota is at most repeats * tokens, whatever the budget; a source that may give nothing has none."""
+    targets = [g if r * t > 0 else 0.0 for g, r, t in zip(targets, repeats, tokens, strict=True)]
     total = sum(t for t, g in zip(tokens, targets, strict=True) if g > 0)
     if not total:
         return Plan(0.0, 0.0, [0.0] * len(tokens), [0.0] * len(tokens))
@@ -134,9 +135,11 @@ class Mix:
     shares: DataFrame  # one row per target
 
 
-def mix(docs: DataFrame, targets: DataFrame, budget: float | None = None, tokenizer: str = TOKENIZER, seed: int = 7) -> Mix:
+def mix(docs: DataFrame, targets: DataFrame, budget: float | None = None, tokenizer: str = TOKENIZER, seed: int = 7, budget_share: float | None = None) -> Mix:
     """Which documents to use how often, and the shares reached.
 
+    budget is in tokens; budget_share gives it as a multiple of the tokens of all sources that have a target.
+
     Sources are compared without case, blanks and _ for -. Documents of null or unknown sources aren't used;
     empty ones carry no tokens and are never taken. A source with several target rows counts with the sum of
     their shares and the largest max_repeats; null shares and repeats are 0. doc_id should be unique:
@@ -151,6 +154,8 @@ def mix(docs: DataFrame, targets: DataFrame, budget: float | None = None, tokeni
     names = spark.createDataFrame([(r.source,) for r in goal], "source string")
     per = {r.source: r for r in sizes.join(F.broadcast(names), "source").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).collect()}
     have = [float(per[r.source].tokens) if r.source in per else 0.0 for r in goal]
+    if budget_share is not None:
+        budget = budget_share * sum(x for x, r in zip(have, goal, strict=True) if r.target_share > 0)
     p = plan(have, [r.target_share for r in goal], [float(r.max_repeats) for r in goal], budget)
     passes = [int(q // t) if t else 0 for q, t in zip(p.quotas, have, strict=True)]
     rest = [int(round(q - n * t)) for q, n, t in zip(p.quotas, passes, have, strict=True)]
