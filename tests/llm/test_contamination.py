@@ -134,6 +134,18 @@ def test_parts_of_nested_and_broken_messages():
     assert message_words("no headers here") == [["no", "headers", "here"]]
 
 
+@pytest.mark.parametrize("depth", [3, 8, 9, 40, 3000])
+def test_parts_at_any_depth(depth):
+    coded = base64.b64encode("zwölf nasse Segel".encode()).decode()
+    text = f"Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n{coded}\n"
+    forwards = "Content-Type: message/rfc822\n\n" * depth + text
+    assert leaves(forwards) == [("text/plain", "zwölf nasse Segel")]
+    if depth < 100:
+        for k in range(depth):
+            text = f'Content-Type: multipart/mixed; boundary="B{k}_"\n\n--B{k}_\n{text}\n--B{k}_--\n'
+        assert message_words("Subject: x\n" + text) == [["zwolf", "nasse", "segel"]]
+
+
 @pytest.mark.parametrize("n", [10, 11, 19, 20, 50, 99, 137])
 def test_least_shared_is_a_bound(n):
     """Evenly spread edits, the worst case, leave at least that many shingles."""

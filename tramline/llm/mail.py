@@ -53,16 +53,34 @@ def decoded(body: str, coding: str, charset: str) -> str | None:
     return None
 
 
-def leaves(text: str, depth: int = 0) -> list[tuple[str, str]]:
-    """(content type, decoded text) of every readable part, in order. A text without headers is one plain part.
+def leaves(text: str) -> list[tuple[str, str]]:
+    """(content type, decoded text) of every readable part, in order, however deeply parts are nested. A text without headers is one plain part.
 
     Multipart bodies without closing boundary end with the text; a boundary that never occurs leaves the
     body as one plain part. Parts that aren't text are kept if they hold no control characters.
     """
+    out: list[tuple[str, str]] = []
+    # What is still to be read, next part last: (text, None) is a part with its headers, (text, type) a plain one.
+    todo: list[tuple[str, str | None]] = [(text, None)]
+    whole = True
+    while todo:
+        part, known = todo.pop()
+        if known:
+            out.append((known, part))
+            continue
+        inside, leaf = _opened(part, whole)
+        out += leaf
+        todo += reversed(inside)
+        whole = False
+    return out
+
+
+def _opened(text: str, whole: bool) -> tuple[list[tuple[str, str | None]], list[tuple[str, str]]]:
+    """The parts right inside of a part, and the part itself if it is a leaf. whole: it is the message."""
     if _HEADER.match(text):
         m = _BLANK_LINE.search(text)
         head, body = (text[: m.start()], text[m.end() :]) if m else (text, "")
-    elif depth and (m := _BLANK_LINE.match("\n" + text)):
+    elif not whole and (m := _BLANK_LINE.match("\n" + text)):
         head, body = "", text[m.end() - 1 :]
     else:
         head, body = "", text
@@ -78,27 +96,27 @@ def leaves(text: str, depth: int = 0) -> list[tuple[str, str]]:
                 boundary = p[2] or p[3]
     if m := _CODING.search(head):
         coding = m[1]
-    if kind.startswith("multipart/") and boundary and depth < 8:
+    if kind.startswith("multipart/") and boundary:
         chunks = ("\n" + body).split("\n--" + boundary)
         if len(chunks) > 1:
-            out = []
+            inside: list[tuple[str, str | None]] = []
             if chunks[0].strip():
-                out.append(("text/plain", chunks[0]))
+                inside.append((chunks[0], "text/plain"))
             for c in chunks[1:]:
                 if c.startswith("--"):
                     rest = c[2:].strip("-\r\n\t ")
                     if rest:
-                        out.append(("text/plain", rest))
+                        inside.append((rest, "text/plain"))
                     continue
                 nl = c.find("\n")
-                out += leaves(c[nl + 1 :] if nl >= 0 else "", depth + 1)
-            return out
-    if kind.startswith("message/") and depth < 8:
-        return leaves(decoded(body, coding, charset) or "", depth + 1)
+                inside.append((c[nl + 1 :] if nl >= 0 else "", None))
+            return inside, []
+    if kind.startswith("message/"):
+        return [(decoded(body, coding, charset) or "", None)], []
     plain = decoded(body, coding, charset)
     if plain is None or not kind.startswith(("text/", "multipart/")) and _unreadable(plain):
-        return []
-    return [(kind, plain)]
+        return [], []
+    return [], [(kind, plain)]
 
 
 def _unreadable(plain: str) -> bool:
