@@ -98,6 +98,16 @@ def test_weighed_path_keeps_clear_stops(spark):
     assert {r for r in decoded(spark.createDataFrame(rows, SCHEMA), eager=False) if r[1] == "stop"}
 
 
+def test_weighed_stop_may_end_before_the_radius(spark):
+    """Pings that already move off, within the radius, are on the way rather than a part of the stop."""
+    t0, lats = datetime(2026, 8, 3, 10), [33.7] * 11 + [33.7 + 45 / 111_195] * 3 + [33.7 + 0.005 * k for k in range(1, 6)]
+    rows = [(k, t, "A", lat, -84.4, t) for k, lat in enumerate(lats) for t in [t0 + timedelta(seconds=60 * k)]]
+    df, start = spark.createDataFrame(rows, SCHEMA), (t0 - datetime(1970, 1, 1)) // timedelta(seconds=1)
+    stops = lambda **how: {r for r in decoded(df, **how) if r[1] == "stop"}
+    assert stops(eager=False) == {("A", "stop", start, start + 600)}
+    assert stops() == {("A", "stop", start, start + 780)}
+
+
 def test_empty_nulls_and_extra_columns(spark):
     assert decoded(spark.createDataFrame([], SCHEMA)) == set()
     t = datetime(2026, 8, 3)

@@ -2,10 +2,11 @@
 
 A track alternates between two states. A stop is a segment of pings whose emission is positive only within
 `radius_m` of the segment's first ping and whose duration has the support [min_stop_s, inf); travel is the
-state of every other ping. Segments are maximal, and with `eager` entry a stop is entered at the first ping
+state of every other ping. With `eager` entry segments are maximal and a stop is entered at the first ping
 that can begin one with probability 1, so exactly one state path has positive likelihood and decoding is a
-walk. Without it, `viterbi` weighs each stop by its emission, its duration (log-normal) and the entry odds
-against travel steps and keeps the best path. Gaps longer than `gap_s` split tracks before anything else.
+walk. Without it, `viterbi` weighs every stop, with every end that its first ping admits, by its emission, its
+duration (log-normal) and the entry odds against travel steps and keeps the best path. Travel is scored step by
+step; its duration has no distribution. Gaps longer than `gap_s` split tracks before anything else.
 
 How it is spread: pings are first grouped by (vehicle, UTC day) with two hours of the neighbouring days
 around (no speed limit can be broken across a longer pause inside the box of positions), which settles
@@ -146,28 +147,33 @@ def stops_of(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, d: np.ndarray, cut
 
 
 def viterbi(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, d: np.ndarray, a: int, b: int, admitted: list[tuple[int, int]], how: Track) -> list[tuple[int, int]]:
-    """The admitted stops of the best path through a..b, each a maximal segment from its first ping."""
+    """The stops of the best path through a..b. admitted: (first, furthest last) positions; a stop may end at any ping between that makes it long enough."""
     travel = -d[a:b] / how.step_m - math.log(how.step_m)  # log density of a step's length on the way
     score = np.full(b - a + 1, -np.inf)
     score[0] = 0.0
     back = np.full(b - a + 1, -1)
-    by_start = {i: e for i, e in admitted}
+    stopped = np.zeros(b - a + 1, bool)  # whether the best path's last segment is a stop
+    by_start = dict(admitted)
     for k in range(b - a):
         if score[k] + travel[k] > score[k + 1]:
-            score[k + 1], back[k + 1] = score[k] + travel[k], k
+            score[k + 1], back[k + 1], stopped[k + 1] = score[k] + travel[k], k, False
         e = by_start.get(a + k)
         if e is not None:
-            r = metres(lat[a + k : e + 1], lon[a + k : e + 1], lat[a + k], lon[a + k])
-            stand = float(np.sum(-0.5 * (r / how.noise_m) ** 2 - math.log(how.noise_m)))
-            s = (t[e] - t[a + k]) / SECOND
-            long = -0.5 * ((math.log(s) - how.stop_log_s) / how.stop_log_sd) ** 2 - math.log(s * how.stop_log_sd)
-            total = score[k] + how.entry_log_odds + stand + long
-            if total > score[e + 1 - a]:
-                score[e + 1 - a], back[e + 1 - a] = total, k
+            own = slice(a + k, e + 1)
+            r = metres(lat[own], lon[own], lat[a + k], lon[a + k])
+            stand = np.cumsum(-0.5 * (r / how.noise_m) ** 2 - math.log(how.noise_m))
+            since = t[own] - t[a + k]
+            least = int(np.searchsorted(since, how.min_stop_s * SECOND))
+            s = since[least:] / SECOND
+            long = -0.5 * ((np.log(s) - how.stop_log_s) / how.stop_log_sd) ** 2 - np.log(s * how.stop_log_sd)
+            total = score[k] + how.entry_log_odds + stand[least:] + long
+            better = np.flatnonzero(total > score[k + 1 + least : e + 2 - a])
+            ends = better + k + 1 + least
+            score[ends], back[ends], stopped[ends] = total[better], k, True
     path, k = [], b - a
     while k > 0:
         j = int(back[k])
-        if by_start.get(a + j) == a + k - 1 and k - j > 1:
+        if stopped[k]:
             path.append((a + j, a + k - 1))
         k = j
     return path[::-1]
