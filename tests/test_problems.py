@@ -118,7 +118,7 @@ def test_readings(spark):
     got = {r.record_id: r for r in anomaly.anomalies(df).collect()}
     assert set(got) == {far, nobody, cross, *odd, *stuck}
     assert got[far].far and all(got[k].stuck for k in stuck) and not {fine, *few, *zeros, *seven} & set(got)
-    risk = {r.record_id for r in anomaly.anomalies(df, confirm="risk").collect()}
+    risk = {r.record_id for r in anomaly.anomalies(df, confirm=False).collect()}
     assert odd < risk and set(stuck) < risk
     assert anomaly.anomalies(df.limit(0)).count() == 0
 
@@ -141,9 +141,9 @@ def test_spikes_against_the_season_of_their_source(spark):
         add("thin", k % 5, 6 + 12 * (k % 2), (6.0, 8.0)[k % 2] + k * 0.01)
     spikes = {add("A", 1, 3, 19.0), add("hot", 1, 15, 19.0), add("late", 1, 4, 19.0)}
     df = spark.createDataFrame(rows, "src string, source string, record_id long, t long, x double")
-    assert {r.record_id for r in anomaly.anomalies(df, confirm="risk").collect()} == spikes
+    assert {r.record_id for r in anomaly.anomalies(df, confirm=False).collect()} == spikes
     counts = value_counts(df.withColumn("hour", anomaly.hour_of_day()), ["src", "source", "hour"], "x")
-    level = {(r.source, r.hour): r.level for r in anomaly.levels(counts, anomaly.Rules()).collect()}
+    level = {(r.source, h): x for r in anomaly.levels(counts, anomaly.centres(counts, anomaly.Rules()), anomaly.Rules()).collect() for h, x in enumerate(r.level)}
     assert abs(level["A", 3] - 5.2) < 0.2 and abs(level["A", 15] - 20.2) < 0.2 and abs(level["hot", 3] - 20.2) < 0.2
     m = {s: median(x for _, source, _, _, x in rows if source == s) for s in ("A", "hot", "late", "thin")}
     others = sum(level[s, 18] - m[s] for s in ("A", "hot", "late")) / 3

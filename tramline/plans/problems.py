@@ -31,9 +31,8 @@ def p2_signed_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return late.late_rows(table(spark, d, "vehicle_positions"), "vehicle_positions", "deliveryId", "timestamp", "receivedAt").unionByName(
-        late.late_rows(table(spark, d, "route_headways"), "route_headways", "recordId", "windowEnd", "emittedAt")
-    )
+    pings = late.events(table(spark, d, "vehicle_positions"), "vehicle_positions", "deliveryId", "timestamp", "receivedAt")
+    return late.late_events(pings.unionByName(late.events(table(spark, d, "route_headways"), "route_headways", "recordId", "windowEnd", "emittedAt")))
 
 
 def p3_hourly(spark: SparkSession, d: str) -> DataFrame:
@@ -49,9 +48,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_risk(spark: SparkSession, d: str) -> DataFrame:
-    """The same readings judged by their seasonal residuals against the fitted cut-offs at fixed risk instead of the fixed spread."""
+    """The same readings judged by the fitted cut-offs at fixed risk alone."""
     readings = anomaly.transit_readings(table(spark, d, "vehicle_positions"), table(spark, d, "shape_projections"))
-    return anomaly.anomalies(readings, confirm="risk")
+    return anomaly.anomalies(readings, confirm=False)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +75,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_kept: dict[str, SparkSession] = {}
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write df once as a Parquet table in the shared folder and go on from the table, so that later scans prune its
+    columns. `sweep` removes what this application has kept; it runs when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tramline-kept/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _kept:
+        atexit.register(sweep)
+    _kept[path] = spark
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep() -> None:
+    """Remove the tables that `keep` wrote."""
+    while _kept:
+        path, spark = _kept.popitem()
+        try:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # the session is gone; the folder is the application's own and can be removed by hand
+            return
+
+
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most max_rows rows; otherwise df as it is, so that the
     join shuffles. The size is counted (up to the bound) before the hint is given."""

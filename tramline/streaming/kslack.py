@@ -1,61 +1,82 @@
-"""K-slack over a stream: hourly figures, provisional from the buffer, final after the cut-off.
+"""K-slack over a stream: figures per period, provisional from the buffer, final after the cut-off.
 
-The key is the period (and a salt, so that one busy hour is spread; the salted parts are small and summed
-downstream by `combine`). A part keeps what an order-sensitive figure needs of the events it has, not the events.
+The key is the period and a part of it, so that one busy hour is spread. The state of a key is the `Part` of
+the batch form: its buffer and its figures. The watermark runs over the arrival times and is the clock: its
+timers release a period that nothing more comes for, and at the cut-off send its figures as final, once, and
+remove the state. Until then every batch sends what the figures are so far. Events that come after the cut-off
+are counted as dropped and make no new state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tramline.functions.ids import micros
-from tramline.operators.late import SECOND, Slack, k_slack
+from tramline.operators.late import Part, Slack, combined, events, figure_row
 
-STATE = "n long, total double, m long, first_at long, first double, last_at long, last double, late long, dropped long"
-OUT = "period long, part int, n long, total double, m long, first_at long, first double, last_at long, last double, corrects long, dropped long, state string"
-EMPTY = (0, 0.0, 0, None, None, None, None, 0, 0)
+STATE = "part binary"
+OUT = "period long, part int, state string, sent long, corrects long, dropped long, final_n long, final_m long, final_total double, final_first_at long, final_first_id long, final_first double, final_last_at long, final_last_id long, final_last double"
+COLUMNS = [c.split()[0] for c in OUT.split(", ")]
+RANK = {"provisional": 0, "corrected": 1, "final": 2}
 
 
 def _fold(slack: Slack):
+    def row(key: tuple, part: Part, state: str) -> pd.DataFrame:
+        f = part.so_far()
+        seen = f.n + part.dropped
+        return pd.DataFrame([{"period": key[0], "part": key[1], "state": state, "sent": seen, "corrects": part.corrects, "dropped": part.dropped, **figure_row("final", f)}], columns=COLUMNS)
+
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total, m, fa, fv, la, lv, late, dropped = state.get if state.exists else EMPTY
-        newest = 0
-        for f in frames:
-            newest = max(newest, int(f["_arrival"].max()))
-            dropped += int((f["verdict"] == "dropped").sum())
-            late += int((f["verdict"] == "corrects").sum())
-            keep = f[f["verdict"] != "dropped"]
-            n += len(keep)
-            x = keep[keep["value"].notna()]
-            if len(x):
-                total, m = total + float(x["value"].sum()), m + len(x)
-                lo, hi = x.loc[x["_event"].idxmin()], x.loc[x["_event"].idxmax()]
-                if fa is None or lo["_event"] < fa:
-                    fa, fv = int(lo["_event"]), float(lo["value"])
-                if la is None or hi["_event"] >= la:
-                    la, lv = int(hi["_event"]), float(hi["value"])
-        state.update((n, total, m, fa, fv, la, lv, late, dropped))
-        end = key[0] + slack.period_s * SECOND
-        word = "final" if newest >= end + slack.cutoff_s * SECOND else "corrected" if newest >= end + slack.slack_s * SECOND else "provisional"
-        yield pd.DataFrame([(key[0], key[1], n, total, m, fa, fv, la, lv, late, dropped, word)], columns=["period", "part", "n", "total", "m", "first_at", "first", "last_at", "last", "corrects", "dropped", "state"])
+        part = Part.load(state.get[0]) if state.exists else Part(int(key[0]), slack)
+        if state.hasTimedOut:
+            part.release()
+            if state.getCurrentWatermarkMs() * 1000 >= part.close_at:
+                state.remove()
+                yield row(key, part, "final")
+            else:
+                state.update((part.dump(),))
+                state.setTimeoutTimestamp(part.close_at // 1000)
+                yield row(key, part, "corrected" if part.corrects else "provisional")
+            return
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(["_at", "record_id"], kind="stable")
+        arrival = rows["_at"].to_numpy(np.int64)
+        known = state.exists
+        part.take(arrival, rows["event"].to_numpy(np.int64), rows["record_id"].to_numpy(np.int64), rows["value"].to_numpy(np.float64))
+        clock = state.getCurrentWatermarkMs()
+        if not known and clock * 1000 >= part.close_at:
+            # closed before: what comes now is dropped, and is all there is to say
+            yield row(key, part, "dropped")
+            return
+        state.update((part.dump(),))
+        next_at = part.close_at if part.provisional is not None else part.release_at
+        state.setTimeoutTimestamp(max(next_at // 1000, clock + 1))
+        yield row(key, part, "corrected" if part.corrects else "provisional")
 
     return fold
 
 
-def figures(rows: DataFrame, event: str, arrival: str, value: str, slack: Slack = Slack(), parts: int = 8) -> DataFrame:
-    """A stream of updates per (period, part); the newest of each pair counts."""
-    k = k_slack(rows, event, arrival, slack).select(F.col("_period").alias("period"), F.pmod(F.xxhash64(micros(event), micros(arrival)), F.lit(parts)).cast("int").alias("part"), "_event", "_arrival", "verdict", F.when(~F.isnan(value), F.col(value)).alias("value"))
-    return k.groupBy("period", "part").applyInPandasWithState(_fold(slack), OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+def figures(rows: DataFrame, record: str, event: str, arrival: str, value: str, slack: Slack = Slack(), parts: int = 8, disorder: str = "1 minute") -> DataFrame:
+    """A stream of updates per (period, part). disorder: how far arrival times may be out of order between batches; older ones are left out by the watermark."""
+    e = events(rows, "", record, event, arrival, value, slack).drop("src")
+    timed = e.withColumn("_clock", F.timestamp_micros("arrival")).withWatermark("_clock", disorder).withColumnRenamed("arrival", "_at")
+    k = timed.withColumn("part", F.pmod(F.xxhash64("record_id", "event"), F.lit(parts)).cast("int"))
+    return k.groupBy("period", "part").applyInPandasWithState(_fold(slack), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def combine(updates: DataFrame) -> DataFrame:
-    """Figures per period of the newest update of every part; n only grows, so the greatest is the newest."""
-    newest = updates.groupBy("period", "part").agg(F.max_by(F.struct("*"), F.struct("n", "dropped")).alias("u")).select("u.*")
-    return newest.groupBy("period").agg(
-        F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("m")).alias("avg"), F.min_by("first", "first_at").alias("first"), F.max_by("last", "last_at").alias("last"), F.sum("corrects").alias("corrects"), F.sum("dropped").alias("dropped")
-    )
+    """Figures per period of the newest update of every part, with what was dropped after the part was final; `state` is
+    final if every part is."""
+    rank = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])[F.col("state")]
+    live = updates.filter("state <> 'dropped'").groupBy("period", "part").agg(F.max_by(F.struct("*"), F.struct(rank, "sent")).alias("u")).select("u.*")
+    after = updates.filter("state = 'dropped'").groupBy("period").agg(F.sum("dropped").alias("_after"))
+    one = live.groupBy("period").agg(*combined(live, ["final"]), F.min(rank).alias("_rank"), F.sum("corrects").alias("corrects"), F.sum("dropped").alias("_dropped"))
+    word = F.element_at(F.array(*[F.lit(w) for w in RANK]), F.col("_rank") + 1)
+    both = one.join(after, "period", "full").withColumn("dropped", F.coalesce("_dropped", F.lit(0)) + F.coalesce("_after", F.lit(0)))
+    return both.select("period", F.coalesce("final_n", F.lit(0)).alias("n"), F.col("final_avg").alias("avg"), F.col("final_first").alias("first"), F.col("final_last").alias("last"), F.coalesce("corrects", F.lit(0)).alias("corrects"), "dropped", F.coalesce(word, F.lit("final")).alias("state"))
+
+
