@@ -1,12 +1,16 @@
-"""Stops and trips from location pings: semi-Markov segments with explicit durations.
+"""Stops and trips from location pings: hidden semi-Markov decoding with explicit durations.
 
-A track alternates between two states. A stop is a segment of pings whose emission is positive only within
-`radius_m` of the segment's first ping and whose duration has the support [min_stop_s, inf); travel is the
-state of every other ping. With `eager` entry segments are maximal and a stop is entered at the first ping
-that can begin one with probability 1, so exactly one state path has positive likelihood and decoding is a
-walk. Without it, `viterbi` weighs every stop, with every end that its first ping admits, by its emission, its
-duration (log-normal) and the entry odds against travel steps and keeps the best path. Travel is scored step by
-step; its duration has no distribution. Gaps longer than `gap_s` split tracks before anything else.
+A track alternates between two states. A stop is a segment whose pings all lie within `radius_m` of its first
+one, scattered around it as a Gaussian of `noise_m`; it lasts at least `min_stop_s`, with log-normal durations from
+there. Travel is a segment between stops, with exponential step lengths and log-normal durations of its own; at the
+edges of a track, where it began earlier or goes on, the chance of lasting at least as long counts. `decode_track` finds
+the best sequence of segments over all starts and durations, scoring stops by prefix sums.
+
+Two odds link the states: passing a ping that could begin a stop costs `skip_cost`, ending a stop while the next
+ping is still within its radius costs `leave_cost`. `Track()` has both beyond anything that the densities can weigh up: a stop
+is entered with certainty at the first ping that can begin one, and left where its radius ends, which is the path
+that TESTDATA fixes. `WEIGHED` has odds at which durations and positions decide. Gaps longer than `gap_s` split
+tracks before anything else.
 
 How it is spread: pings are first grouped by (vehicle, UTC day) with two hours of the neighbouring days
 around (no speed limit can be broken across a longer pause inside the box of positions), which settles
@@ -45,13 +49,15 @@ class Track:
     radius_m: float = 50.0
     min_stop_s: float = 300.0
     min_trip_m: float = 500.0
-    eager: bool = True
-    # Of the weighed decoding only: spread of a standing position, usual step, usual stop, odds of entry.
     noise_m: float = 15.0
     step_m: float = 150.0
     stop_log_s: float = 6.5
     stop_log_sd: float = 1.0
-    entry_log_odds: float = -3.0
+    travel_log_s: float = 7.0
+    travel_log_sd: float = 1.2
+    enter_cost: float = 3.0
+    skip_cost: float = 1e9
+    leave_cost: float = 1e9
 
     def halo_s(self) -> float:
         """Pings this far around a day settle it: a gap, and the longest time in which the box's diagonal breaks the speed limit."""
@@ -59,6 +65,10 @@ class Track:
         return self.gap_s + diagonal / self.top_speed
 
 
+#: Odds at which durations and positions decide.
+WEIGHED = Track(skip_cost=0.0, leave_cost=0.0)
+
+
 def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin((F.radians(lon2) - F.radians(lon1)) / 2), 2)
@@ -102,15 +112,15 @@ def pieces(stepped: DataFrame) -> DataFrame:
     return stepped.join(carried, ["vehicle", "day"]).withColumn("piece", piece).drop("_first", "_carry", "day")
 
 
-def metres(lat: np.ndarray, lon: np.ndarray, lat0: float, lon0: float) -> np.ndarray:
-    a, b = np.radians(lat), math.radians(lat0)
-    h = np.sin((a - b) / 2) ** 2 + np.cos(a) * math.cos(b) * np.sin((np.radians(lon) - math.radians(lon0)) / 2) ** 2
+def metres(lat: np.ndarray, lon: np.ndarray, lat0, lon0) -> np.ndarray:
+    a, b = np.radians(lat), np.radians(lat0)
+    h = np.sin((a - b) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin((np.radians(lon) - np.radians(lon0)) / 2) ** 2
     return 2 * EARTH_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
 
 
-def run_end(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, i: int, stop: int, how: Track) -> int:
+def run_end(lat: np.ndarray, lon: np.ndarray, i: int, how: Track) -> int:
     """One past the last ping of the longest run from i within the radius of i."""
-    lo, size = i + 1, 32
+    lo, size, stop = i + 1, 32, len(lat)
     while lo < stop:
         hi = min(stop, lo + size)
         out = np.flatnonzero(metres(lat[lo:hi], lon[lo:hi], lat[i], lon[i]) > how.radius_m)
@@ -120,74 +130,84 @@ def run_end(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, i: int, stop: int,
     return stop
 
 
-def stops_of(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, d: np.ndarray, cuts: np.ndarray, how: Track) -> list[tuple[int, int]]:
-    """Stops as (first, last) positions, in order, of pings in order of time; cuts: positions where pieces begin."""
-    out: list[tuple[int, int]] = []
-    least = how.min_stop_s * SECOND
-    edges = np.append(cuts, len(t))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if t[b - 1] - t[a] < least:
-            continue
-        admitted = []
-        i = int(a)
-        while i < b and t[b - 1] - t[i] >= least:
-            e = run_end(t, lat, lon, i, int(b), how)
-            if t[e - 1] - t[i] < least:
-                i += 1
-                continue
-            if how.eager:
-                out.append((i, e - 1))
-                i = e
-            else:
-                admitted.append((i, e - 1))
-                i += 1
-        if admitted:
-            out += viterbi(t, lat, lon, d, int(a), int(b), admitted, how)
-    return out
-
-
-def viterbi(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, d: np.ndarray, a: int, b: int, admitted: list[tuple[int, int]], how: Track) -> list[tuple[int, int]]:
-    """The stops of the best path through a..b. admitted: (first, furthest last) positions; a stop may end at any ping between that makes it long enough."""
-    travel = -d[a:b] / how.step_m - math.log(how.step_m)  # log density of a step's length on the way
-    score = np.full(b - a + 1, -np.inf)
+def log_normal(s: np.ndarray, mean: float, sd: float) -> np.ndarray:
+    return -0.5 * ((np.log(s) - mean) / sd) ** 2 - np.log(s * sd) - 0.5 * math.log(2 * math.pi)
+
+
+def log_longer(s: float, mean: float, sd: float) -> float:
+    """Log chance of a log-normal duration of at least s seconds."""
+    return math.log(max(1e-300, 0.5 * math.erfc((math.log(max(s, 1e-9)) - mean) / (sd * math.sqrt(2)))))
+
+
+def decode_track(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, d: np.ndarray, how: Track) -> list[tuple[int, int]]:
+    """The stops, as (first, last) positions in order, of the best path through the pings of one track.
+
+    Scores are log odds against a track that is travel throughout. A hypothesis is the end of a stop with the best
+    path to it. One goes when even the most that it can still gain leaves it below what another is sure of, so that
+    only paths that can't be the best go. With certain entry one hypothesis is left at a time, and every
+    ping is looked at once.
+    """
+    n, least = len(t), int(how.min_stop_s * SECOND)
+    if not n or t[-1] - t[0] < least:
+        return []
+    long = np.searchsorted(t, t + least)  # the first ping that a stop from here must reach
+    starts = np.flatnonzero(long < n)
+    starts = starts[metres(lat[starts], lon[starts], lat[long[starts]], lon[long[starts]]) <= how.radius_m]
+    if not len(starts):
+        return []
+    x = np.radians(lon - lon[0]) * EARTH_M * math.cos(math.radians(float(lat[0])))
+    y = np.radians(lat - lat[0]) * EARTH_M
+    upto = lambda v: np.concatenate([[0.0], np.cumsum(v)])
+    sx, sy, sq = upto(x), upto(y), upto(x * x + y * y)
+    gain = upto(np.maximum(0.0, d / how.step_m + math.log(how.step_m / how.noise_m)))  # at most, of a stop's pings over travelled ones
+    exact = upto(d / how.step_m + math.log(how.step_m / how.noise_m))
+    density = max(0.0, -math.log(min(how.stop_log_sd, how.travel_log_sd)) - how.stop_log_s + how.stop_log_sd**2)  # more than any duration's
+    surely = -700.0  # log_longer is never below it
+    # by the end of the last stop, plus 1; 0 is the beginning of the track
+    score, first, before = np.full(n + 1, -np.inf), np.full(n + 1, -1), np.zeros(n + 1, int)
     score[0] = 0.0
-    back = np.full(b - a + 1, -1)
-    stopped = np.zeros(b - a + 1, bool)  # whether the best path's last segment is a stop
-    by_start = dict(admitted)
-    for k in range(b - a):
-        if score[k] + travel[k] > score[k + 1]:
-            score[k + 1], back[k + 1], stopped[k + 1] = score[k] + travel[k], k, False
-        e = by_start.get(a + k)
-        if e is not None:
-            own = slice(a + k, e + 1)
-            r = metres(lat[own], lon[own], lat[a + k], lon[a + k])
-            stand = np.cumsum(-0.5 * (r / how.noise_m) ** 2 - math.log(how.noise_m))
-            since = t[own] - t[a + k]
-            least = int(np.searchsorted(since, how.min_stop_s * SECOND))
-            s = since[least:] / SECOND
-            long = -0.5 * ((np.log(s) - how.stop_log_s) / how.stop_log_sd) ** 2 - np.log(s * how.stop_log_sd)
-            total = score[k] + how.entry_log_odds + stand[least:] + long
-            better = np.flatnonzero(total > score[k + 1 + least : e + 2 - a])
-            ends = better + k + 1 + least
-            score[ends], back[ends], stopped[ends] = total[better], k, True
-    path, k = [], b - a
-    while k > 0:
-        j = int(back[k])
-        if stopped[k]:
-            path.append((a + j, a + k - 1))
-        k = j
-    return path[::-1]
-
-
-def piece_events(key: tuple, t: np.ndarray, lat: np.ndarray, lon: np.ndarray, d: np.ndarray, gap: np.ndarray, cut: np.ndarray, how: Track) -> dict:
+    lo = 0  # no hypothesis is before it
+    for i in starts.tolist():
+        on = np.flatnonzero(score[lo : i + 1] > -np.inf) + lo
+        if not len(on):
+            continue  # every path that is left stands still here
+        stop = run_end(lat, lon, i, how)
+        if long[i] >= stop:
+            continue
+        came = score[on] + log_normal((t[i] - t[on - 1]) / SECOND, how.travel_log_s, how.travel_log_sd) if on[0] else np.concatenate([[score[0] + log_longer((t[i] - t[0]) / SECOND, how.travel_log_s, how.travel_log_sd)], score[on[1:]] + log_normal((t[i] - t[on[1:] - 1]) / SECOND, how.travel_log_s, how.travel_log_sd)])
+        k = int(np.argmax(came))
+        ends = np.arange(long[i], stop)
+        away = (sq[ends + 1] - sq[i]) - 2 * (x[i] * (sx[ends + 1] - sx[i]) + y[i] * (sy[ends + 1] - sy[i])) + (ends + 1 - i) * (x[i] ** 2 + y[i] ** 2)
+        stand = exact[ends + 1] - exact[i] - away / (2 * how.noise_m**2)
+        total = came[k] - how.enter_cost + stand + log_normal((t[ends] - t[i]) / SECOND, how.stop_log_s, how.stop_log_sd) - how.leave_cost * (ends < stop - 1)
+        score[on] -= how.skip_cost  # what travels on has passed a start
+        sure = total.max() + surely
+        score[on[score[on] + gain[n] - gain[i] + density < sure]] = -np.inf
+        better = ends[(total > score[ends + 1]) & (total + gain[n] - gain[ends + 1] + density >= sure)]
+        score[better + 1], first[better + 1], before[better + 1] = total[better - long[i]], i, on[k]
+        while lo < n and score[lo] == -np.inf:
+            lo += 1
+    left = np.flatnonzero(score > -np.inf)
+    last = np.array([log_longer((t[-1] - t[e - 1]) / SECOND, how.travel_log_s, how.travel_log_sd) if 0 < e < n else 0.0 for e in left.tolist()])
+    e, out = int(left[np.argmax(score[left] + last)]), []
+    while e:
+        out.append((int(first[e]), e - 1))
+        e = int(before[e])
+    return out[::-1]
+
+
+def stops_of(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, d: np.ndarray, gaps: np.ndarray, how: Track) -> list[tuple[int, int]]:
+    """Stops as (first, last) positions, in order, of pings in order of time; gaps: positions where tracks begin."""
+    edges = sorted({0, *gaps.tolist(), len(t)})
+    return [(a + i, a + e) for a, b in zip(edges[:-1], edges[1:], strict=True) for i, e in decode_track(t[a:b], lat[a:b], lon[a:b], d[a:b], how)]
+
+
+def piece_events(key: tuple, t: np.ndarray, lat: np.ndarray, lon: np.ndarray, d: np.ndarray, gap: np.ndarray, how: Track) -> dict:
     """Events of one piece in order: track begins (B), stop (S), rest of the piece (E); metres: the way since the event before."""
-    cuts = np.flatnonzero(cut)
-    if not len(cuts) or cuts[0]:
-        cuts = np.concatenate([[0], cuts])
     way = np.cumsum(d)
     rows: list[tuple[str, int, int, float]] = []
     begins = np.flatnonzero(gap)
-    stops = stops_of(t, lat, lon, d, cuts, how)
+    stops = stops_of(t, lat, lon, d, begins, how)
     marks = sorted([(int(i), 0, int(i)) for i in begins] + [(s, 1, e) for s, e in stops])
     at = float(way[0] - d[0])  # the way at the event before
     for n, (i, kind, e) in enumerate(marks):
@@ -214,12 +234,12 @@ def decode(how: Track):
         b = pa.Table.from_batches(parts).combine_chunks()
         vehicle, piece = b["vehicle"].to_numpy(), b["piece"].to_numpy()
         t, lat, lon, d = (b[c].to_numpy() for c in ("t", "lat", "lon", "d"))
-        gap, cut = b["gap"].to_numpy(), b["cut"].to_numpy()
+        gap = b["gap"].to_numpy()
         edges = np.flatnonzero((vehicle[1:] != vehicle[:-1]) | (piece[1:] != piece[:-1])) + 1
         edges = np.concatenate([[0], edges, [len(t)]])
         for x, y in zip(edges[:-1], edges[1:], strict=True):
             s = slice(int(x), int(y))
-            out.append(piece_events((vehicle[x], int(piece[x])), t[s], lat[s], lon[s], d[s], gap[s], cut[s], how))
+            out.append(piece_events((vehicle[x], int(piece[x])), t[s], lat[s], lon[s], d[s], gap[s], how))
 
     def batch_of(out: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({f.name: [v for o in out for v in o[f.name]] for f in EVENTS}, schema=EVENTS)
@@ -255,7 +275,7 @@ def decode(how: Track):
 
 
 def events(pings: DataFrame, how: Track = Track()) -> DataFrame:
-    cut_up = pieces(steps(pings, how)).select("vehicle", "piece", "t", "lat", "lon", "d", "gap", "cut")
+    cut_up = pieces(steps(pings, how)).select("vehicle", "piece", "t", "lat", "lon", "d", "gap")
     return cut_up.repartition("vehicle", "piece").sortWithinPartitions("vehicle", "piece", "t").mapInArrow(decode(how), EVENTS_SQL)
 
 

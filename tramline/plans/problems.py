@@ -59,7 +59,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_weighed(spark: SparkSession, d: str) -> DataFrame:
     """Stops and trips of the best path by duration, emission and entry odds, with durations and distances."""
-    t = trips.stops_and_trips(table(spark, d, "vehicle_positions"), trips.Track(eager=False))
+    t = trips.stops_and_trips(table(spark, d, "vehicle_positions"), trips.WEIGHED)
     return t.select("vehicle_id", "kind", "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"), F.round("metres", 1).alias("metres"))
 
 
