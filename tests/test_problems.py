@@ -39,9 +39,37 @@ def test_batches_and_ranges_agree(spark):
     assert sorted(map(tuple, dedup.ping_ranges(v, 1).collect())) == sorted(map(tuple, dedup.ping_ranges(v, 3).collect()))
 
 
-def test_ranges_merge_and_stay_in_their_block(spark):
-    df = spark.createDataFrame([("a", 0, 5, 9), ("a", 0, 1, 3), ("a", 0, 4, 4), ("a", 0, 7, 7), ("a", 0, 12, 12), ("a", 1, 13, 13), ("b", 0, 2, 2)], "producer string, block long, lo long, hi long")
-    assert sorted(map(tuple, dedup.merge_ranges(df).collect())) == [("a", 0, 1, 9), ("a", 0, 12, 12), ("a", 1, 13, 13), ("b", 0, 2, 2)]
+def test_ranges_against_a_set():
+    rng = random.Random(2)
+    for span in (5, 40, 400):  # dense to sparse
+        r, seen = dedup.Ranges(), set()
+        for _ in range(300):
+            if rng.random() < 0.1:
+                lo = rng.randrange(span)
+                hi = lo + rng.randrange(6)
+                r.add(lo, hi)
+                seen.update(range(lo, hi + 1))
+            else:
+                x = rng.randrange(span)
+                assert r.accept(x) == (x not in seen)
+                seen.add(x)
+            assert {y for a, b in zip(r.lo, r.hi) for y in range(a, b + 1)} == seen and all(h + 1 < n for h, n in zip(r.hi, r.lo[1:]))
+
+
+def test_dense_numbers_make_few_ranges(spark):
+    """Numbers without gaps, delivered out of order, several times and over a block's edge, in several batches."""
+    rng = random.Random(3)
+    rows = [(k, at(rng.randrange(5000)), v, at(s)) for k, (v, s) in enumerate((v, s) for v in ("a", "b") for s in range(3400, 7300) for _ in range(rng.choice([1, 1, 3])))]
+    df = spark.createDataFrame(rows, PING)
+    first = {}
+    for d, received, v, t in rows:
+        first[v, t] = min(first.get((v, t), (received, d)), (received, d))
+    want = {d for d, *_ in rows} - {d for _, d in first.values()}
+    base = int((T0 - dt.datetime(1970, 1, 1)).total_seconds())
+    edges = [base + 3400, *range((base + 3400) // 3600 * 3600 + 3600, base + 7300, 3600), base + 7300]
+    for batches in (1, 3):
+        assert {r.delivery_id for r in dedup.repeated_deliveries(df, batches).collect()} == want
+        assert sorted((r.producer, r.lo, r.hi) for r in dedup.ping_ranges(df, batches).collect()) == [(v, a, b - 1) for v in "AB" for a, b in zip(edges[:-1], edges[1:])]
 
 
 def test_hot_identifier(spark):

@@ -72,21 +72,33 @@ def test_episode_fold(spark, tmp_path):
 
 def test_kslack(spark, tmp_path):
     v = table(spark, SF, "vehicle_positions")
-    stream = slices(v.withColumn("_o", F.col("receivedAt").cast("timestamp").cast("double")), str(tmp_path / "in"), "receivedAt")
-    q = kslack.figures(stream, "timestamp", "receivedAt", "speedMetersPerSecond").writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{tmp_path}/out/b={n}")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    drain(q)
-    got = {x.period: x for x in kslack.combine(spark.read.parquet(f"{tmp_path}/out").drop("b")).collect()}
-    for w in late.released(v, "v", "deliveryId", "timestamp", "receivedAt", "speedMetersPerSecond").collect():
-        g = got[int(w.period.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)] if w.period.tzinfo is None else None
-        assert (g.n, g.corrects, g.dropped) == (w.final_n, w.corrects, w.dropped)
-        assert g.avg == pytest.approx(w.final_avg) if w.final_avg is not None else g.avg is None
+    end = v.selectExpr("max(receivedAt) + interval 9 hours as receivedAt", "max(receivedAt) + interval 9 hours as timestamp")  # moves the clock past every cut-off
+    v2 = v.unionByName(end.selectExpr("-1L as deliveryId", "receivedAt", "timestamp"), allowMissingColumns=True)
+    for n in (3, 6):  # whatever the batches
+        stream = slices(v2.withColumn("_o", F.col("receivedAt").cast("timestamp").cast("double")), str(tmp_path / f"in{n}"), "receivedAt", n)
+        q = kslack.figures(stream, "deliveryId", "timestamp", "receivedAt", "speedMetersPerSecond").writeStream.outputMode("append").foreachBatch(lambda b, k, n=n: b.write.mode("overwrite").parquet(f"{tmp_path}/out{n}/b={k}")).option("checkpointLocation", str(tmp_path / f"cp{n}")).trigger(availableNow=True).start()
+        drain(q)
+        sent = spark.read.parquet(f"{tmp_path}/out{n}").collect()
+        finals = [(x.period, x.part) for x in sent if x.state == "final"]
+        assert len(finals) == len(set(finals))  # once
+        last = {}
+        for x in sorted(sent, key=lambda x: x.b):
+            assert last.get((x.period, x.part)) != "final" or x.state == "dropped"  # never taken back
+            last[x.period, x.part] = x.state
+        got = {x.period: x for x in kslack.combine(spark.read.parquet(f"{tmp_path}/out{n}").drop("b")).collect()}
+        for w in late.released(v, "v", "deliveryId", "timestamp", "receivedAt", "speedMetersPerSecond").collect():
+            g = got[int(w.period.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)]
+            assert (g.n, g.corrects, g.dropped, g.first, g.last) == (w.final_n, w.corrects, w.dropped, w.final_first, w.final_last)
+            assert g.avg == pytest.approx(w.final_avg) if w.final_avg is not None else g.avg is None
+        assert {g.state for g in got.values()} == {"final", "provisional"}  # the clock's own period goes on
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8  # all other state is gone
 
 
 def test_dedup_stream(spark, tmp_path):
     v = table(spark, SF, "vehicle_positions")
     stream = slices(v.withColumn("_o", F.col("receivedAt").cast("timestamp").cast("double")), str(tmp_path / "in"), "receivedAt")
-    kept = []
-    run = dedup.accept_into(str(tmp_path / "state"), lambda df, n: kept.extend(x.deliveryId for x in df.collect()), ["deliveryId"])
-    drain(stream.writeStream.foreachBatch(run).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    q = dedup.accepted(stream).writeStream.format("memory").queryName("accepted").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    drain(q)
+    kept = [x.delivery_id for x in spark.table("accepted").collect()]
     dropped = {x.delivery_id for x in repeated_deliveries(v).collect()}
     assert len(kept) == len(set(kept)) and set(kept) == {x.deliveryId for x in v.select("deliveryId").collect()} - dropped

@@ -1,45 +1,36 @@
-"""Repeated messages over a stream: seen ranges kept in a table, batch by batch."""
+"""Repeated messages over a stream: the seen ranges of a block of numbers are its state.
+
+A micro-batch reads and writes the state of the blocks that it has rows of, and of no others. Copies may come at any
+time, so state is kept; ranges merge, so that a block without gaps is one of them.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tramline.functions.ids import micros, normal_id, seconds
-from tramline.operators.dedup import Seen, apply_batch, first_deliveries
-
-RANGES = "producer string, block long, lo long, hi long"
-EXACT = "raw_producer string, raw_number long"
-
-
-def accept_into(folder: str, sink: Callable[[DataFrame, int], None], carry: list[str]):
-    """A foreachBatch function: gives every batch's new messages to `sink` and writes the seen ranges as of the batch.
-
-    State of batch n is written as folder/n once the sink has run, and read from the greatest number below n, so a
-    batch that runs again starts from the same state.
-    """
+from tramline.operators.dedup import RANGE, Keys, Ranges, ping_deliveries
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        seen = _load(spark, folder, batch_id)
-        first = first_deliveries(batch, normal_id("vehicleId"), seconds("timestamp"), F.col("vehicleId"), micros("timestamp"), [micros("receivedAt"), F.col("deliveryId")], carry)
-        step = apply_batch(first, carry, seen)
-        sink(step.accepted, batch_id)
-        step.seen.ranges.write.mode("overwrite").parquet(f"{folder}/{batch_id}/ranges")
-        step.seen.exact.write.mode("overwrite").parquet(f"{folder}/{batch_id}/exact")
 
-    return run
+def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    seen = Ranges() if key[0] == RANGE else Keys()
+    if state.exists:
+        for lo, hi in pickle.loads(state.get[0]):
+            seen.add(lo, hi)
+    rows = pd.concat(list(frames), ignore_index=True).sort_values(["received", "delivery_id"], na_position="first", kind="stable")
+    number = [None if missing else int(x) for x, missing in zip(rows["number"], rows["number"] == "", strict=True)]
+    new = [seen.accept(x) for x in number]
+    state.update((pickle.dumps(list(zip(seen.lo, seen.hi, strict=True))),))
+    yield pd.DataFrame({"delivery_id": rows["delivery_id"][new].astype("int64")})
 
 
-def _load(spark: SparkSession, folder: str, before: int) -> Seen | None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return None
-    numbers = [int(s.getPath().getName()) for s in fs.listStatus(hadoop) if s.getPath().getName().isdigit()]
-    done = max((n for n in numbers if n < before), default=None)
-    if done is None:
-        return None
-    return Seen(spark.read.schema(RANGES).parquet(f"{folder}/{done}/ranges"), spark.read.schema(EXACT).parquet(f"{folder}/{done}/exact"))
+def accepted(pings: DataFrame) -> DataFrame:
+    """A stream of the delivery_id of every new message of a stream of pings, once."""
+    # numbers go as text: a null among them would make pandas turn all into floats
+    d = ping_deliveries(pings).select("kind", "producer", "block", "received", "delivery_id", F.coalesce(F.col("lo").cast("string"), F.lit("")).alias("number"))
+    return d.groupBy("kind", "producer", "block").applyInPandasWithState(_fold, "delivery_id long", "seen binary", "append", GroupStateTimeout.NoTimeout)
