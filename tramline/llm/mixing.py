@@ -1,9 +1,15 @@
 """Mixing sources to target shares of the tokens, with a cap on how often a document may be used.
 
-Weights are tempered shares. `exponent_for_entropy` bisects the exponent of the natural shares to a target
-entropy; `exponent_for_limit` bisects the exponent that leads from natural shares (0) to target shares (1) to
-the largest at which no source is repeated more than its limit within the budget. Without a budget the
-largest one is taken that meets every target that can be met; sources without a token can't meet theirs.
+Weights are tempered: a source's token share to the power of one exponent, times its target share to the power of
+what that leaves of 1, normalised (`blended`); exponent 0 of the token shares is the targets, 1 is the sources as they
+are. The exponent is bisected
+
+  - to a repetition limit: given a budget, to the nearest to the targets at which no source must be repeated more
+    than it may;
+  - without a budget, to `tolerance`: to the largest mix whose weights are all within it of the targets that can be met;
+  - to an entropy: token shares alone are tempered until they have the entropy that is asked for.
+
+Sources without a token, or that may not be used, can't meet their targets; the others share what they leave.
 
 The weights are realised as budgeted block permutations: a source's quota is whole passes over its documents
 and one partial pass, which takes its documents in the order of a seeded hash, block by block, up to the rest
@@ -62,7 +68,9 @@ def token_sizes(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def temper(shares: list[float], exponent: float) -> list[float]:
-    x = [s**exponent if s > 0 else 0.0 for s in shares]
+    """Shares to the power of the exponent, normalised; with an infinite one the greatest share it all."""
+    most = max(shares, default=0.0)
+    x = [(s / most) ** exponent if s > 0 else 0.0 for s in shares]
     total = sum(x)
     return [v / total for v in x] if total else x
 
@@ -82,13 +90,19 @@ def bisect(f, lo: float, hi: float) -> float:
 
 
 def exponent_for_entropy(shares: list[float], target: float) -> float:
-    """The exponent in [0, 8] of the shares at which their entropy falls to `target` nats: 0 if even equal shares have less."""
-    return bisect(lambda a: entropy(temper(shares, a)) >= target, 0.0, 8.0)
+    """The exponent at which the entropy of the shares falls to `target` nats: 0 if even equal shares have less, infinite
+    if the greatest shares alone, which are equal, still have more."""
+    if entropy(temper(shares, math.inf)) > target + 1e-9:
+        return math.inf
+    hi = 1.0
+    while hi < 1e12 and entropy(temper(shares, hi)) >= target:
+        hi *= 2
+    return bisect(lambda a: entropy(temper(shares, a)) >= target, 0.0, hi)
 
 
 def blended(natural: list[float], target: list[float], exponent: float) -> list[float]:
-    """Shares on the way from natural (0) to target (1): natural * (target / natural) ** exponent, normalised."""
-    x = [n * (t / n) ** exponent if n > 0 and t > 0 else 0.0 for n, t in zip(natural, target, strict=True)]
+    """natural ** exponent * target ** (1 - exponent), normalised: from the targets (0) to the shares as they are (1)."""
+    x = [n**exponent * t ** (1 - exponent) if n > 0 and t > 0 else 0.0 for n, t in zip(natural, target, strict=True)]
     total = sum(x)
     return [v / total for v in x] if total else x
 
@@ -101,19 +115,28 @@ class Plan:
     quotas: list[float]
 
 
-def plan(tokens: list[float], targets: list[float], repeats: list[float], budget: float | None = None) -> Plan:
-    """Weights and token quotas of sources. Every quota is at most repeats * tokens, whatever the budget; a source that may give nothing has none."""
+def plan(tokens: list[float], targets: list[float], repeats: list[float], budget: float | None = None, entropy_nats: float | None = None, tolerance: float = 0.02) -> Plan:
+    """Weights and token quotas of sources; `exponent` is that of the token shares. Every quota is at most repeats * tokens, whatever the budget; a source that may give nothing has none."""
     targets = [g if r * t > 0 else 0.0 for g, r, t in zip(targets, repeats, tokens, strict=True)]
     total = sum(t for t, g in zip(tokens, targets, strict=True) if g > 0)
     if not total:
         return Plan(0.0, 0.0, [0.0] * len(tokens), [0.0] * len(tokens))
     natural = [t / total if g > 0 else 0.0 for t, g in zip(tokens, targets, strict=True)]
-    fits = lambda w, b: all(x * b <= r * t * (1 + 1e-12) for x, r, t in zip(w, repeats, tokens, strict=True))
-    if budget is None:
-        w = blended(natural, targets, 1.0)
-        budget = min(r * t / x for x, r, t in zip(w, repeats, tokens, strict=True) if x > 0)
-    exponent = bisect(lambda a: fits(blended(natural, targets, a), budget), 0.0, 1.0)
-    weights = blended(natural, targets, exponent)
+    goal = temper(targets, 1.0)
+    most = lambda w: min(r * t / x for x, r, t in zip(w, repeats, tokens, strict=True) if x > 0)
+    if entropy_nats is not None:
+        exponent = exponent_for_entropy(natural, entropy_nats)
+        weights = temper(natural, exponent)
+        budget = most(weights) if budget is None else budget
+    else:
+        if budget is None:
+            near = lambda w: all(abs(x - g) <= tolerance * g * (1 + 1e-12) for x, g in zip(w, goal, strict=True))
+            exponent = bisect(lambda a: near(blended(natural, goal, a)), 0.0, 1.0)
+            budget = most(blended(natural, goal, exponent))
+        else:
+            # the way from the shares as they are, which need the fewest repeats, towards the targets
+            exponent = 1.0 - bisect(lambda a: most(blended(natural, goal, 1.0 - a)) >= budget * (1 - 1e-12), 0.0, 1.0)
+        weights = blended(natural, goal, exponent)
     # A budget beyond all limits: what a capped source can't give goes to the others by weight.
     quotas, free, left = [0.0] * len(tokens), [x > 0 for x in weights], budget
     while any(free) and left > 1e-9:
@@ -135,10 +158,11 @@ class Mix:
     shares: DataFrame  # one row per target
 
 
-def mix(docs: DataFrame, targets: DataFrame, budget: float | None = None, tokenizer: str = TOKENIZER, seed: int = 7, budget_share: float | None = None) -> Mix:
+def mix(docs: DataFrame, targets: DataFrame, budget: float | None = None, tokenizer: str = TOKENIZER, seed: int = 7, budget_share: float | None = None, entropy_of_targets: bool = False, tolerance: float = 0.02) -> Mix:
     """Which documents to use how often, and the shares reached.
 
-    budget is in tokens; budget_share gives it as a multiple of the tokens of all sources that have a target.
+    budget is in tokens; budget_share gives it as a multiple of the tokens of all sources that have a target. With
+    entropy_of_targets the token shares are tempered to the entropy of the targets that can be met.
 
     Sources are compared without case, blanks and _ for -. Documents of null or unknown sources aren't used;
     empty ones carry no tokens and are never taken. A source with several target rows counts with the sum of
@@ -156,7 +180,8 @@ def mix(docs: DataFrame, targets: DataFrame, budget: float | None = None, tokeni
     have = [float(per[r.source].tokens) if r.source in per else 0.0 for r in goal]
     if budget_share is not None:
         budget = budget_share * sum(x for x, r in zip(have, goal, strict=True) if r.target_share > 0)
-    p = plan(have, [r.target_share for r in goal], [float(r.max_repeats) for r in goal], budget)
+    can = [r.target_share if r.max_repeats * x > 0 else 0.0 for r, x in zip(goal, have, strict=True)]
+    p = plan(have, [r.target_share for r in goal], [float(r.max_repeats) for r in goal], budget, entropy(temper(can, 1.0)) if entropy_of_targets else None, tolerance)
     passes = [int(q // t) if t else 0 for q, t in zip(p.quotas, have, strict=True)]
     rest = [int(round(q - n * t)) for q, n, t in zip(p.quotas, passes, have, strict=True)]
     quota = spark.createDataFrame([(r.source, n, x) for r, n, x in zip(goal, passes, rest, strict=True)], "source string, _passes int, _rest long")
