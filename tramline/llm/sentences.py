@@ -1,119 +1,157 @@
 """Sentence units by a hidden-event n-gram model, decided by forward-backward posteriors.
 
-Between the words of a text a boundary event may hide. Blank lines, list items and, in Thai, blanks between
-letters are certain events. All other events can only hide in slots: after an end mark and what closes with
-it. The model is a hidden-event bigram model, trained on the texts themselves: P(event | word before) and
-P(word after | event) come from counts in which certain events stand for hidden ones (a block's end is an
-event after its last word, a block's start one before its first; inside a block, a word with no slot before
-it has none). A slot's two states are scored by both, neighbouring slots are linked by the length of the
-sentence between them, and a slot is a boundary if its posterior is at least 0.5.
-
-What the definition of a unit fixes is evidence of weight `SURE`: dots in a row before a small letter, an
-ideograph or kana; an end mark inside a quotation or bracket that is still open.
-
-Counts are kept by hash of the word in `BUCKETS` buckets, so that the model has the same size for any corpus
-while every document counts.
+A text is a sequence of words, each with the signs and the blank behind it; between any two a boundary event may
+hide. In scripts that put no blanks between words every letter cluster is a word. The model is a trigram over words and
+events: P(event | the two words before it, or an event and the word after that), P(word | event), P(word | none), and
+P(word | an event and the word after that). Every order is averaged with the next lower one, down to the forms of words and
+the kinds of signs and blanks behind them, so that counts alone decide what an abbreviation, an end mark or a
+blank means, in any script.
+
+Nothing tells the model where events are but what the definition of a unit makes certain: blank lines and list items
+(a block's end is an event, a block's start follows one), dots in a row (an event, unless a small letter, an ideograph or
+kana follows), and that a quotation, a bracket or an item's marker holds none. All others are hidden. A first pass counts
+what ends blocks and begins them. Block ends are a share of all events, and the share is told by the signs that
+nearly always end a unit; so the first counts give P(event | words before). A second pass counts, by these chances,
+which words events are expected before. Then every block is decided by forward-backward over its slots.
+
+Counts are kept by hash in tables of fixed size, so that the model has the same size for any corpus while every
+document counts.
 """
 
 from __future__ import annotations
 
-import math
 import pickle
 import re
+import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.session import cut
+from tramline.session import keep
 
-BUCKETS = 1 << 18
-SURE = 12.0
-_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "\u200b\ufeff"
 #: What counts as a blank beside white space: it has no width (fixed values).
-_BLANK = "\\s​﻿"
-_THAI_GAP = re.compile(f"(?<=[฀-๿])[{_BLANK}]+(?=[฀-๿])")
-_THAI = re.compile("[฀-๿]")
+_BLANK = "\\s\u200b\ufeff"
 #: Signs that begin a list item (fixed values).
 _ITEM = re.compile(r"[ \t]*(?:([-*•‣◦▪●○–—·+])|\(?(\d{1,3}|[A-Za-z])[.)])[ \t]+\S")
-_MARK = ".!?…。！？｡।॥።፧؟‼⁇⁈⁉۔;;"
+#: Signs by what they are (fixed values).
+_STOPS, _STRONG = ".", "!?。！？｡।॥።፧؟‼⁇⁈⁉۔;"
+_DOTS = "…"
 _OPEN, _CLOSE = "([{“„«‹「『（【《〈〔", ")]}”»›」』）】》〉〕"
-#: One event of a block: end marks, or a quote or bracket.
-_EVENT = re.compile(f"[{re.escape(_MARK)}]+(?: ?[!?]+)?|[\"{re.escape(_OPEN + _CLOSE)}]")
-_AFTER = re.compile(f"[{_BLANK}]*")
-_WORD = re.compile(r"\w+(?:[-'’]\w+)*")
-_WORDS = re.compile(r"(\w+(?:[-'’]\w+)*)(?:\W{1,3}(\w+))?")
+#: Straight double quotes are told apart in pairs before words are.
+_OPENED, _CLOSED = "\ue000", "\ue001"
+_COMMA, _COLON, _DASH = ",;،؛，、፣፤·", ":：፡፥", "-–—"
+_GERMAN = re.compile("„[^“„]*“")
+_STRAIGHT = re.compile('"([^"]*)"')
+
+
+def _signs() -> str:
+    """Everything in the basic plane that is no letter, mark, digit or blank, as a character class."""
+    out, run = [], None
+    for k in range(0x10000):
+        c = chr(k)
+        sign = (unicodedata.category(c)[0] in "PS" and c != "_") or c in _OPENED + _CLOSED
+        if sign and run is None:
+            run = k
+        elif not sign and run is not None:
+            out.append((run, k - 1))
+            run = None
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" if b > a else f"\\u{a:04x}" for a, b in out)
+
+
+_SIGNS = _signs()
+_O, _C = re.escape(_OPEN + _OPENED), re.escape(_CLOSE + _CLOSED)
+_CLUSTER = "[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f]|[\u0e01-\u0e30\u0e32\u0e33\u0e40-\u0e46\u0e50-\u0e59][\u0e31\u0e34-\u0e3a\u0e47-\u0e4e]*"
+_LETTER = f"[^{_BLANK}{_SIGNS}\u0e01-\u0e5b\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f]"
+#: (openers, word, signs behind it, blank): a text is nothing but these, one after the other.
+_TOKEN = re.compile(f"([{_O}¿¡]*)({_CLUSTER}|{_LETTER}+(?:[-'’]{_LETTER}+)*)?((?:(?![{_O}¿¡])[{_SIGNS}\u0e31\u0e34-\u0e3a\u0e47-\u0e5b])*(?: [!?]+)?)([{_BLANK}]*)")
 _DIGITS = re.compile(r"\d+")
-_STRIP = "\"'([{“„«‹「『（¿¡‘’”»)*_-–—•"
-_IDEO_KANA = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ]")
-#: Prior chance of an event by the form of the word before, and of a start by that of the word after.
-_LEFT_PRIOR = {"known": 0.03, "letter": 0.08, "dotted": 0.3, "short": 0.75, "word": 0.97, "number": 0.9}
-_RIGHT_PRIOR = {"none": 0.1, "upper": 0.45, "lower": 0.01, "number": 0.06, "other": 0.3}
-#: Usual abbreviations before a name, a number or a word (fixed values); they only lower the prior.
-_KNOWN = frozenset(
-    "e.g i.e mr mrs ms dr prof capt lt sgt col gen gov sen rep rev hon st jr sr inc ltd co corp vs cf approx no nos vol fig ed eds pp p ch sec art dept est ext tel jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun wk min max ave blvd rd "
-    "fr hr nr str abt bzw ca vgl usw evtl ggf inkl exkl zzgl bd jh mio mrd tél mme mlle mm me av bd env éd dra sra srta núm pág págs ej ext av apdo aprox тел ул стр см г гг тыс млн млрд руб им проф д-р т п е д пр κ κα δρ αρ τηλ σελ δηλ π.χ डॉ श्री नं रु د أ".split()
-)
-_LEFT_FORM = {k: n for n, k in enumerate(_LEFT_PRIOR)}
-_RIGHT_FORM = {k: n for n, k in enumerate(_RIGHT_PRIOR)}
-_START_RATE = 0.1  # share of words that begin a unit, of the right prior's scale
-_KAPPA = 4.0  # weight of a prior, in occurrences
-_LINK = -2.0  # a sentence of one word with a full stop
-
-KINDS = ("before", "final", "before2", "final2", "initial", "total", "after2", "initial2")
-
-
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
-
-
-def cached(f):
-    """f with what it gave for the words of the last texts; emptied when large."""
-    seen: dict = {}
-
-    def g(*key):
-        got = seen.get(key)
-        if got is None:
-            if len(seen) > 300_000:
-                seen.clear()
-            got = seen[key] = f(*key)
-        return got
-
-    return g
-
-
-@cached
-def left_word(word: str) -> tuple[str, int, int]:
-    """(normal word with full stop, its bucket, its form)."""
-    w = _DIGITS.sub("0", word.lstrip(_STRIP).lower())
-    form = "known" if w in _KNOWN else "number" if w[-1:].isdigit() else "letter" if len(w) <= 1 else "dotted" if "." in w else "short" if len(w) <= 4 else "word"
-    return w + ".", bucket("l" + w + "."), _LEFT_FORM[form]
+_AT = re.compile("@|://")
+_EDGE = re.compile(f"[{_BLANK}{_O}\u0e01-\u0e5b\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f]")
+_SIGN = re.compile(f"[{_SIGNS}]")
 
 
-@cached
-def left_pair(word: str, normal: str) -> int:
-    return bucket("2" + _DIGITS.sub("0", word.lstrip(_STRIP).lower()) + " " + normal)
-
-
-@cached
-def right_word(word: str) -> tuple[int, int]:
-    """(bucket, form)."""
-    if not word:
-        return 0, _RIGHT_FORM["none"]
-    form = "number" if word[0].isdigit() else "upper" if word[0].isupper() else "lower" if word[0].islower() else "other"
-    return bucket("r" + _DIGITS.sub("0", word)), _RIGHT_FORM[form]
+def _joined(text: str) -> str:
+    """text with mail and web addresses as single words: signs in them become letters."""
+    out, done = [], 0
+    for m in _AT.finditer(text):
+        if m.start() < done:
+            continue
+        a, b = m.start(), m.end()
+        while a > done and not _EDGE.match(text[a - 1]):
+            a -= 1
+        while b < len(text) and not _EDGE.match(text[b]):
+            b += 1
+        while b > m.end() and _SIGN.match(text[b - 1]):
+            b -= 1
+        out += (text[done:a], _SIGN.sub("\ue010", text[a:b]))
+        done = b
+    return "".join(out) + text[done:]
+
+
+# Forms of words: none, digits, capital, small, and letters without case in three groups of scripts.
+NONE, DIGIT, UPPER, LOWER, IDEOGRAPH, THAI, PLAIN = range(7)
+# Kinds of signs behind a word; those from CLOSED on have a quotation or bracket closed, `CARRIED` ones after a comma or colon.
+BARE, COMMA, COLON, STOP, STRONG, DOTS, DASH, OTHER = range(8)
+CLOSED, CARRIED = 8, 16
+
+
+class Words(dict):
+    """(hash, form, length group) of a word, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        low = _DIGITS.sub("0", word.lower())
+        c = word[:1]
+        if not c:
+            form = NONE
+        elif c.isdigit():
+            form = DIGIT
+        elif c.isupper():
+            form = UPPER
+        elif c.islower():
+            form = LOWER
+        elif "\u0e00" <= c <= "\u0e7f":
+            form = THAI
+        else:
+            form = IDEOGRAPH if re.match(_CLUSTER, c) else PLAIN
+        n = min(5, len(low))
+        got = self[word] = (zlib.crc32(low.encode("utf-8", "surrogatepass")) << 6) | (form << 3) | n
+        return got
 
 
-@cached
-def right_pair(word: str, following: str) -> int:
-    return bucket("q" + _DIGITS.sub("0", word) + " " + _DIGITS.sub("0", following))
+class Tails(dict):
+    """(hash, kind, opens and closes) of the signs behind a word, remembered."""
+
+    def __missing__(self, tail: str) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        inner = tail.rstrip(_CLOSE + _CLOSED)
+        bare = inner.rstrip()
+        if not bare:
+            kind = BARE
+        elif _DOTS in bare or ".." in bare:
+            kind = DOTS
+        elif any(c in _STRONG for c in bare):
+            kind = STRONG
+        elif bare[-1] == _STOPS:
+            kind = STOP
+        elif bare[-1] in _COLON:
+            kind = COLON
+        elif bare[-1] in _COMMA:
+            kind = COMMA
+        else:
+            kind = DASH if bare[-1] in _DASH else OTHER
+        closes = sum(c in _CLOSE + _CLOSED for c in tail)
+        got = self[tail] = (zlib.crc32(tail.encode("utf-8", "surrogatepass")) << 8) | (min(closes, 7) << 4) | kind
+        return got
 
 
+_words, _tails = Words(), Tails()
 _ENDED = re.compile(r"[.!?…。！？।።:：;,][\"'”’»)\]」』]*\s*$")
 
 
@@ -127,11 +165,11 @@ def _next_item(mark: str, new: str, ended: bool) -> bool:
 
 
 def blocks(own: str) -> list[tuple[int, int]]:
-    """(start, end) between certain boundaries: blank lines, list items, Thai gaps."""
+    """(start, end) between certain boundaries: blank lines and list items."""
     out, start, pos, end = [], None, 0, 0
     mark, ended = "", True  # marker of the item before, whether the line before came to an end
     for line in own.split("\n"):
-        if not line.strip(" \t\r\n  ​﻿\x0b\x0c"):
+        if not line.strip(" \t\r\n 　​﻿\x0b\x0c"):
             if start is not None:
                 out.append((start, end))
                 start = None
@@ -149,353 +187,420 @@ def blocks(own: str) -> list[tuple[int, int]]:
         pos += len(line) + 1
     if start is not None:
         out.append((start, end))
-    if not own.isascii() and _THAI.search(own):
-        cut = []
-        for a, b in out:
-            for m in _THAI_GAP.finditer(own, a, b):
-                cut.append((a, m.start()))
-                a = m.end()
-            cut.append((a, b))
-        out = cut
     return out
 
 
-class Slot:
-    """A place where an event may hide: `end` is after the mark and its closing signs. Words count after a lone full stop only."""
-
-    __slots__ = ("bias", "end", "glued", "left", "link", "next", "pair", "lform", "right", "rform", "rpair", "stop")
-
-    def __init__(self, end: int, after: int, stop: bool, glued: bool, bias: float, link: bool):
-        self.end, self.next, self.stop, self.glued, self.bias, self.link = end, after, stop, glued, bias, link
-        self.left = self.pair = self.lform = self.right = self.rform = self.rpair = 0
-
-
-def _left(own: str, a: int, i: int) -> tuple[int, int, int]:
-    """Buckets of the word before place i and of the last two, and the word's form."""
-    w = own[max(a, i - 60) : i].rsplit(None, 2)
-    if not w or own[i - 1].isspace():
-        return left_word("")[1], 0, _LEFT_FORM["letter"]
-    normal, b, form = left_word(w[-1])
-    return b, left_pair(w[-2] if len(w) > 1 else "^", normal), form
-
-
-def _right(own: str, i: int, b: int) -> tuple[int, int, int]:
-    """Bucket and form of the word from place i on, and bucket of the next two."""
-    m = _WORDS.search(own, i, min(b, i + 60))
-    if not m or m.start() - i > 3:
-        return (*right_word(""), 0)
-    return (*right_word(m[1]), right_pair(m[1], m[2] or ""))
-
-
-def slots(own: str, a: int, b: int) -> list[Slot]:
-    """The slots of a block, in order; the block's own end is none."""
-    out: list[Slot] = []
-    stack: list[tuple[str, int, bool, int]] = []  # sign, place, whether text before carries it, slots so far
-    unit, last = a, a  # start of the unit so far, place of the slot before
-    pos = a
-    head = _ITEM.match(own, a, b)
-    if head:
-        pos = head.end() - 1
-    while True:
-        m = _EVENT.search(own, pos, b)
-        if not m:
-            break
-        i, pos = m.start(), m.end()
-        sign = m[0]
-        c = sign[0]
-        if c == "“" and stack and stack[-1][0] == "„":
-            c = "”"
-        if c in _OPEN or c == '"' and not (stack and stack[-1][0] == '"'):
-            prior = own[unit:i].rstrip()
-            stack.append((c, i, prior[-1:] in (":", ",", "：", "，", "、", "፡", "፣", "،") if prior else False, len(out)))
-            continue
-        if c in _CLOSE or c == '"':
-            if stack:
-                opened = stack.pop()
-                # a closing sign right after an end mark: the mark's slot moves behind it
-                if out and own[out[-1].end : i].strip("   ") == "" and len(out) > opened[3]:
-                    s = out[-1]
-                    s.end = pos
-                    s.bias = 0.0
-                    _close(own, s, opened, unit, b, bool(stack))
-            continue
-        if c in ";;" and not _greek(own, i, a):
-            continue
-        after = own[pos : pos + 1]
-        if c in "!?" and after.isascii() and (after.isalnum() or after in "=&/_%#") and after and (not after.isupper() or not _glued_ok(own, a, i, pos, b)):
-            continue  # inside an address
-        dots = "…" in sign or ".." in sign
-        if c == "." and not dots and after and not after.isspace() and after not in _CLOSE + '"' + _OPEN:
-            # no blank behind the full stop: inside a number, an address, a name of a file, or a start
-            if not after.isalpha() or not _glued_ok(own, a, i, pos, b):
+_PAIRED = re.compile(f"[{_O}{_C}]")
+# Bits of a word's `bits`: what opens before it, whether a blank follows, and what holds of the place behind it.
+OPENS, INVERTED, BLANK, FIRST, HELD, CARRIES = 1, 2, 4, 8, 16, 32
+_PREFIX = {"": 0}
+
+
+def _prefix(p: str) -> int:
+    got = _PREFIX.get(p)
+    if got is None:
+        got = (OPENS if any(c not in "¿¡" for c in p) else 0) | (INVERTED if any(c in "¿¡" for c in p) else 0)
+        if len(_PREFIX) < 10_000:
+            _PREFIX[p] = got
+    return got
+
+
+_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "​﻿"
+
+
+class Scanned:
+    """The words of texts, end to end, as lists that grow."""
+
+    def __init__(self) -> None:
+        self.word: list[int] = []
+        self.tail: list[int] = []
+        self.bits: list[int] = []
+        self.size: list[int] = []
+        self.skip: list[int] = []
+
+    def add(self, own: str) -> tuple[int, int]:
+        """(where the first word begins, number of words) of a text."""
+        at, first, total = 0, 0, 0
+        for a, b in blocks(own):
+            text = own[a:b]
+            x, y = a + len(text) - len(text.lstrip(_SPACE)), a + len(text.rstrip(_SPACE))
+            if x >= y:
                 continue
-            glued = True
-        else:
-            glued = bool(after) and not after.isspace()
-        nxt = _AFTER.match(own, pos, b).end()
-        if nxt >= b and not stack:
-            break
-        bias, stop = 0.0, sign == "."
-        if dots:
-            f = own[nxt] if nxt < b else ""
-            bias = -SURE if f and (f.islower() or _IDEO_KANA.match(f)) else SURE
-        elif not stop:
-            bias = 4.0
-        if stack:
-            bias = -2 * SURE
-        s = Slot(pos, nxt, stop, glued and stop, bias, False)
-        if stop:
-            s.left, s.pair, s.lform = _left(own, a, i)
-            s.right, s.rform, s.rpair = _right(own, nxt, b)
-            s.link = bool(out) and not out[-1].bias and own.find(" ", last, i) < 0
-        out.append(s)
-        last = nxt
-        if not stack:
-            unit = nxt
-    while stack:  # what never closes opens nothing
-        c, i, _, n = stack.pop()
-        if c != ")":
-            for s in out[n:]:
-                if s.bias == -2 * SURE:
-                    s.bias = 0.0 if s.stop else 4.0
-    return [s for s in out if s.next < b]
-
-
-def _close(own: str, s: Slot, opened: tuple[str, int, bool, int], unit: int, b: int, inner: bool) -> None:
-    """The slot of an end mark that a quotation or bracket closes: the text decides what carries it."""
-    s.next = nxt = _AFTER.match(own, s.end, b).end()
-    if s.stop:
-        s.right, s.rform, s.rpair = _right(own, nxt, b)
-    s.glued = False
-    f = own[nxt] if nxt < b else ""
-    if inner:
-        s.bias = -2 * SURE
-    elif not f or f in _OPEN or f in '"¿¡':
-        s.bias = SURE
-    elif f.islower() or f in ",;:،、，；：–—-":
-        s.bias = -SURE
-    elif opened[2]:
-        s.bias = SURE  # said: "..." is over
-    elif f.isupper() or f.isdigit():
-        s.bias = 3.0
-    else:
-        s.bias = -SURE  # scripts without case: "..." said she
-
-
-def _greek(own: str, i: int, a: int) -> bool:
-    if own[i] == ";":
-        return True
-    for k in range(i - 1, max(a, i - 40) - 1, -1):
-        if own[k].isalpha():
-            return "Ͱ" <= own[k] <= "Ͽ" or "ἀ" <= own[k] <= "῿"
-    return False
-
-
-def _glued_ok(own: str, a: int, i: int, pos: int, b: int) -> bool:
-    x = i
-    while x > a and not own[x - 1].isspace():
-        x -= 1
-    y = pos
-    while y < b and not own[y].isspace():
-        y += 1
-    before, behind = own[x:i], own[pos:y]
-    if "@" in before or "@" in behind or "/" in before or "/" in behind or "www" in before:
-        return False
-    k = len(before)
-    while k and before[k - 1].isalpha():
-        k -= 1
-    letters = before[k:]
-    if len(letters) == 1 and not before[-1:].isdigit():
-        return False  # initials
-    return True
+            if total:
+                self.skip[-1] = x - at
+            else:
+                first = x
+            total += self._block(own[x:y])
+            at = y
+        return first, total
+
+    def _block(self, text: str) -> int:
+        paired = _PAIRED.search(text) is not None or '"' in text
+        if paired:
+            if "„" in text:
+                text = _GERMAN.sub(lambda m: m[0][:-1] + "”", text)
+            if '"' in text:
+                text = _STRAIGHT.sub(_OPENED + r"\1" + _CLOSED, text)
+        if "@" in text or "://" in text:
+            text = _joined(text)
+        found = _TOKEN.findall(text)
+        if not any(found[-1]):
+            found.pop()
+        pre, word, tail, blank = zip(*found, strict=True)
+        n = len(found)
+        bits = [_prefix(p) | (BLANK if g else 0) for p, g in zip(pre, blank, strict=True)]
+        bits[0] |= FIRST
+        tails = list(map(_tails.__getitem__, tail))
+        size = [len(p) + len(w) + len(t) for p, w, t in zip(pre, word, tail, strict=True)]
+        skip = list(map(len, blank))
+        if paired:
+            _hold(pre, tail, bits, tails)
+        head = _ITEM.match(text)
+        if head:  # no event inside an item's marker
+            at = k = 0
+            while k < n - 1 and at + size[k] < head.end():
+                bits[k] |= HELD
+                at += size[k] + skip[k]
+                k += 1
+        self.word += map(_words.__getitem__, word)
+        self.tail += tails
+        self.bits += bits
+        self.size += size
+        self.skip += skip
+        return n
+
+
+def _hold(pre: tuple, tail: tuple, bits: list[int], tails: list[int]) -> None:
+    """Mark the places inside quotations and brackets as held, and what closes one that a comma or colon came before as carried. What never
+    closes opens nothing, what never opened closes nothing."""
+    stack: list[tuple[str, int, bool]] = []
+    for k, (p, t) in enumerate(zip(pre, tail, strict=True)):
+        for c in p:
+            if c in _OPEN or c == _OPENED:
+                stack.append((c, k, k > 0 and (tails[k - 1] & 15) in (COMMA, COLON)))
+        if tails[k] >> 4 & 7:
+            for c in t:
+                if c in _CLOSE or c == _CLOSED:
+                    if stack:
+                        _, a, carried = stack.pop()
+                        for i in range(a, k):
+                            bits[i] |= HELD
+                        if carried:
+                            bits[k] |= CARRIES
+                        if stack:
+                            bits[k] |= HELD
+
+
+COLUMNS = ("word", "tail", "bits", "size", "skip")
+#: Tables of counts and the log2 of their places: in all, and of them events (_e). `left` goes by the word before a slot with what is
+#: behind it, `left2` by the two words before, `short` by a word that an event is before; `form` and `shape` are what these back off
+#: to. `start` and `mid` go by the word after an event, or after none; `mid2` by both words; `start2` and `all2` by two words after.
+SMALL, WORD, PAIR = 12, 18, 20
+TABLES = {
+    "seed": 8, "seed_e": 8, "slots": 8, "slots_e": 8, "left": WORD, "left_e": WORD, "left2": PAIR, "left2_e": PAIR, "short": WORD, "short_e": WORD,
+    "all_form": SMALL, "all": WORD, "all2": PAIR, "start_form": SMALL, "start": WORD, "start2": PAIR, "begin_all": SMALL, "begin_form": SMALL, "mid_all": SMALL, "mid_form": SMALL,
+}
+_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def place(bits: int, *keys: np.ndarray) -> np.ndarray:
+    """Places in a table of 2 ** bits of the combined keys."""
+    h = np.zeros(len(keys[0]), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in keys:
+            h = (h ^ k.astype(np.uint64)) * _K1
+            h ^= h >> np.uint64(29)
+        h *= _K2
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Text:
+    """The words of a batch of texts with their places in the tables. Slot i is the place behind word i."""
+
+    def __init__(self, word: np.ndarray, tail: np.ndarray, bits: np.ndarray, text: np.ndarray):
+        n = self.n = len(word)
+        self.text = text  # number of the text that a word is of
+        low, form, length = word >> 6, word >> 3 & 7, word & 7
+        signs, closes, kind = tail >> 8, (tail >> 4 & 7) > 0, tail & 15
+        after = lambda v, by=1: np.concatenate([v[by:], np.zeros(min(by, n), v.dtype)])[:n]
+        behind = lambda v: np.concatenate([np.zeros(min(1, n), v.dtype), v[:-1]])
+        first = self.first = (bits & FIRST) > 0
+        last = self.last = np.concatenate([first[1:], np.ones(min(1, n), bool)])
+        begins = np.flatnonzero(first)
+        long = np.repeat(np.diff(np.append(begins, n)) >= LONG, np.diff(np.append(begins, n)))
+        self.long = long
+        self.teaches = last & long  # a block's end that shows how sentences end; greetings and headings don't
+        # a closing sign that stands alone ends what the word before it ended
+        alone = (form == NONE) & (kind == BARE) & closes & ~first
+        kind = np.where(alone, behind(kind), kind)
+        mark = self.mark = (kind == STOP) | (kind == STRONG) | (kind == DOTS)
+        kind = kind + np.where((bits & CARRIES) > 0, CARRIED, np.where(closes, CLOSED, 0))
+        blank = ((bits & BLANK) > 0) | (last & (form != IDEOGRAPH))  # as it would be before a next sentence
+        opener = bits & (OPENS | INVERTED)
+        nform, nopen = after(form), after(opener)
+        dots = self.dots = (kind & 7) == DOTS
+        goes_on = ((nform == LOWER) | (nform == IDEOGRAPH)) & (nopen == 0)
+        # what is certain: 1 an event, 0 none, -1 hidden
+        self.sure = np.where(last, 1, np.where((bits & HELD) > 0, 0, np.where(dots, np.where(goes_on, 0, 1), -1))).astype(np.int8)
+        shape = kind * 2 + blank
+        self.script = np.where(form == THAI, 1, np.where(form == IDEOGRAPH, 2, np.where(form == PLAIN, 3, 0)))
+        # behind a sign a blank may be missing; where there is none it is all there is to see
+        sign = kind * 2 + (blank & (kind == BARE))
+        self.seed = self.script * 64 + sign
+        self.left = place(WORD, low, signs, sign)
+        self.left2 = place(PAIR, np.where(first, 1, behind(low) * 64 + behind(kind) + 2), low, signs, sign)
+        self.short = self.left
+        look = low * 64 + form * 4 + opener  # a word as it begins: letters, case, openers
+        self.look_form, self.look = place(SMALL, form * 4 + opener), place(WORD, look)
+        self.look2 = place(PAIR, look, np.where(last, 0, after(look)))
+        nshape = nform * 4 + nopen
+        self.all_form = self.start_form = after(self.look_form)
+        self.all = self.start = after(self.look)
+        self.begin_all, self.begin_form = place(SMALL, self.script), place(SMALL, nshape, self.script)
+        self.mid_all = place(SMALL, shape, form)
+        self.mid_form = place(SMALL, nshape, shape, form)
+
+
+def counts_of(x: Text, p: np.ndarray | None) -> dict[str, np.ndarray]:
+    """Counts of the tables. Without p what is certain: signs, words and pairs before block ends (_e) and all slots, words that begin
+    blocks and all words. With the posteriors p, what is expected: the words after an event, and after none by what is before."""
+    count = lambda kind, w, at=None: np.bincount(getattr(x, kind) if at is None else at, w, 1 << TABLES[kind.replace("look", "all")])
+    inner = (~x.last).astype(float)
+    begins = (x.first & x.long).astype(float)
+    if p is None:
+        hidden = ((x.sure < 0) | x.teaches).astype(float)
+        ends = x.teaches.astype(float)
+        w = {k: count(k, hidden) for k in ("left", "left2")} | {k + "_e": count(k, ends) for k in ("left", "left2")}
+        plain = ~x.dots
+        w |= {k: np.bincount(x.seed, v * plain, 1 << TABLES[k]) for k, v in (("slots", hidden), ("slots_e", ends))}
+        for k, some in (("seed", hidden > 0), ("seed_e", x.teaches)):
+            # a word with its signs counts once a text, so that no text, however it repeats itself, tells what a sign means
+            own = np.flatnonzero(some & ~x.dots)
+            once = own[np.unique(x.text[own] << WORD | x.left[own], return_index=True)[1]]
+            w[k] = np.bincount(x.seed[once], minlength=1 << TABLES[k]).astype(float)
+        one = x.first.astype(float)
+        w |= {f"all{k}": count(f"all{k}", inner) + count(f"all{k}", one, getattr(x, f"look{k}")) for k in ("_form", "")}
+        w["all2"] = count("look2", one + np.concatenate([[0.0], inner[:-1]]))
+        return w
+    began = np.where(x.first, x.long, np.concatenate([[0.0], p[:-1]])[: x.n])  # how sure a word is the first of its unit
+    w = {f"start{k}": count(f"start{k}", inner * p) + count(f"start{k}", begins, getattr(x, f"look{k}")) for k in ("_form", "")}
+    w["start2"] = count("look2", began * (1 - p))
+    open_ = ((x.sure < 0) | x.teaches).astype(float)
+    w |= {"short": count("short", open_ * began), "short_e": count("short", open_ * began * p)}
+    w |= {k: count(k, inner * p) for k in ("begin_all", "begin_form")}
+    w |= {k: count(k, inner * (1 - p)) for k in ("mid_all", "mid_form")}
+    return w
+
+
+KAPPA = 4.0
+SURE = 0.98
+ANCHOR = 20.0
+LONG = 8
+MID = 1e9
 
 
 class Model:
-    """Hashed counts and the rates at which certain events stand for all: of a word's events, those at a
-    block's end; of a word's starts, those at a block's start."""
-
-    def __init__(self, counts: dict[str, np.ndarray], final_rate: float, initial_rate: float):
-        self.c, self.final_rate, self.initial_rate = counts, final_rate, initial_rate
-        self.left_prior, self.right_prior = (np.array(list(p.values())) for p in (_LEFT_PRIOR, _RIGHT_PRIOR))
-
-    def scores(self, f: dict[str, np.ndarray]) -> np.ndarray:
-        """Log odds of an event in every slot, apart from its neighbours."""
-
-        def rate(order: str, b: np.ndarray, prior: np.ndarray) -> np.ndarray:
-            final = self.c["final" + order][b] / self.final_rate
-            return (final + _KAPPA * prior) / (np.maximum(self.c["before" + order][b], final) + _KAPPA)
-
-        left = rate("", f["left"], self.left_prior[f["lform"]])
-        left = np.clip(np.where(f["pair"] > 0, rate("2", f["pair"], left), left), 1e-5, 0.997)
-        starts = self.c["initial"][f["right"]] / self.initial_rate
-        right = (starts + _KAPPA * self.right_prior[f["rform"]]) / (np.maximum(starts, self.c["total"][f["right"]]) + _KAPPA)
-        two = self.c["initial2"][f["rpair"]] / self.initial_rate
-        right = (two + _KAPPA * right) / (np.maximum(two, self.c["after2"][f["rpair"]] + self.c["initial2"][f["rpair"]]) + _KAPPA)
-        right = np.where(f["rform"] == 0, _START_RATE, np.clip(right, 0.002, 0.95))
-        odds = lambda p: np.log(p / (1 - p))
-        glued = np.where(f["glued"] & (f["rform"] != _RIGHT_FORM["upper"]), -3.0, 0.0)
-        words = odds(left) + odds(right) - math.log(_START_RATE / (1 - _START_RATE)) + f["bias"] + glued
-        return np.where(f["stop"] & (np.abs(f["bias"]) < SURE), words, f["bias"])
-
-    def posteriors(self, f: dict[str, np.ndarray]) -> np.ndarray:
-        """Chance of an event in every slot; slots of a block are neighbours. Where no link joins a chain, forward and backward sums cancel."""
-        x = self.scores(f)
-        p = 1 / (1 + np.exp(-np.clip(x, -60, 60)))
-        chain = f["block"]
-        for b in np.unique(chain[f["link"]]).tolist():
-            k = slice(int(np.searchsorted(chain, b)), int(np.searchsorted(chain, b, "right")))
-            p[k] = forward_backward(x[k], np.where(f["link"][k], _LINK, 0.0))
-        return p
-
-
-def forward_backward(x: np.ndarray, link: np.ndarray) -> list[float]:
-    """Posteriors of a chain of two-state slots with log odds x; link[k] is added where slots k - 1 and k both hold an event."""
-    n = len(x)
-    e = [math.exp(v) for v in np.clip(x, -30, 30).tolist()]
-    t = [math.exp(v) for v in link.tolist()]
-    fw, bw = [(1.0, e[0])], [(1.0, 1.0)] * n
-    for k in range(1, n):
-        a0, a1 = fw[-1]
-        x0, x1 = a0 + a1, (a0 + a1 * t[k]) * e[k]
-        fw.append((x0 / (x0 + x1), x1 / (x0 + x1)))
-    for k in range(n - 2, -1, -1):
-        c0, c1 = bw[k + 1]
-        x0, x1 = c0 + c1 * e[k + 1], c0 + c1 * e[k + 1] * t[k + 1]
-        bw[k] = (x0 / (x0 + x1), x1 / (x0 + x1))
-    return [a1 * c1 / (a1 * c1 + a0 * c0) for (a0, a1), (c0, c1) in zip(fw, bw, strict=True)]
-
-
-_INTS = ("block", "end", "next", "left", "pair", "right", "rpair")
-_BYTES = ("lform", "rform", "flags")
-_LISTS = pa.list_(pa.int32())
-SCAN = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("start", pa.int64()), ("edges", _LISTS), *[(k, _LISTS) for k in _INTS], *[(k, pa.binary()) for k in _BYTES], ("bias", pa.list_(pa.float32())), ("n", _LISTS)])
-SCAN_SQL = "kind string, doc_id long, start long, edges array<int>, block array<int>, end array<int>, next array<int>, left array<int>, pair array<int>, right array<int>, rpair array<int>, lform binary, rform binary, flags binary, bias array<float>, n array<int>"
+    """Counts and the probabilities that follow from them: each order is averaged with the next lower one, which counts for KAPPA occurrences."""
+
+    def __init__(self, counts: dict[str, np.ndarray]):
+        self.c = counts
+
+    def shares(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per script, the share of true events that are block ends, and per script and signs the chance of an event.
+
+        The signs of a script that end blocks most often are taken to be always an event, which tells the share.
+        """
+        tell = lambda kind: (self.c[kind + "_e"].reshape(4, 64), self.c[kind].reshape(4, 64) + 10.0)
+        most = lambda e, n: np.maximum(1e-3, np.where(e >= 0.02 * e.sum(1, keepdims=True), e / n, 0.0).max(1))
+        e, n = tell("seed")
+        return most(*tell("slots")), np.clip(e / n / most(e, n)[:, None], 1e-4, SURE).ravel()
+
+    def of(self, kind: str, x: Text) -> np.ndarray:
+        return self.c[kind][getattr(x, kind.removesuffix("_e"))]
+
+    def left(self, x: Text) -> tuple[np.ndarray, np.ndarray]:
+        """P(event | the word before), P(event | the two words before): how often they end a block, in relation to the share of events that are
+        block ends. What nearly always or hardly ever ends a unit counts for more, so that rare words can't outweigh it."""
+        share, signs = self.shares()
+        lam, q = share[x.script], signs[x.seed]
+        weight = lambda r: KAPPA * np.clip(0.5 / np.minimum(r, 1 - r), 1.0, 1000.0)
+        k = weight(q)
+        one = np.minimum(SURE, (self.of("left_e", x) / lam + k * q) / (self.of("left", x) + k))
+        k = weight(one)
+        return one, np.minimum(SURE, (self.of("left2_e", x) / lam + k * one) / (self.of("left2", x) + k))
+
+    def first_guess(self, x: Text) -> np.ndarray:
+        """By what is before a slot alone."""
+        return np.where(x.sure < 0, self.left(x)[1], x.sure)
+
+    def potentials(self, x: Text) -> tuple[np.ndarray, ...]:
+        """Of every slot: P(event | no event before the word before), P(event | one), P(next word | event) / P(next word | none), and
+        P(next word | event before the word before) / P(next word | none)."""
+        of = lambda kind: self.of(kind, x)
+        events, words = self.c["start_form"].sum(), self.c["all_form"].sum()
+        f1 = (of("start_form") + 0.1) / (events + 1)
+        f1 = (of("begin_form") + KAPPA * f1) / (of("begin_all") + KAPPA)
+        f0 = (np.maximum(0.0, of("all_form") - of("start_form")) + 0.1) / (words - events + 1)
+        f0 = (of("mid_form") + KAPPA * f0) / (of("mid_all") + KAPPA)
+
+        def of_lower(s, a, s0, a0):
+            """s of s0 against what is left of a of a0, each averaged with a of a0."""
+            q = (a + 1e-3) / (a0 + 1e-3)
+            return ((s + KAPPA * q) / (s0 + KAPPA)) / ((np.maximum(0.0, a - s) + KAPPA * q) / (np.maximum(0.0, a0 - s0) + KAPPA))
+
+        begins = f1 / f0 * of_lower(of("start"), of("all"), of("start_form"), of("all_form"))
+        at = x.look
+        second = of_lower(self.c["start2"][x.look2], self.c["all2"][x.look2], self.c["start"][at], self.c["all"][at])
+        one, two = self.left(x)
+        short = (of("short_e") + KAPPA * one) / (of("short") + KAPPA)
+        known = x.sure >= 0  # what is certain says nothing about the slot before
+        two, short = np.where(known, 0.5, two), np.where(known, 0.5, np.minimum(SURE, short))
+        return two, short, np.clip(begins, 1e-6, 1e6), np.clip(second, 1e-2, 1e2)
+
+    def posteriors(self, x: Text) -> np.ndarray:
+        return forward_backward(*self.potentials(x), x.sure, x.first)
+
+
+def forward_backward(q0: np.ndarray, q1: np.ndarray, begins: np.ndarray, second: np.ndarray, sure: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Posteriors of chains of slots, laid end to end; `first` says where each begins, after an event.
+
+    q0 and q1 are the chances of an event after none and after one in the slot before, begins is how much likelier an event makes the
+    next word than none does, second how much likelier an event in the slot before makes it, if none follows. sure fixes a slot (0 or 1), -1 leaves it open. Chains are taken side by side, longest first.
+    """
+    n = len(q0)
+    on, off = begins * (sure != 0), (sure != 1).astype(float)
+    t01, t11, t00, t10 = q0 * on, q1 * on, (1 - q0) * off, (1 - q1) * second * off
+    start = np.flatnonzero(first)
+    length = np.diff(np.append(start, n))
+    order = np.argsort(-length, kind="stable")
+    start, length = start[order], length[order]
+    active = np.searchsorted(-length, -np.arange(1, (int(length[0]) if len(length) else 0) + 1), "right").tolist()  # chains of more than k slots
+    f, out = np.empty(n), np.empty(n)  # chance of an event by the words up to the slot, and by all
+    f0, f1 = np.zeros(len(start)), np.ones(len(start))
+    alone = next((k for k, m in enumerate(active) if m == 1), len(active))  # from here on only the longest chain is left
+    for k, m in enumerate(active[:alone]):
+        at = start[:m] + k
+        e = f0[:m] * t01[at] + f1[:m] * t11[at]
+        o = f0[:m] * t00[at] + f1[:m] * t10[at]
+        f1 = e / np.maximum(e + o, 1e-300)
+        f0 = 1 - f1
+        f[at] = f1
+    b0 = b1 = np.empty(0)
+    if alone < len(active):
+        rest = slice(int(start[0]) + alone, int(start[0]) + len(active))
+        f[rest], out[rest], c0, c1 = _one_chain(float(f1[0]), *(v[rest].tolist() for v in (t00, t01, t10, t11)))
+        b0, b1 = np.array([c0]), np.array([c1])
+    for k in range(alone - 1, -1, -1):
+        m = active[k]
+        at = start[:m] + k
+        c0, c1 = np.ones(m), np.ones(m)
+        c0[: len(b0)], c1[: len(b1)] = b0, b1
+        e, o = f[at] * c1, (1 - f[at]) * c0
+        out[at] = e / np.maximum(e + o, 1e-300)
+        b0, b1 = t00[at] * c0 + t01[at] * c1, t10[at] * c0 + t11[at] * c1
+        z = np.maximum(b0 + b1, 1e-300)
+        b0, b1 = b0 / z, b1 / z
+    return out
+
+
+def _one_chain(f1: float, t00: list[float], t01: list[float], t10: list[float], t11: list[float]) -> tuple[list[float], list[float], float, float]:
+    """Forward chances and posteriors of the rest of one chain, and what it says about the slot before, by plain numbers."""
+    f = []
+    for a, b, c, d in zip(t00, t01, t10, t11, strict=True):
+        e, o = (1 - f1) * b + f1 * d, (1 - f1) * a + f1 * c
+        f1 = e / max(e + o, 1e-300)
+        f.append(f1)
+    out, c0, c1 = [0.0] * len(f), 1.0, 1.0
+    for k in range(len(f) - 1, -1, -1):
+        e, o = f[k] * c1, (1 - f[k]) * c0
+        out[k] = e / max(e + o, 1e-300)
+        c0, c1 = t00[k] * c0 + t01[k] * c1, t10[k] * c0 + t11[k] * c1
+        z = max(c0 + c1, 1e-300)
+        c0, c1 = c0 / z, c1 / z
+    return f, out, c0, c1
+
+
+LISTS = {"word": "bigint", "tail": "bigint", "bits": "int", "size": "int", "skip": "int"}
+SCAN_SQL = "doc_id long, at long, n int, " + ", ".join(f"{c} array<{t}>" for c, t in LISTS.items())
+_ARROW = {"bigint": pa.int64(), "int": pa.int32()}
+SCAN = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), *[(c, pa.list_(_ARROW[t])) for c, t in LISTS.items()]])
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches (doc_id, start, own) to a row per text with its blocks and slots, and rows of word counts (kind, left = buckets, n)."""
+    """Arrow batches (doc_id, start, own) to a row per text with its words; at is where the first begins in the whole text."""
     for batch in batches:
-        rows: list[dict] = []
-        raw: Counter = Counter()
-        got = {k: Counter() for k in ("final", "final2", "initial", "initial2")}
+        s, rows = Scanned(), []
         for doc, start, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "own")), strict=True):
-            if not own or own.isspace():
-                continue
-            raw.update(own.split())
-            edges, ss, of = [], [], []
-            for n, (a, b) in enumerate(blocks(own)):
-                text = own[a:b]
-                x, y = a + len(text) - len(text.lstrip(_SPACE)), a + len(text.rstrip(_SPACE))
-                if x >= y:
-                    continue
-                edges += (x, y)
-                new = slots(own, x, y)
-                ss += new
-                of += [len(edges) // 2 - 1] * len(new)
-                head = _ITEM.match(own, x, y)
-                w = _right(own, head.end() - 1 if head else x, y)
-                got["initial"][w[0]] += 1
-                got["initial2"][w[2]] += 1
-                while y > x and own[y - 1] in "\"”»)":
-                    y -= 1
-                if own[y - 1] == "." and own[y - 2 : y - 1] != ".":
-                    w = _left(own, x, y - 1)
-                    got["final"][w[0]] += 1
-                    got["final2"][w[1]] += 1
-            rows.append(
-                {"kind": "doc", "doc_id": doc, "start": start, "edges": edges, "block": of, "bias": [s.bias for s in ss], "flags": bytes(s.stop | s.glued << 1 | s.link << 2 for s in ss)}
-                | {k: [getattr(s, k) for s in ss] for k in ("end", "next", "left", "pair", "right", "rpair")}
-                | {k: bytes(getattr(s, k) for s in ss) for k in ("lform", "rform")}
-            )
-        for token, n in raw.items():
-            m = _WORD.search(token.lstrip(_STRIP))
-            if m:
-                got.setdefault("total", Counter())[right_word(m[0])[0]] += n
-        rows += [{"kind": k, "left": list(c), "n": list(c.values())} for k, c in got.items() if c]
+            if own and not own.isspace():
+                first, n = s.add(own)
+                if n:
+                    rows.append((doc, start + first, n))
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=SCAN)
+            doc, at, n = zip(*rows, strict=True)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(getattr(s, c), _ARROW[t])) for c, t in LISTS.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int32()), *lists], schema=SCAN)
 
 
-def features(b: pa.RecordBatch) -> dict[str, np.ndarray]:
-    """The slots of the texts of a batch, end to end; block numbers run on."""
-    f = {k: b.column(k).flatten().to_numpy() for k in (*_INTS, "bias")}
-    f |= {k: np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8) for k in _BYTES}
-    flags = f.pop("flags")
-    f |= {k: (flags >> n & 1).astype(bool) for n, k in enumerate(("stop", "glued", "link"))}
-    per = np.diff(b.column("end").offsets.to_numpy())
-    blocks_ = np.diff(b.column("edges").offsets.to_numpy()) // 2
-    f["doc"] = np.repeat(np.arange(b.num_rows), per)
-    f["block"] = f["block"] + np.repeat(np.concatenate([[0], np.cumsum(blocks_)[:-1]]).astype(int), per)
-    return f
+def text_of(b: pa.RecordBatch) -> Text:
+    text = np.repeat(np.arange(b.num_rows), b.column("n").to_numpy())
+    return Text(*(b.column(c).flatten().to_numpy().astype(np.int64) for c in ("word", "tail", "bits")), text)
 
 
-def units_of(b: pa.RecordBatch, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end) of every unit of a batch of scanned texts."""
-    f = features(b)
-    p = model.posteriors(f) if len(f["end"]) else np.empty(0)
-    edges = b.column("edges").flatten().to_numpy()
-    doc = np.repeat(np.arange(b.num_rows), np.diff(b.column("edges").offsets.to_numpy()) // 2)
-    ok = p >= 0.5
-    # starts and ends, each in order, pair up
-    starts = np.concatenate([edges[::2], f["next"][ok]])
-    ends = np.concatenate([edges[1::2], f["end"][ok]])
-    block = np.concatenate([np.arange(len(doc)), f["block"][ok]])
-    return np.concatenate([doc, f["doc"][ok]])[np.lexsort((starts, block))], starts[np.lexsort((starts, block))], ends[np.lexsort((ends, block))]
-
-
-def count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of scanned rows to the model's counts (kind, bucket, n), summed within the task."""
-    got = {k: np.zeros(BUCKETS, np.int64) for k in KINDS}
-    inner = 0
-    for b in batches:
-        kinds = b.column("kind").to_pylist()
-        docs = [k for k, x in enumerate(kinds) if x == "doc"]
-        for k, x in enumerate(kinds):
-            if x != "doc":
-                got[x][b.column("left")[k].values.to_numpy()] += b.column("n")[k].values.to_numpy()
-        if docs:
-            f = features(pa.RecordBatch.from_struct_array(b.to_struct_array().take(pa.array(docs))))
-            own = f["stop"] & ~f["glued"] & (f["bias"] > -SURE)
-            got["before"] += np.bincount(f["left"][own], minlength=BUCKETS)
-            got["before2"] += np.bincount(f["pair"][own], minlength=BUCKETS)
-            got["after2"] += np.bincount(f["rpair"][own], minlength=BUCKETS)
-            inner += len(f["end"])
-    got["before"] += got["final"]
-    got["before2"] += got["final2"]
-    some = {k: np.flatnonzero(v) for k, v in got.items()}
-    kind = [k for k, v in some.items() for _ in range(len(v))] + ["slots"]
-    bucket_, n = (np.concatenate([*xs, [last]]) for xs, last in ((some.values(), 0), ([got[k][v] for k, v in some.items()], inner)))
-    yield pa.RecordBatch.from_pydict({"kind": kind, "bucket": bucket_.astype(np.int64), "n": n.astype(np.int64)})
+def count(model: Model | None):
+    """Arrow batches of scanned texts to counts (kind, place, n), summed within the task: certain ones without a model, else those that its first guess expects."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            if b.num_rows:
+                x = text_of(b)
+                for k, v in counts_of(x, model and model.first_guess(x)).items():
+                    total[k] = total[k] + v if k in total else v
+        for k, v in total.items():
+            some = np.flatnonzero(v)
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([k] * len(some), pa.string()), "place": pa.array(some, pa.int64()), "n": pa.array(v[some], pa.float64())})
 
-def own_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, own): text[own_start, own_end); offsets are cut to the text, null ones mean its edges."""
-    n = F.length("text")
-    a = F.greatest(F.lit(0).cast("long"), F.coalesce(F.col("own_start").cast("long"), F.lit(0).cast("long")))
-    b = F.coalesce(F.least(F.col("own_end").cast("long"), n.cast("long")), n.cast("long"))
-    return docs.filter("text is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), a.alias("start"), F.col("text").substr((a + 1).cast("int"), F.greatest(b - a, F.lit(0).cast("long")).cast("int")).alias("own")
-    )
+    return run
 
 
-def train(scanned: DataFrame) -> Model:
-    """The model of all the texts; at most len(KINDS) * BUCKETS + 1 sums come to the driver."""
-    counts = scanned.mapInArrow(count_slots, "kind string, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
-    b = counts.toArrow()
-    return model_of(zip(*(b.column(k).to_pylist() for k in ("kind", "bucket", "n")), strict=True))
+def tables(rows: pa.Table | list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    """Tables of counts from rows (kind, place, n); kinds that none of the rows has are empty."""
+    c = {k: np.zeros(1 << size, np.float32) for k, size in TABLES.items()}
+    for b in rows.to_batches() if isinstance(rows, pa.Table) else rows:
+        kinds = b.column("kind").dictionary_encode()
+        at, n = b.column("place").to_numpy(), b.column("n").to_numpy()
+        for i, k in enumerate(kinds.dictionary.to_pylist()):
+            own = kinds.indices.to_numpy() == i
+            np.add.at(c[k], at[own], n[own])
+    return c
 
 
-def model_of(counts) -> Model:
-    c = {k: np.zeros(BUCKETS, np.float32) for k in KINDS}
-    slots_ = 0
-    for kind, b, n in counts:
-        if kind == "slots":
-            slots_ += n
-        else:
-            c[kind][b] += n
-    final = float(c["final"].sum() / max(1.0, c["before"].sum()))
-    initial = float(c["initial"].sum() / max(1.0, c["initial"].sum() + slots_))
-    return Model(c, min(1.0, max(0.02, final)), min(1.0, max(0.02, initial)))
+def train(scanned: DataFrame) -> dict[str, np.ndarray]:
+    """The counts of all the texts, in two passes. What comes to the driver and goes to the tasks is bounded by the size of the tables."""
+    spark = scanned.sparkSession
+
+    def summed(shared=None) -> dict[str, np.ndarray]:
+        run = lambda batches: count(Model(pickle.loads(shared.value)) if shared else None)(batches)
+        counts = scanned.mapInArrow(run, "kind string, place long, n double").groupBy("kind", "place").agg(F.sum("n").alias("n"))
+        return tables(counts.toArrow())
+
+    certain = summed()
+    expected = summed(spark.sparkContext.broadcast(pickle.dumps(certain)))
+    return {k: certain[k] + expected[k] for k in TABLES}  # each pass has tables of its own
+
+
+def units_of(b: pa.RecordBatch, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of every unit of a batch of scanned texts, starts and ends in the whole text."""
+    n = b.column("n").to_numpy()
+    size, skip = (b.column(c).flatten().to_numpy().astype(np.int64) for c in ("size", "skip"))
+    step = np.cumsum(size + skip) - (size + skip)
+    row = np.repeat(np.arange(b.num_rows), n)
+    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+    start = step - np.repeat(step[first], n) + np.repeat(b.column("at").to_numpy(), n)
+    ends = np.flatnonzero(model.posteriors(text_of(b)) >= 0.5)
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    return row[ends], start[begins], (start + size)[ends]
 
 
 UNITS = pa.schema([("doc_id", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64())])
@@ -503,35 +608,51 @@ UNITS = pa.schema([("doc_id", pa.int64()), ("start_char", pa.int64()), ("end_cha
 
 def split(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pickle.loads(shared.value)
+        model = Model(pickle.loads(shared.value))
         for b in batches:
             if b.num_rows:
                 row, x, y = units_of(b, model)
-                start = b.column("start").to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(start + x), pa.array(start + y)], schema=UNITS)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(x), pa.array(y)], schema=UNITS)
 
     return run
 
 
+def own_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, own): text[own_start, own_end); offsets are cut to the text, null ones mean its edges."""
+    n = F.length("text")
+    a = F.greatest(F.lit(0).cast("long"), F.coalesce(F.col("own_start").cast("long"), F.lit(0).cast("long")))
+    b = F.coalesce(F.least(F.col("own_end").cast("long"), n.cast("long")), n.cast("long"))
+    return docs.filter("text is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), a.alias("start"), F.col("text").substr((a + 1).cast("int"), F.greatest(b - a, F.lit(0).cast("long")).cast("int")).alias("own")
+    )
+
+
 def sentence_units(docs: DataFrame) -> DataFrame:
     """(doc_id, start_char, end_char) of every sentence unit of every document's own text.
 
     Null and empty texts, and ranges that are empty or blank, give no units; a range beyond the text is cut
     to it. Texts of any length are split whole. Repeated rows give their units each. Extra columns are ignored.
     """
-    scanned = cut(own_texts(docs).mapInArrow(scan, SCAN_SQL))
+    scanned = keep(own_texts(docs).mapInArrow(scan, SCAN_SQL))
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(train(scanned)))
-    return scanned.filter("kind = 'doc'").mapInArrow(split(shared), "doc_id long, start_char long, end_char long")
+    return scanned.mapInArrow(split(shared), "doc_id long, start_char long, end_char long")
+
+
+def trained(texts: list[str]) -> tuple[list[pa.RecordBatch], dict[str, np.ndarray]]:
+    """A few texts scanned, and the counts of them, without Spark."""
+    own = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "start": pa.array([0] * len(texts), pa.int64()), "own": pa.array(texts, pa.string())})
+    rows = list(scan(iter([own])))
+    certain = tables(list(count(None)(iter(rows))))
+    expected = tables(list(count(Model(certain))(iter(rows))))
+    return rows, {k: certain[k] + expected[k] for k in TABLES}
 
 
-def units(texts: list[str], model: Model | None = None) -> list[list[tuple[int, int]]]:
-    """The units of a few texts without Spark; the model is trained on them unless given."""
-    rows = list(scan(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "start": [0] * len(texts), "own": texts}, schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("own", pa.string())]))])))
-    if model is None:
-        model = model_of(r for c in count_slots(iter(rows)) for r in zip(*(c.column(k).to_pylist() for k in ("kind", "bucket", "n")), strict=True))
+def units(texts: list[str], counts: dict[str, np.ndarray] | None = None) -> list[list[tuple[int, int]]]:
+    """The units of a few texts without Spark; the model is trained on them unless its counts are given."""
+    rows, own = trained(texts)
+    model = Model(own if counts is None else counts)
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
     for b in rows:
-        b = b.filter(pa.compute.equal(b.column("kind"), "doc"))
         ids = b.column("doc_id").to_pylist()
         for r, x, y in zip(*(v.tolist() for v in units_of(b, model)), strict=True):
             out[ids[r]].append((x, y))
