@@ -1,14 +1,16 @@
 """The general data-cleaning operators on small tables with nulls, ties, hot keys and clashing names."""
 
 import datetime as dt
+import math
 import random
 from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
 
+from tramline.functions.folds import before
 from tramline.functions.medians import grouped_median, value_counts
-from tramline.operators import anomaly, dedup, late, orphans
+from tramline.operators import anomaly, dedup, late, orphans, quality
 from tramline.sources import feed
 
 T0 = dt.datetime(2026, 8, 3, 10)
@@ -118,6 +120,35 @@ def test_exact_medians(spark):
     assert got.pop(None) == (1.0, 1) and got == {g: (median(xs), len(xs)) for g, xs in groups.items()}
 
 
+def test_ranks_of_one_hot_key(spark):
+    rng = random.Random(4)
+    xs = [rng.choice([rng.gauss(0, 5), rng.expovariate(0.01), -3.0, 0.0]) for _ in range(3000)]
+    df = spark.createDataFrame([("hot", x) for x in xs] + [("few", 1.5), ("none", None)], "k string, x double")
+    points = {"p1": 0.01, "p50": 0.5, "p90": 0.9, "p100": 1.0}
+    want = {c: sorted(xs)[max(0, math.ceil(p * len(xs)) - 1)] for c, p in points.items()}
+    got = {r.k: r.asDict() for r in quality.nearest_ranks(df, ["k"], "x", points).collect()}
+    assert set(got) == {"hot", "few"} and {c: got["hot"][c] for c in points} == want and got["few"]["p1"] == 1.5
+    whole = quality.nearest_ranks(df.filter("k = 'hot'"), [], "x", points).collect()
+    assert len(whole) == 1 and {c: whole[0][c] for c in points} == want
+
+
+def test_rows_before_for_one_key_with_all_rows(spark):
+    """Days of one key, ties, nulls and another key, against a plain walk; no task holds more than an hour of a key."""
+    rng = random.Random(6)
+    rows = [(k, rng.choice(["hot"] * 9 + [None, "b"]), None if rng.random() < 0.01 else at(rng.randrange(200_000)), rng.choice([None, rng.randrange(100)])) for k in range(4000)]
+    df = spark.createDataFrame(rows, "id long, k string, t timestamp_ntz, x int").selectExpr("*", "1 as _own")
+    got = {r.id: (r.most, r.last, r.total) for r in before(df.drop("_own"), ["k"], ["t", "id"], max_of={"most": F.col("x")}, lag_of={"last": F.col("x")}, sum_of={"total": F.col("x")}).collect()}
+    assert len(got) == len(rows)
+    for key in ("hot", None, "b"):
+        most, last, total = None, None, None
+        for i, _, _, x in sorted((r for r in rows if r[1] == key), key=lambda r: (r[2] is not None, r[2] or T0, r[0])):
+            total = total if x is None else (total or 0) + x
+            assert got[i] == (most, last, total)
+            most, last = (most if x is None else x if most is None else max(most, x)), x
+    sizes = before(df.drop("_own").filter("k = 'hot'"), ["k"], ["t", "id"], lag_of={"last": F.col("x")}).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 0.6 * sum(r["count"] for r in sizes)
+
+
 def test_readings(spark):
     day = lambda h, s=0: int(dt.datetime(2026, 8, 3, tzinfo=dt.timezone.utc).timestamp() + h * 3600 + s) * 1_000_000
     rows, n = [], 0

@@ -59,15 +59,31 @@ def test_episode_fold(spark, tmp_path):
     r = table(spark, SF, "route_headways")
     stream = slices(r.withColumn("_o", F.col("emittedAt").cast("timestamp").cast("double")), str(tmp_path / "in"), "emittedAt")
     q = folded.changes(stream).writeStream.format("memory").queryName("changes").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    want = {(x.recordId, x.change) for x in episodes.changes(r).collect()}
-    taken = lambda: {(x.recordId, x.change) for x in spark.table("changes").collect() if x.change != "SWEPT"}
+    want = {(x.recordId, x.change, x.windowEnd) for x in episodes.changes(r).collect()}
+    taken = lambda: {(x.recordId, x.change, x.windowEnd) for x in spark.table("changes").selectExpr("* except (windowEnd)", "cast(windowEnd as timestamp_ntz) as windowEnd").collect() if x.change != "SWEPT"}
     for _ in range(40):  # open episodes keep their timers, so the query itself doesn't end
         if q.awaitTermination(3) or len(taken()) >= len(want):
             break
     q.stop()
     assert q.exception() is None
     got = taken()
-    assert got == want and {c for _, c in want} >= {"OPENED", "CONTINUED", "CLEARED"}
+    assert got == want and {c for _, c, _ in want} >= {"OPENED", "CONTINUED", "CLEARED"}
+
+
+def test_episode_times_on_any_worker(monkeypatch):
+    """Times are counts of micros: where the worker's clock is set to doesn't matter."""
+    import time
+
+    g, at = folded.Group(), 1_786_804_260_000_000
+    folded.observe(g, at, "BUNCHING", 0.4)
+    rows = []
+    for zone in ("UTC", "Asia/Tokyo"):
+        monkeypatch.setenv("TZ", zone)
+        time.tzset()
+        rows.append(folded._row("15:0", 1, at, "OPENED", at, g))
+    monkeypatch.undo()
+    time.tzset()
+    assert rows[0] == rows[1] and rows[0]["windowEnd"] == rows[0]["startedAt"] == rows[0]["lastSeenAt"] == at
 
 
 def test_kslack(spark, tmp_path):

@@ -12,7 +12,6 @@ class Config:
     slide: str = "30 seconds"
     trigger: str = "30 seconds"
     max_offsets: int = 20_000
-    shuffle_partitions: int = 8
     max_cross_track_m: float = 150.0
     zone: str = "America/New_York"
     stationary_m: float = 25.0
@@ -33,7 +32,6 @@ class Config:
     history_default: int = 50
     history_most: int = 500
     hint_window_m: float = 3_000.0
-    accuracy_gap_s: int = 75
     vertex_stride: int = 40
     ambiguous_m: float = 50.0
     vertex_hint_m: float = 400.0

@@ -11,6 +11,7 @@ from tramline.functions.ids import as_column
 BUNCHING = ("SEVERE_BUNCHING", "BUNCHING")
 GAPPING = ("GAPPING", "SEVERE_GAPPING")
 ALERTABLE = BUNCHING + GAPPING
+SEVERITY = {"SEVERE_BUNCHING": 2, "SEVERE_GAPPING": 2, "BUNCHING": 1, "GAPPING": 1}  # 0 for all others
 
 
 def from_ratio(ratio: Column | str, c: Config = CONFIG) -> Column:
@@ -31,8 +32,8 @@ def alertable(status: Column | str) -> Column:
 
 
 def severity(status: Column | str) -> Column:
-    s = as_column(status)
-    return F.when(s.isin("SEVERE_BUNCHING", "SEVERE_GAPPING"), 2).when(s.isin("BUNCHING", "GAPPING"), 1).otherwise(0)
+    s, at = as_column(status), lambda rank: [k for k, v in SEVERITY.items() if v == rank]
+    return F.when(s.isin(*at(2)), 2).when(s.isin(*at(1)), 1).otherwise(0)
 
 
 def is_worse(status: Column, ratio: Column, than: Column, than_ratio: Column) -> Column:

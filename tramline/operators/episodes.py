@@ -2,16 +2,18 @@
 
 A record whose window ends before one already taken is refused. An alertable record opens an episode or is
 absorbed by the open one; any other closes it at its own window end; silence closes it, at `now`, where its last
-window ended. A group's records are ordered in one task, as the fold needs; the stream form keeps one episode
-per group as its state.
+window ended. A group's records are folded hour by hour (`folds.before`), each hour from what the one before hands
+on; the stream form keeps one episode per group as its state.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline.config import CONFIG
+from tramline.functions.folds import before
+from tramline.functions.ids import micros
 from tramline.functions.status import alertable, episode_id, severity
 
 ORDER = ["emittedAt", "recordId"]
@@ -19,27 +21,25 @@ ORDER = ["emittedAt", "recordId"]
 
 def accepted(records: DataFrame) -> DataFrame:
     """Records in order of arrival whose windowEnd is not before the newest so far; null groups and ends are refused."""
-    w = Window.partitionBy("headwayGroup").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    r = records.filter("headwayGroup is not null and windowEnd is not null").withColumn("_top", F.max("windowEnd").over(w))
+    r = before(records.filter("headwayGroup is not null and windowEnd is not null"), ["headwayGroup"], ORDER, max_of={"_top": F.col("windowEnd")})
     return r.filter("_top is null or windowEnd >= _top").drop("_top")
 
 
 def segmented(taken: DataFrame) -> DataFrame:
     """taken with alert, opens, episode (number within its group; for a record that clears, the one it closes) and the running worst."""
-    w = Window.partitionBy("headwayGroup").orderBy(*ORDER)
-    a = taken.withColumn("alert", alertable("status"))
-    before = F.coalesce(F.lag("alert").over(w), F.lit(False))
-    e = a.withColumns({"opens": F.col("alert") & ~before, "clears": ~F.col("alert") & before})
-    e = e.withColumn("episode", F.sum(F.col("opens").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    group = ["headwayGroup"]
+    a = before(taken.withColumn("alert", alertable("status")), group, ORDER, lag_of={"_was": F.col("alert")})
+    was = F.coalesce("_was", F.lit(False))
+    e = a.withColumns({"opens": F.col("alert") & ~was, "clears": ~F.col("alert") & was, "_sev": severity("status")}).drop("_was")
+    e = before(e, group, ORDER, sum_of={"episode": F.col("opens").cast("int")})
     keys = ["headwayGroup", "episode", "alert"]
-    sev = severity("status")
-    first = F.row_number().over(Window.partitionBy(*keys, "_sev").orderBy(*ORDER)) == 1
+    firsts = e.groupBy(*keys, "_sev").agg(F.min(F.struct(*ORDER)).alias("_first"))
+    e = e.join(firsts, [*keys, "_sev"])
     # a first record without a ratio can't be outdone at its severity, a later one outdoes nothing
-    dev = F.coalesce(F.abs(F.col("headwayRatio") - 1), F.when(first, F.lit(float("inf"))).otherwise(F.lit(-1.0)))
-    e = e.withColumn("_sev", sev).withColumns({"_dev": dev, "_seq": F.row_number().over(w)})
-    rank = F.struct("_sev", "_dev", (-F.col("_seq")).alias("back"), F.col("status").alias("status"), F.col("headwayRatio").alias("ratio"))
-    run = Window.partitionBy(*keys).orderBy(*ORDER)
-    return e.withColumn("_worst", F.max(rank).over(run.rowsBetween(Window.unboundedPreceding, 0))).withColumn("worstBefore", F.lag("_worst.status").over(run))
+    dev = F.coalesce(F.abs(F.col("headwayRatio") - 1), F.when(F.struct(*ORDER) == F.col("_first"), F.lit(float("inf"))).otherwise(F.lit(-1.0)))
+    rank = F.struct(F.col("_sev"), dev.alias("_dev"), (-F.coalesce(micros("emittedAt"), F.lit(-(1 << 62)))).alias("back"), (-F.col("recordId")).alias("back2"), F.col("status").alias("status"), F.col("headwayRatio").alias("ratio"))
+    e = before(e.withColumn("_rank", rank), keys, ORDER, max_of={"_before": F.col("_rank")})
+    return e.withColumn("_worst", F.greatest("_before", "_rank")).withColumn("worstBefore", F.col("_before.status")).drop("_first", "_rank", "_before")
 
 
 def changes(records: DataFrame) -> DataFrame:

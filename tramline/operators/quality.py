@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tramline.config import CONFIG
 from tramline.functions import geo
-from tramline.functions.ids import bare
+from tramline.functions.folds import before
+from tramline.functions.ids import bare, micros
+from tramline.functions.medians import grouped_ranks
 from tramline.operators import resolve
+from tramline.session import keep, one_row
 
 
 def coverage(pings: DataFrame, trips: DataFrame, shapes: DataFrame, routes: DataFrame) -> DataFrame:
@@ -33,40 +36,36 @@ def percentages(outcomes: DataFrame) -> DataFrame:
 
 
 def pearson(x: Column, y: Column) -> Column:
-    """Correlation from sums; 0 where either side doesn't vary."""
-    n = F.count_if(x.isNotNull() & y.isNotNull())
-    both = x.isNotNull() & y.isNotNull()
-    s = lambda e: F.sum(F.when(both, e))
-    top = n * s(x * y) - s(x) * s(y)
-    vx, vy = n * s(x * x) - s(x) * s(x), n * s(y * y) - s(y) * s(y)
-    return F.coalesce(F.try_divide(top, F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0)))), F.lit(0.0))
+    """Correlation; 0 where either side doesn't vary or there is no pair."""
+    r = F.corr(x, y)
+    return F.coalesce(F.when(~F.isnan(r), r), F.lit(0.0))
 
 
-def nearest_rank(value: str, p: float) -> Column:
-    return F.expr(f"percentile_disc({p}) within group (order by {value})")
+def nearest_ranks(rows: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """(keys, one column per point): the least value that at least that share of the key's values doesn't exceed. By histograms, so
+    that a key, or the whole table without keys, may hold any number of different values."""
+    counts = rows.filter(F.col(value).isNotNull()).select(*keys, value, F.lit(1).cast("long").alias("n"))
+    ranks = {c: f"greatest(0L, cast(ceil({p} * _all) as bigint) - 1)" for c, p in points.items()}
+    return grouped_ranks(counts, keys, value, ranks, "_n").drop("_n")
 
 
 def moving_pairs(projections: DataFrame, keys: list[str]) -> DataFrame:
     """Successive projections of a source with seconds, deltaMetres and impliedMps; pairs on other shapes or under 5 s apart are left out."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy("timestamp", "projectionId")
-    lag = lambda c: F.lag(c).over(w)
-    seconds = (F.unix_micros(F.col("timestamp").cast("timestamp")) - F.unix_micros(lag("timestamp").cast("timestamp"))) / 1e6
-    p = projections.withColumns({"beforeId": lag("projectionId"), "_shape": lag("shapeId"), "seconds": seconds, "deltaMetres": F.col("distanceAlongRouteMetres") - lag("distanceAlongRouteMetres")})
+    lag = {"beforeId": F.col("projectionId"), "_shape": F.col("shapeId"), "_at": micros("timestamp"), "_along": F.col("distanceAlongRouteMetres")}
+    p = before(projections, keys, ["timestamp", "projectionId"], lag_of=lag)
+    p = p.withColumns({"seconds": (micros("timestamp") - F.col("_at")) / 1e6, "deltaMetres": F.col("distanceAlongRouteMetres") - F.col("_along")})
     kept = p.filter((F.col("_shape") == F.col("shapeId")) & (F.col("seconds") >= 5)).withColumn("impliedMps", F.try_divide("deltaMetres", "seconds"))
-    return kept.withColumns({"backward": F.col("deltaMetres") < -20, "absurd": F.abs("impliedMps") > 35}).drop("_shape")
+    return kept.withColumns({"backward": F.col("deltaMetres") < -20, "absurd": F.abs("impliedMps") > 35}).drop("_shape", "_at", "_along")
 
 
 def accuracy(pairs: DataFrame, reported: str) -> DataFrame:
     """One row: pairs, mean implied and reported speed, error percentiles, correlation, verdict."""
-    p = pairs.filter(F.col(reported).isNotNull() & ~F.isnan(reported)).withColumn("_error", F.abs(F.col("impliedMps") - F.col(reported)))
-    a = p.agg(
-        F.count("*").alias("pairs"), F.avg("impliedMps").alias("mean_implied"), F.avg(reported).alias("mean_reported"),
-        nearest_rank("_error", 0.5).alias("p50"), nearest_rank("_error", 0.9).alias("p90"), F.max("_error").alias("worst"), pearson(F.col("impliedMps"), F.col(reported)).alias("r"),
-    )
+    p = keep(pairs.filter(F.col(reported).isNotNull() & ~F.isnan(reported)).select("impliedMps", F.col(reported).alias("reported"), F.abs(F.col("impliedMps") - F.col(reported)).alias("_error")))
+    sums = p.agg(F.count("*").alias("pairs"), F.avg("impliedMps").alias("mean_implied"), F.avg("reported").alias("mean_reported"), F.max("_error").alias("worst"), pearson(F.col("impliedMps"), F.col("reported")).alias("r"))
+    a = one_row(sums, nearest_ranks(p, [], "_error", {"p50": 0.5, "p90": 0.9}))
     ok = (F.col("r") > 0.7) & (F.abs(F.col("mean_implied") - F.col("mean_reported")) < 3)
-    return a.withColumn("verdict", F.when(F.col("pairs") < 5, "too few").when(ok, "agree").otherwise("disagree"))
+    told = a.withColumn("verdict", F.when(F.col("pairs") < 5, "too few").when(ok, "agree").otherwise("disagree"))
+    return told.select("pairs", "mean_implied", "mean_reported", "p50", "p90", "worst", "r", "verdict")
 
 
 def self_consistency(points: DataFrame, lines: DataFrame) -> DataFrame:

@@ -19,12 +19,20 @@ def speed(start: Column, end: Column, length: Column) -> Column:
     return length / F.greatest(F.lit(1), end - start)
 
 
+def service_days(dates: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(date, calendar row) of the dates within a row's start and end: rows become one per date, cut to the span of `dates`, and meet them by equality."""
+    lo, hi = dates.agg(F.min("date"), F.max("date")).first()
+    from_, to = F.greatest(F.col("start"), F.lit(lo).cast("date")), F.least(F.col("end"), F.lit(hi).cast("date"))
+    days = calendar.filter(F.col("start").isNotNull() & F.col("end").isNotNull() & (from_ <= to)).withColumn("date", F.explode(F.sequence(from_, to)))
+    return dates.distinct().join(days, "date")
+
+
 def active_services(dates: DataFrame, calendar: DataFrame, exceptions: DataFrame) -> DataFrame:
     """(date, serviceId): weekly services of the date and added ones, without removed ones.
 
     calendar: serviceId, days (0 = Monday), start, end; exceptions: serviceId, date, exceptionType (1 adds, 2 removes).
     """
-    weekly = dates.join(F.broadcast(calendar), runs_on(F.col("date"), F.col("days"), F.col("start"), F.col("end"))).select("date", "serviceId")
+    weekly = service_days(dates, calendar).filter(runs_on(F.col("date"), F.col("days"), F.col("start"), F.col("end"))).select("date", "serviceId")
     added = exceptions.filter("exceptionType = 1").join(dates, "date", "left_semi").select("date", "serviceId")
     removed = exceptions.filter("exceptionType = 2").select("date", "serviceId")
     return weekly.union(added).distinct().join(removed, ["date", "serviceId"], "left_anti")
@@ -34,8 +42,8 @@ def covered(dates: DataFrame, calendar: DataFrame) -> DataFrame:
     """(date, covered): whether any weekly service is valid on the date; true for every date if there is none."""
     if calendar.isEmpty():
         return dates.select("date", F.lit(True).alias("covered"))
-    on = dates.join(F.broadcast(calendar), F.col("date").between(F.col("start"), F.col("end")), "left")
-    return on.groupBy("date").agg(F.max(F.col("serviceId").isNotNull()).alias("covered"))
+    on = service_days(dates, calendar).select("date").distinct().withColumn("_on", F.lit(True))
+    return dates.distinct().join(on, "date", "left").select("date", F.coalesce("_on", F.lit(False)).alias("covered"))
 
 
 def scheduled_headways(moments: DataFrame, trips: DataFrame, active: DataFrame | None) -> DataFrame:

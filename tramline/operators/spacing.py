@@ -10,13 +10,20 @@ from tramline.functions import times
 from tramline.functions.status import from_ratio
 from tramline.operators import gaps, resolve, schedule, snap
 from tramline.schema import RECORD
+from tramline.session import keep, small_side
+
+#: Most groups' timetables, and most dates, that are broadcast.
+MAX_GROUPS, MAX_DATES = 20_000, 100_000
 
 KEYS = ["windowStart", "windowEnd", "headwayGroup", "routeShortName", "routeLongName", "directionId"]
 
 
-def project(pings: DataFrame, trips: DataFrame, shapes: DataFrame, routes: DataFrame) -> DataFrame:
-    """Resolved pings with their place along the trip's shape; pings too far from it are left out, as are those without vehicle, trip or position."""
-    lines = resolve.polylines(shapes).persist()  # a static table that three steps read
+def project(pings: DataFrame, trips: DataFrame, shapes: DataFrame, routes: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """Resolved pings with their place along the trip's shape; pings too far from it are left out, as are those without vehicle, trip or position.
+
+    lines: the shapes' polylines, if they are assembled already.
+    """
+    lines = keep(resolve.polylines(shapes)) if lines is None else lines  # a static table that three steps read
     known = resolve.resolve(pings.filter("vehicleId is not null and tripId is not null"), trips, shapes, routes, lines)
     placed = snap.snap(known, lines)
     return placed.filter(F.col("crossTrackMetres") <= CONFIG.max_cross_track_m)  # null and NaN are no distances
@@ -72,10 +79,10 @@ def stream_records(projected: DataFrame, timetable: DataFrame, services: DataFra
     w = windowed(projected).groupBy(*KEYS).agg(F.collect_list(F.struct("vehicleId", "distanceMetres", "ts")).alias("sightings"), F.max("shapeLengthMetres").alias("routeLengthMetres"))
     g = gaps.gaps_from_array(w)
     date, second = moment("windowEnd")
-    g = g.withColumns({"_date": date, "_second": second}).join(F.broadcast(timetable), "headwayGroup", "left")
+    g = g.withColumns({"_date": date, "_second": second}).join(small_side(timetable, MAX_GROUPS), "headwayGroup", "left")
     on = None
     if services is not None:
-        g = g.join(F.broadcast(services.withColumnRenamed("date", "_d")), F.col("_date") == F.col("_d"), "left")
+        g = g.join(small_side(services.withColumnRenamed("date", "_d"), MAX_DATES), F.col("_date") == F.col("_d"), "left")
         on = F.coalesce("services", F.array().cast("array<string>"))
     g = g.withColumn("_s", schedule.scheduled_from_array(F.coalesce(F.col("timetable"), F.array().cast(timetable.schema["timetable"].dataType)), F.col("_second"), on))
     return in_order(classified(g.withColumns({"scheduledHeadwaySeconds": F.col("_s.scheduledHeadwaySeconds"), "averageSpeedMps": F.col("_s.averageSpeedMps")})))

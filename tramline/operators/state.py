@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.config import CONFIG
+from tramline.functions.folds import before
 
 
 def admitted(ts: Column, now: Column) -> Column:
@@ -17,8 +18,9 @@ def outcomes(pings: DataFrame, key: str, ts: str, order: list[str], now: Column
     """pings with outcome: REJECTED if not admitted at `now`, NEW for the first of its key in order of arrival,
     UPDATED if newer than all before, else STALE. Rejected pings leave no trace. Exact between evictions."""
     ok = admitted(F.col(ts), now) if now is not None else F.lit(True)
-    seen = F.max(F.when(ok, F.col(ts))).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return pings.withColumn("outcome", F.when(~ok, "REJECTED").when(seen.isNull(), "NEW").when(F.col(ts) > seen, "UPDATED").otherwise("STALE"))
+    told = before(pings, [key], order, max_of={"_seen": F.when(ok, F.col(ts))})
+    seen = F.col("_seen")
+    return told.withColumn("outcome", F.when(~ok, "REJECTED").when(seen.isNull(), "NEW").when(F.col(ts) > seen, "UPDATED").otherwise("STALE")).drop("_seen")
 
 
 def newest(rows: DataFrame, key: str, *order: str, keep: list[str] | None = None) -> DataFrame:

@@ -292,8 +292,10 @@ def pair_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ag_16", "SELECT status, quantile_disc(minGapMetres, 0.5) AS p50, quantile_disc(minGapMetres, 0.9) AS p90, quantile_disc(minGapMetres, 0.99) AS p99, max(minGapMetres) AS most FROM route_headways GROUP BY 1")
 def percentiles(spark: SparkSession, d: str) -> DataFrame:
-    p = lambda x, n: quality.nearest_rank("minGapMetres", x).alias(n)
-    return RH(spark, d).groupBy("status").agg(p(0.5, "p50"), p(0.9, "p90"), p(0.99, "p99"), F.max("minGapMetres").alias("most"))
+    r = RH(spark, d)
+    ranks = quality.nearest_ranks(r, ["status"], "minGapMetres", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    most = r.groupBy("status").agg(F.max("minGapMetres").alias("most")).withColumnRenamed("status", "_s")
+    return most.join(ranks, F.col("status").eqNullSafe(F.col("_s")), "left").select(F.col("_s").alias("status"), "p50", "p90", "p99", "most")
 
 
 @query("ag_17", "SELECT l_returnflag, round(coalesce(corr(l_quantity, l_extendedprice), 0), 6) AS r FROM lineitem GROUP BY 1")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from tramline.functions import ids
 from tramline.plans import flows
 from tramline.plans.registry import Registry
 from tramline.plans.transit import ALERT_SQL, POINTS_CTE, RH, ROUTES, SHAPES, TRIPS, TRIPS_CTE, VP
-from tramline.session import one_row, shared_folder
+from tramline.session import fresh, one_row
 from tramline.sources import feed, gtfs, pings
 from tramline.streaming import sinks, spacing
 
@@ -22,10 +21,6 @@ QUERIES, ORACLES = R.queries, R.oracles
 query = R.query
 
 
-def fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def as_pings(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.PING.fields])
 

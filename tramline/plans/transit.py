@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tramline import schema
 from tramline.functions import arrays, geo, ids, status, times
+from tramline.functions.folds import before
 from tramline.operators import resolve, state
 from tramline.plans.registry import Registry
 from tramline.sources.tables import table
@@ -56,10 +57,10 @@ def consumer_loop(spark: SparkSession, d: str) -> DataFrame:
 @query("src_5", """SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT routeId) AS BIGINT) AS routes, CAST(sum(routeType) AS BIGINT) AS types, CAST(count(CASE WHEN longName LIKE '%,%' THEN 1 END) AS BIGINT) AS quoted FROM gtfs_routes""")
 def csv_scan(spark: SparkSession, d: str) -> DataFrame:
     """Routes written as CSV by header name (quoted commas, a missing column) and read back."""
-    from tramline.session import shared_folder
+    from tramline.session import fresh
     from tramline.sources.gtfs import read_csv
 
-    out = f"{shared_folder(spark)}/routes-csv"
+    out = fresh(spark, "routes-csv")
     ROUTES(spark, d).select(F.col("routeId").alias("route_id"), F.col("longName").alias("route_long_name"), F.col("routeType").alias("route_type")).write.mode("overwrite").option("header", True).option("escape", '"').csv(out)
     r = read_csv(spark, out, ["route_id", "route_long_name", "route_type", "route_color"])
     return r.agg(F.count("*").alias("n"), F.count_distinct("route_id").alias("routes"), F.sum(times.lenient_int("route_type", 0)).alias("types"), F.count_if(F.col("route_long_name").contains(",")).alias("quoted"))
@@ -365,8 +366,8 @@ def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fn_19", """SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT "timestamp" AS t, lag("timestamp") OVER (PARTITION BY upper(trim(vehicleId)) ORDER BY receivedAt, deliveryId) AS p FROM vehicle_positions) WHERE t > p""")
 def superseded(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy(ids.normal_id("vehicleId")).orderBy("receivedAt", "deliveryId")
-    return VP(spark, d).select((F.col("timestamp") > F.lag("timestamp").over(w)).alias("newer")).agg(F.count_if("newer").alias("n"))
+    v = VP(spark, d).select(ids.normal_id("vehicleId").alias("vehicle"), "timestamp", "receivedAt", "deliveryId")
+    return before(v, ["vehicle"], ["receivedAt", "deliveryId"], lag_of={"last": F.col("timestamp")}).agg(F.count_if(F.col("timestamp") > F.col("last")).alias("n"))
 
 
 @query("fn_20", "SELECT recordId, list_position(orderedVehicles, worstPairVehicles[1]) AS place, len(orderedVehicles) AS n, array_to_string(list_sort(orderedVehicles), ',') AS sorted FROM route_headways".replace("list_position(", "CAST(list_position(").replace("[1]) AS place", "[1]) AS INTEGER) AS place").replace("len(orderedVehicles) AS n", "CAST(len(orderedVehicles) AS INTEGER) AS n"))

@@ -67,6 +67,18 @@ def shared_folder(spark: SparkSession) -> str:
     return shared or os.path.join(tempfile.gettempdir(), "tramline-checkpoints")
 
 
+_kept: dict[str, SparkSession] = {}
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder; `sweep` removes it."""
+    path = f"{shared_folder(spark)}/tramline-kept/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if not _kept:
+        atexit.register(sweep)
+    _kept[path] = spark
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df once to the shared checkpoint folder and go on from the written rows."""
     sc = df.sparkSession.sparkContext
@@ -75,23 +87,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_kept: dict[str, SparkSession] = {}
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Write df once as a Parquet table in the shared folder and go on from the table, so that later scans prune its
     columns. `sweep` removes what this application has kept; it runs when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tramline-kept/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = fresh(spark, "table")
     df.write.parquet(path)
-    if not _kept:
-        atexit.register(sweep)
-    _kept[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
 def sweep() -> None:
-    """Remove the tables that `keep` wrote."""
+    """Remove what `keep` and the users of `fresh` wrote."""
     while _kept:
         path, spark = _kept.popitem()
         try:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 import shutil
 import tempfile
@@ -20,6 +21,7 @@ from tramline.functions import times
 from tramline.operators import resolve
 from tramline.operators.schedule import speed  # noqa: F401
 
+log = logging.getLogger(__name__)
 REQUIRED = ("routes.txt", "trips.txt", "shapes.txt")
 OPTIONAL = ("stop_times.txt", "calendar.txt", "calendar_dates.txt")
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
@@ -151,7 +153,7 @@ class SnapshotCache:
             try:
                 self.value, self.at = self.loader(), self.clock()
             except Exception:  # noqa: BLE001 - any failed reload keeps what there is
-                pass
+                log.warning("the snapshot could not be loaded again; the one of %.0f s ago stays", age, exc_info=True)
         return self.value
 
     def invalidate(self) -> None:

@@ -54,4 +54,4 @@ def publish(pings: DataFrame, sink: dict) -> None:
         w = rows.write.format("kafka").option("kafka.bootstrap.servers", sink["servers"]).option("topic", sink["topic"])
         w.option("kafka.acks", "all").option("kafka.enable.idempotence", "true").option("kafka.linger.ms", "20").option("kafka.compression.type", "lz4").option("kafka.max.block.ms", "10000").save()
     else:
-        rows.select("value").repartition("value").write.mode("append").text(sink["path"])
+        rows.select("value").write.mode("append").text(sink["path"])

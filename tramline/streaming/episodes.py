@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
-from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tramline.functions.status import ALERTABLE
+from tramline.functions.status import ALERTABLE, SEVERITY
 
-RANK = {"SEVERE_BUNCHING": 2, "SEVERE_GAPPING": 2, "BUNCHING": 1, "GAPPING": 1}
 LINGER_MS = 180_000
 
 
@@ -29,7 +28,7 @@ class Group:
 
 
 def worse(status: str, ratio: float | None, than: str, than_ratio: float | None) -> bool:
-    a, b = RANK.get(status, 0), RANK.get(than, 0)
+    a, b = SEVERITY.get(status, 0), SEVERITY.get(than, 0)
     if a != b:
         return a > b
     return ratio is not None and than_ratio is not None and abs(ratio - 1) > abs(than_ratio - 1)
@@ -54,12 +53,12 @@ def observe(g: Group, end: int, status: str | None, ratio: float | None) -> str:
 
 
 STATE = "top long, started long, last_seen long, windows long, worst string, worst_ratio double"
-OUT = "headwayGroup string, recordId long, windowEnd timestamp, change string, startedAt timestamp, lastSeenAt timestamp, windowsObserved long, worstStatus string, worstRatio double"
+#: Times are micros, which mean the same on every worker.
+OUT = "headwayGroup string, recordId long, windowEnd long, change string, startedAt long, lastSeenAt long, windowsObserved long, worstStatus string, worstRatio double"
 
 
 def _row(group: str, record: int | None, end: int | None, change: str, started: int, g: Group) -> dict:
-    at = lambda us: None if not us else datetime.fromtimestamp(0).fromtimestamp(us / 1e6)
-    return {"headwayGroup": group, "recordId": record, "windowEnd": at(end), "change": change, "startedAt": at(started), "lastSeenAt": at(g.last_seen), "windowsObserved": g.windows, "worstStatus": g.worst or None, "worstRatio": g.worst_ratio}
+    return {"headwayGroup": group, "recordId": record, "windowEnd": end, "change": change, "startedAt": started or None, "lastSeenAt": g.last_seen or None, "windowsObserved": g.windows, "worstStatus": g.worst or None, "worstRatio": g.worst_ratio}
 
 
 def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -84,7 +83,7 @@ def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Itera
     if g.started:
         state.setTimeoutDuration(LINGER_MS)
     if out:
-        yield pd.DataFrame(out)
+        yield pd.DataFrame(out).astype({c: "Int64" for c in ("recordId", "windowEnd", "startedAt", "lastSeenAt")})
 
 
 def changes(records: DataFrame) -> DataFrame:
@@ -92,4 +91,5 @@ def changes(records: DataFrame) -> DataFrame:
     rows = records.filter("headwayGroup is not null and windowEnd is not null").selectExpr(
         "headwayGroup", "recordId", "unix_micros(cast(windowEnd as timestamp)) as ends", "unix_micros(cast(emittedAt as timestamp)) as emitted", "status", "headwayRatio"
     )
-    return rows.groupBy("headwayGroup").applyInPandasWithState(fold, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    told = rows.groupBy("headwayGroup").applyInPandasWithState(fold, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return told.withColumns({c: F.timestamp_micros(c) for c in ("windowEnd", "startedAt", "lastSeenAt")})
