@@ -1,8 +1,8 @@
 """Pings snapped to the nearest segment of their shape, by vectors instead of one lambda call per segment.
 
-Shapes are a static table. Up to MAX_POINTS points in all (counted first) they are sent to the workers as
-arrays, and a batch of pings meets each of its shapes as one matrix. Beyond that pings and shapes are joined by
-shape and `geo.nearest` searches each row's own array; both give the same.
+A batch of pings meets each of its shapes as one matrix. Shapes are a static table: up to MAX_POINTS points in all (counted
+first) they are sent to the workers as arrays. Beyond that every shape's points go, once, before each part of its pings, in
+a shuffle by (shape, part); a shape with many pings has many parts. Both ways give the same by the same code.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tramline.config import CONFIG
-from tramline.functions import geo
 
 MAX_POINTS = 2_000_000
+#: Pings of a shape that one part has on average, if shapes aren't sent to all workers.
+PART_ROWS = 200_000
 CELLS = 1 << 20  # of a matrix of pings and segments
 _FIELDS = [("distanceAlongRouteMetres", T.DoubleType()), ("crossTrackMetres", T.DoubleType()), ("segmentIndex", T.IntegerType()), ("snappedLatitude", T.DoubleType()), ("snappedLongitude", T.DoubleType())]
 
@@ -47,27 +48,64 @@ def nearest_of(pts: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> list[np.nda
     return out
 
 
+def flat(lines: DataFrame) -> DataFrame:
+    """(shapeId, _lat, _lon, _m): the points of polylines as arrays of numbers."""
+    last = F.element_at("segments", -1)
+    one = lambda c: F.concat(F.transform("segments", lambda s: s[c]), F.array(last[c + "2"]))
+    return lines.select("shapeId", *[one(c).alias(f"_{c}") for c in ("lat", "lon", "m")])
+
+
+def _points(b: pa.RecordBatch | pa.Table, k: int) -> np.ndarray:
+    return np.stack([np.asarray(b.column(c)[k].values) for c in ("_lat", "_lon", "_m")], 1)
+
+
+def _columns(b: pa.RecordBatch, got: list[np.ndarray], known: np.ndarray) -> list[pa.Array]:
+    """The batch's new columns; null where a ping's place isn't known."""
+    return [pa.array(np.where(known, g, 0).astype(np.int32 if isinstance(t, T.IntegerType) else float), mask=~known) for g, (_, t) in zip(got, _FIELDS, strict=True)]
+
+
+def _placed(b: pa.RecordBatch, lat: str, lon: str, shape: str, lines: dict[str, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Nearest places of the rows of a batch, and which rows have one."""
+    coded = b.column(shape).dictionary_encode()
+    code, names = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    y, x = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (lat, lon))
+    got, known = [np.zeros(b.num_rows) for _ in _FIELDS], np.zeros(b.num_rows, bool)
+    fine = ~np.isnan(y) & ~np.isnan(x)
+    for k, n in enumerate(names):
+        if n in lines:
+            at = np.flatnonzero((code == k) & fine)
+            known[at] = True
+            for g, v in zip(got, nearest_of(lines[n], y[at], x[at]), strict=True):
+                g[at] = v
+    return got, known
+
+
 def _snap(shared, lat: str, lon: str, shape: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines: dict[str, np.ndarray] = pickle.loads(shared.value)
         for b in batches:
-            if not b.num_rows:
-                continue
-            names = np.array(b.column(shape).to_pylist(), object)
-            y, x = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (lat, lon))
-            got = [np.full(b.num_rows, np.nan) for _ in _FIELDS]
-            known = np.array([n in lines for n in names], bool) & ~np.isnan(y) & ~np.isnan(x)
-            uniq, inverse = np.unique(names[known].astype(str), return_inverse=True)
-            rows = np.flatnonzero(known)
-            order = np.argsort(inverse, kind="stable")
-            bounds = np.searchsorted(inverse[order], np.arange(len(uniq) + 1))
-            for k, n in enumerate(uniq):
-                at = rows[order[bounds[k] : bounds[k + 1]]]
-                for g, v in zip(got, nearest_of(lines[n], y[at], x[at]), strict=True):
-                    g[at] = v
-            none = ~known
-            cols = [pa.array(g, pa.int32() if isinstance(t, T.IntegerType) else pa.float64(), mask=none, safe=False) if not isinstance(t, T.IntegerType) else pa.array(np.where(none, 0, np.nan_to_num(g)).astype(np.int32), pa.int32(), mask=none) for g, (_, t) in zip(got, _FIELDS, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *[n for n, _ in _FIELDS]])
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.columns, *_columns(b, *_placed(b, lat, lon, shape, lines))], names=[*b.schema.names, *[n for n, _ in _FIELDS]])
+
+    return run
+
+
+def _snap_parts(lat: str, lon: str, shape: str, columns: list[str]):
+    """Arrow batches in which a shape's points come before its pings; one shape is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for b in batches:
+            first = np.flatnonzero(b.column("_tag").to_numpy() == 0)
+            edges = [0, *first.tolist(), b.num_rows]
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                part = b.slice(x, y - x)
+                if part.num_rows and part.column("_tag")[0].as_py() == 0:
+                    held = {part.column("_shape")[0].as_py(): _points(part, 0)}
+                    part = part.slice(1)
+                if part.num_rows:
+                    own = pa.RecordBatch.from_arrays([part.column(c) for c in columns], names=columns)
+                    yield pa.RecordBatch.from_arrays([*own.columns, *_columns(own, *_placed(own, lat, lon, shape, held))], names=[*columns, *[n for n, _ in _FIELDS]])
 
     return run
 
@@ -75,13 +113,17 @@ def _snap(shared, lat: str, lon: str, shape: str):
 def snap(pings: DataFrame, lines: DataFrame, shape: str = "tripShape", lat: str = "latitude", lon: str = "longitude", max_points: int = MAX_POINTS) -> DataFrame:
     """pings with distanceAlongRouteMetres, crossTrackMetres, segmentIndex, snappedLatitude and snappedLongitude; null for
     pings without position (null or NaN) or whose shape isn't in `lines` (shapeId, pts, pointCount). Equal distances go to the first segment."""
-    total = lines.agg(F.sum("pointCount")).first()[0] or 0
-    if total > max_points:
-        side = lines.select(F.col("shapeId").alias("_shape"), "segments")
-        j = geo.with_projection(pings.join(side, F.col(shape) == F.col("_shape"), "left"), lat, lon)
-        known = F.col("_shape").isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
-        return j.withColumns({n: F.when(known, F.col(n)) for n, _ in _FIELDS}).drop("_shape", "segments")
-    arrays = {r.shapeId: np.array([(s.lat, s.lon, s.m) for s in r.segments] + [(r.segments[-1].lat2, r.segments[-1].lon2, r.segments[-1].m2)]) for r in lines.select("shapeId", "segments").collect()}
-    shared = pings.sparkSession.sparkContext.broadcast(pickle.dumps(arrays))
     out = T.StructType([*pings.schema.fields, *[T.StructField(n, t) for n, t in _FIELDS]])
-    return pings.mapInArrow(_snap(shared, lat, lon, shape), out)
+    total = lines.agg(F.sum("pointCount")).first()[0] or 0
+    if total <= max_points:
+        b = flat(lines).toArrow()
+        arrays = {n: _points(b, k) for k, n in enumerate(b.column("shapeId").to_pylist())}
+        shared = pings.sparkSession.sparkContext.broadcast(pickle.dumps(arrays))
+        return pings.mapInArrow(_snap(shared, lat, lon, shape), out)
+    parts = pings.groupBy(F.col(shape).alias("_shape")).agg(F.ceil(F.count("*") / PART_ROWS).alias("_parts"))
+    salted = pings.withColumn("_shape", F.col(shape)).join(parts.withColumnRenamed("_shape", "_s"), F.col("_shape").eqNullSafe(F.col("_s")))
+    own = F.xxhash64(*[f.name for f in pings.schema.fields if not isinstance(f.dataType, T.MapType)])  # the same if a task runs again
+    rows = salted.withColumns({"_part": F.pmod(own, F.col("_parts")), "_tag": F.lit(1)}).drop("_s", "_parts")
+    points = flat(lines).withColumnRenamed("shapeId", "_shape").join(parts, "_shape").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).withColumn("_tag", F.lit(0)).drop("_parts")
+    both = rows.unionByName(points, allowMissingColumns=True)
+    return both.repartition("_shape", "_part").sortWithinPartitions("_shape", "_part", "_tag").mapInArrow(_snap_parts(lat, lon, shape, pings.columns), out)

@@ -12,7 +12,7 @@ from tramline.functions import geo, ids, status
 from tramline.operators import episodes, gaps, quality, resolve, schedule, spacing, state
 from tramline.plans.registry import Registry
 from tramline.plans.transit import _DISORDER, ALERT_SQL, NOW_SQL, POINTS_CTE, RESOLVED_CTE, RH, ROUTES, SHAPES, STATUS_SQL, TRIPS, TRIPS_CTE, VP
-from tramline.session import one_row
+from tramline.session import keep, one_row
 from tramline.sources.tables import table
 
 R = Registry()
@@ -55,15 +55,15 @@ def stamped(spark: SparkSession, d: str) -> DataFrame:
     return VP(spark, d).withColumn("ts", F.col("timestamp").cast("timestamp"))
 
 
-def projected(spark: SparkSession, d: str) -> DataFrame:
-    return spacing.project(stamped(spark, d), TRIPS(spark, d), SHAPES(spark, d), ROUTES(spark, d))
+def projected(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
+    return spacing.project(stamped(spark, d), TRIPS(spark, d), SHAPES(spark, d), ROUTES(spark, d), lines)
 
 
-def timetable_rows(spark: SparkSession, d: str) -> DataFrame:
+def timetable_rows(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
     """The tables have no stop times: starts and durations follow from a trip's row in the feed."""
     t = resolve.usable_trips(TRIPS(spark, d), keep_order=True)
     r = ROUTES(spark, d).filter("shortName <> ''").select("routeId", "shortName")
-    lines = resolve.polylines(SHAPES(spark, d)).select("shapeId", "shapeLengthMetres")
+    lines = (resolve.polylines(SHAPES(spark, d)) if lines is None else lines).select("shapeId", "shapeLengthMetres")
     start = (F.col("feedRow") * 7919) % 86400
     return t.join(r, "routeId").join(lines, "shapeId").select(
         F.concat_ws(":", "shortName", F.col("directionId").cast("string")).alias("headwayGroup"), "tripId", "serviceId", start.cast("int").alias("startSeconds"), (start + 1800 + F.col("feedRow") % 1200).cast("int").alias("endSeconds"), "shapeLengthMetres"
@@ -425,7 +425,8 @@ _RECORDS = f"""WITH {WINDOWED_CTE}, {SCHED_CTE.replace(TRIPS_CTE.replace("AS rn
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    return spacing.batch_records(projected(spark, d), timetable_rows(spark, d), active(spark))
+    lines = keep(resolve.polylines(SHAPES(spark, d)))
+    return spacing.batch_records(projected(spark, d, lines), timetable_rows(spark, d, lines), active(spark))
 
 
 def shown(r: DataFrame) -> DataFrame:
