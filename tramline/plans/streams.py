@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline import schema
+from tramline.config import CONFIG
 from tramline.functions import ids
 from tramline.plans import flows
 from tramline.plans.registry import Registry
@@ -25,22 +27,29 @@ def as_pings(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.PING.fields])
 
 
+#: Entities of one feed message.
+ENTITIES = 500
+
+
 @query(
     "src_2",
     """SELECT deliveryId, vehicleId, routeId, nullif(tripId, '') AS tripId, directionId, round(CAST(CAST(latitude AS FLOAT) AS DOUBLE), 4) AS latitude, CAST(floor(epoch("timestamp")) AS BIGINT) AS second
   FROM vehicle_positions WHERE routeId <> '' AND vehicleId <> '' AND latitude IS NOT NULL AND longitude IS NOT NULL""",
 )
 def feed_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Every ping as a feed message of one entity, decoded again."""
+    """Every ping as an entity of a feed message, decoded again."""
 
     def run(frames):
         import pandas as pd
 
+        columns = ["vehicleId", "routeId", "tripId", "directionId", "latitude", "timestamp"]
         for f in frames:
-            rows = []
-            for r in f.to_dict("records"):
-                rows += [{"deliveryId": r["deliveryId"]} | {k: p[k] for k in ("vehicleId", "routeId", "tripId", "directionId", "latitude", "timestamp")} for p in feed.decode(feed.encode([r]))]
-            yield pd.DataFrame(rows, columns=["deliveryId", "vehicleId", "routeId", "tripId", "directionId", "latitude", "timestamp"]).astype({"directionId": "Int32", "timestamp": "Int64"})
+            # only entities with a position, a route and a vehicle come out of a message, in its order
+            f = f[f["vehicleId"].fillna("").ne("") & f["routeId"].fillna("").ne("") & f["latitude"].notna() & f["longitude"].notna()]
+            for k in range(0, len(f), ENTITIES):
+                part = f.iloc[k : k + ENTITIES]
+                got = feed.decode(feed.encode(part.drop(columns="deliveryId").to_dict("records")))
+                yield pd.DataFrame([{c: p[c] for c in columns} for p in got], columns=columns).assign(deliveryId=part["deliveryId"].to_numpy()).astype({"directionId": "Int32", "timestamp": "Int64"})
 
     v = VP(spark, d).select("deliveryId", "vehicleId", "routeId", "tripId", "directionId", "latitude", "longitude", "bearingDegrees", "speedMetersPerSecond", ids.seconds("timestamp").alias("timestamp"))
     got = v.mapInPandas(run, "deliveryId long, vehicleId string, routeId string, tripId string, directionId int, latitude double, timestamp long")
@@ -66,8 +75,110 @@ def log_scan(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).agg(F.count("*").alias("n"), F.count_distinct("vehicleId").alias("vehicles"))
 
 
-query("snk_7", ORACLES["src_8"])(log_scan)  # the same checkpointed query
-query("st_11", ORACLES["src_8"])(log_scan)  # and its source takes so many files at a time
+SLICES, WATERMARK_SLICES = 6, 24
+_SLICE_SQL = f"s AS (SELECT *, CAST(least({SLICES - 1}, floor((batchId - (SELECT min(batchId) FROM vehicle_positions)) * {SLICES} / ((SELECT max(batchId) - min(batchId) + 1 FROM vehicle_positions)))) AS BIGINT) AS slice FROM vehicle_positions)"
+
+
+def slices(v: DataFrame, count: int = SLICES) -> tuple[list[DataFrame], int]:
+    """The log in parts of equal spans of polls, and the number of files that each is written as."""
+    lo, hi, n = v.agg(F.min("batchId"), F.max("batchId"), F.count("*")).first()
+    files = max(1, min(v.sparkSession.sparkContext.defaultParallelism, n // (2000 * count)))
+    at = F.least(F.lit(count - 1), F.floor((F.col("batchId") - lo) * count / (hi - lo + 1)))
+    return [v.filter(at == k).repartition(files) for k in range(count)], files
+
+
+def drained(rows: DataFrame, checkpoint: str, batch) -> int:
+    """Run `batch` on all micro-batches that there are; the number of the last one. What it raises comes out."""
+    q = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return -1 if q.lastProgress is None else q.lastProgress["batchId"]
+
+
+@query("st_11", f"""WITH {_SLICE_SQL} SELECT slice AS batch, CAST(count(*) AS BIGINT) AS n FROM s WHERE vehicleId IS NOT NULL AND tripId IS NOT NULL GROUP BY 1""")
+def rate_limited(spark: SparkSession, d: str) -> DataFrame:
+    """A log that is there as a whole, taken a slice at a time: the rows of every micro-batch."""
+    parts, files = slices(VP(spark, d))
+    log, out = fresh(spark, "log"), fresh(spark, "drained")
+    for p in parts:
+        pings.publish(as_pings(p), {"kind": "files", "path": log})
+    rows = pings.parse_pings(pings.log_stream(spark, {"kind": "files", "path": log, "per_trigger": files}))
+    drained(rows, out + "-cp", lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    return spark.read.parquet(out).groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"))
+
+
+class Broken(Exception):
+    pass
+
+
+@query("snk_7", f"""WITH {_SLICE_SQL} SELECT CASE WHEN slice < {SLICES // 2} THEN 'first' ELSE 'again' END AS run, CAST(count(*) AS BIGINT) AS n FROM s WHERE vehicleId IS NOT NULL AND tripId IS NOT NULL GROUP BY 1""")
+def restarted(spark: SparkSession, d: str) -> DataFrame:
+    """A query that is stopped, breaks after it has written a batch, and goes on from its checkpoint: every ping once."""
+    parts, files = slices(VP(spark, d))
+    log, out = fresh(spark, "log"), fresh(spark, "drained")
+    source = {"kind": "files", "path": log, "per_trigger": files}
+    broken = []
+
+    def write(run: str, breaks: bool = False):
+        def batch(b: DataFrame, n: int) -> None:
+            b.withColumn("run", F.lit(run)).write.mode("overwrite").parquet(f"{out}/batch={n}")
+            if breaks and not broken:
+                broken.append(n)
+                raise Broken(f"batch {n}")
+
+        return batch
+
+    def go(batch) -> None:
+        drained(pings.parse_pings(pings.log_stream(spark, source)), out + "-cp", batch)
+
+    for p in parts[: SLICES // 2]:
+        pings.publish(as_pings(p), {"kind": "files", "path": log})
+    go(write("first"))
+    for p in parts[SLICES // 2 :]:
+        pings.publish(as_pings(p), {"kind": "files", "path": log})
+    try:
+        go(write("broken", breaks=True))
+    except StreamingQueryException:
+        go(write("again"))  # the broken batch runs again under its number and replaces what it wrote
+    return spark.read.parquet(out).groupBy("run").agg(F.count("*").alias("n"))
+
+
+# The watermark by which a micro-batch refuses rows is the one that the batch before it started with.
+_WATERMARK_SQL = f"""{_SLICE_SQL.replace(f"least({SLICES - 1},", f"least({WATERMARK_SLICES - 1},").replace(f"* {SLICES} /", f"* {WATERMARK_SLICES} /")}, tops AS (SELECT slice, max("timestamp") AS top FROM s GROUP BY 1),
+  marks AS (SELECT slice, date_trunc('millisecond', max(top) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)) - INTERVAL 2 MINUTE AS mark FROM tops),
+  w AS (SELECT slice, unnest([b, b - INTERVAL 30 SECOND]) AS windowStart FROM (SELECT slice, time_bucket(INTERVAL 30 SECOND, "timestamp", TIMESTAMP '1970-01-01') AS b FROM s WHERE "timestamp" IS NOT NULL)),
+  kept AS (SELECT windowStart, (mark IS NULL OR windowStart + INTERVAL 60 SECOND > mark) AS ok FROM w JOIN marks ON w.slice = marks.slice)"""
+
+
+def windows_of(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.window("ts", CONFIG.window, CONFIG.slide).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("windowStart"), "n")
+
+
+def watermarked(spark: SparkSession, d: str) -> DataFrame:
+    """(windowStart, n) as a stream with a watermark leaves them: the log in slices by arrival, each a micro-batch, update mode."""
+    v = VP(spark, d).select("batchId", F.col("timestamp").cast("timestamp").alias("ts"))
+    parts, files = slices(v, WATERMARK_SLICES)
+    log, out = fresh(spark, "slices"), fresh(spark, "windows")
+    for p in parts:
+        if not p.isEmpty():
+            p.write.mode("append").parquet(log)
+    raw = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", files).parquet(log)
+    counts = windows_of(raw.withWatermark("ts", CONFIG.watermark))
+    q = counts.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", out + "-cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out).groupBy("windowStart").agg(F.max("n").alias("n"))  # the last update of a window has the most
+
+
+@query("st_1", f"WITH {_WATERMARK_SQL} SELECT windowStart, CAST(count(*) AS BIGINT) AS n FROM kept WHERE ok GROUP BY 1")
+def watermark(spark: SparkSession, d: str) -> DataFrame:
+    return watermarked(spark, d).select(F.col("windowStart").cast("timestamp_ntz").alias("windowStart"), "n")
+
+
+@query("st_9", f"WITH {_WATERMARK_SQL} SELECT windowStart, CAST(count(*) AS BIGINT) AS late FROM kept WHERE NOT ok GROUP BY 1")
+def refused_as_late(spark: SparkSession, d: str) -> DataFrame:
+    """Per window, the pings that the watermark refused: what the whole table has and the stream has not."""
+    whole = windows_of(VP(spark, d).filter("timestamp is not null").withColumn("ts", F.col("timestamp").cast("timestamp")))
+    both = whole.join(watermarked(spark, d).withColumnRenamed("n", "_in"), "windowStart", "left").withColumn("late", F.col("n") - F.coalesce("_in", F.lit(0)))
+    return both.filter("late > 0").select(F.col("windowStart").cast("timestamp_ntz").alias("windowStart"), "late")
 
 
 @query(
@@ -119,18 +230,6 @@ def hopping_windows(spark: SparkSession, d: str) -> DataFrame:
     return VP(spark, d).select(F.window(F.col("timestamp").cast("timestamp"), "60 seconds", "30 seconds").alias("w"), "deliveryId").select(F.col("w.start").cast("timestamp_ntz").alias("windowStart"), "deliveryId")
 
 
-_LATE = """l AS (SELECT deliveryId, "timestamp" AS t, batchId, max("timestamp") OVER (ORDER BY batchId RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM vehicle_positions)"""
-
-
-@query("st_9", f"WITH {_LATE} SELECT deliveryId FROM l WHERE t < top - INTERVAL 2 MINUTE")
-def late_by_watermark(spark: SparkSession, d: str) -> DataFrame:
-    """Rows a watermark of two minutes is past when their poll is taken as a micro-batch. Polls are summed before they are put in order."""
-    v = VP(spark, d).select("deliveryId", "batchId", "timestamp")
-    w = Window.partitionBy().orderBy("batchId").rowsBetween(Window.unboundedPreceding, -1)  # one row a poll
-    tops = v.groupBy("batchId").agg(F.max("timestamp").alias("m")).withColumn("top", F.max("m").over(w)).drop("m")
-    return v.join(tops, "batchId").filter(F.expr("timestamp < top - interval 2 minutes")).select("deliveryId")
-
-
 @query("st_10", """SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT vehicleId, "timestamp" FROM vehicle_positions)""")
 def without_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """The optional removal of repeated (vehicleId, timestamp); off in the flagship, whose windows absorb repeats."""
