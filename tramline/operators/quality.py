@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.config import CONFIG
-from tramline.functions import geo
 from tramline.functions.folds import before
 from tramline.functions.ids import bare, micros
 from tramline.functions.medians import grouped_ranks
-from tramline.operators import resolve
+from tramline.operators import resolve, snap
 from tramline.session import keep, one_row
 
 
@@ -69,16 +68,18 @@ def accuracy(pairs: DataFrame, reported: str) -> DataFrame:
 
 
 def self_consistency(points: DataFrame, lines: DataFrame) -> DataFrame:
-    """Every `vertex_stride`th vertex projected on its own line: one row of errors, ambiguous vertices and those a hint doesn't settle."""
-    c = CONFIG
-    from pyspark.sql import Window
+    """Every `vertex_stride`th vertex projected on its own line: one row of errors, ambiguous vertices and those a hint doesn't settle.
 
-    w = Window.partitionBy("shapeId").orderBy("seq")
-    v = points.withColumn("_n", F.row_number().over(w) - 1).filter(F.col("_n") % c.vertex_stride == 0).join(lines, "shapeId")
-    v = v.withColumn("_cos", F.cos(F.radians("lat"))).withColumn("_p", geo.nearest("segments", F.col("lat"), F.col("lon"), F.col("_cos")))
-    v = v.withColumn("_h", geo.nearest(geo.near("segments", F.col("m"), c.vertex_hint_m), F.col("lat"), F.col("lon"), F.col("_cos")))
-    v = v.withColumns({"_e": F.abs(F.col("_p.along") - F.col("m")), "_he": F.abs(F.col("_h.along") - F.col("m"))})
+    lines: polylines with their pointCount.
+    """
+    c = CONFIG
+    w = Window.partitionBy("shapeId").orderBy("seq")  # a shape's points are what one array holds
+    v = points.withColumn("_n", F.row_number().over(w) - 1).filter(F.col("_n") % c.vertex_stride == 0).select("shapeId", "lat", "lon", "m")
+    found = ["distanceAlongRouteMetres", "crossTrackMetres"]
+    free = snap.snap(v, lines, "shapeId", "lat", "lon").select("shapeId", "lat", "lon", "m", *[F.col(f).alias(f"_{f}") for f in found])
+    both = snap.snap(free, lines, "shapeId", "lat", "lon", hint="m", window=c.vertex_hint_m).filter("segmentIndex is not null")
+    v = both.withColumns({"_e": F.abs(F.col("_distanceAlongRouteMetres") - F.col("m")), "_he": F.abs(F.col("distanceAlongRouteMetres") - F.col("m"))})
     bad = F.col("_e") > c.ambiguous_m
     return v.agg(
-        F.count("*").alias("checked"), F.max("_e").alias("worst_along"), F.max(F.sqrt("_p.d2")).alias("worst_cross"), F.count_if(bad).alias("ambiguous"), F.count_distinct(F.when(bad, F.col("shapeId"))).alias("shapes"), F.count_if(bad & (F.col("_he") > c.ambiguous_m)).alias("hinted_failures")
+        F.count("*").alias("checked"), F.max("_e").alias("worst_along"), F.max("_crossTrackMetres").alias("worst_cross"), F.count_if(bad).alias("ambiguous"), F.count_distinct(F.when(bad, F.col("shapeId"))).alias("shapes"), F.count_if(bad & (F.col("_he") > c.ambiguous_m)).alias("hinted_failures")
     )

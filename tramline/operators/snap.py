@@ -25,8 +25,12 @@ CELLS = 1 << 20  # of a matrix of pings and segments
 _FIELDS = [("distanceAlongRouteMetres", T.DoubleType()), ("crossTrackMetres", T.DoubleType()), ("segmentIndex", T.IntegerType()), ("snappedLatitude", T.DoubleType()), ("snappedLongitude", T.DoubleType())]
 
 
-def nearest_of(pts: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> list[np.ndarray]:
-    """Of every position: along, cross-track, segment, snapped latitude and longitude. pts: rows of lat, lon, m."""
+def nearest_of(pts: np.ndarray, lat: np.ndarray, lon: np.ndarray, hint: np.ndarray | None = None, window: float = 0.0) -> list[np.ndarray]:
+    """Of every position: along, cross-track, segment, snapped latitude and longitude. pts: rows of lat, lon, m.
+
+    hint: metres along; only segments that meet hint +- window count, the first one if that lies before the start, all if it
+    lies beyond the end or the hint is NaN. Distances are told apart to the square millimetre; of equal ones the first segment counts.
+    """
     a, b = pts[:-1], pts[1:]
     per = CONFIG.metres_per_degree
     out = [np.empty(len(lat)) for _ in range(5)]
@@ -40,7 +44,14 @@ def nearest_of(pts: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> list[np.nda
         with np.errstate(divide="ignore", invalid="ignore"):
             t = np.where(size == 0, 0.0, np.clip(-(ax * dx + ay * dy) / size, 0.0, 1.0))
         d2 = (ax + t * dx) ** 2 + (ay + t * dy) ** 2
-        k = np.argmin(d2, axis=1)
+        if hint is not None:
+            h = hint[i : i + step, None]
+            met = (b[:, 2] >= h - window) & (a[:, 2] <= h + window)
+            early = (h + window < a[0, 2])[:, 0]
+            met[~met.any(axis=1) & ~early] = True  # beyond the end, or without a hint
+            met[early] = np.arange(len(a)) == 0
+            d2 = np.where(met, d2, np.inf)
+        k = np.argmin(np.round(d2, 6), axis=1)
         r = np.arange(len(k))
         tk = t[r, k]
         for o, v in zip(out, (a[k, 2] + tk * (b[k, 2] - a[k, 2]), np.sqrt(d2[r, k]), k, a[k, 0] + tk * (b[k, 0] - a[k, 0]), a[k, 1] + tk * (b[k, 1] - a[k, 1])), strict=True):
@@ -64,33 +75,34 @@ def _columns(b: pa.RecordBatch, got: list[np.ndarray], known: np.ndarray) -> lis
     return [pa.array(np.where(known, g, 0).astype(np.int32 if isinstance(t, T.IntegerType) else float), mask=~known) for g, (_, t) in zip(got, _FIELDS, strict=True)]
 
 
-def _placed(b: pa.RecordBatch, lat: str, lon: str, shape: str, lines: dict[str, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+def _placed(b: pa.RecordBatch, at: tuple, lines: dict[str, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """Nearest places of the rows of a batch, and which rows have one."""
+    lat, lon, shape, hint, window = at
     coded = b.column(shape).dictionary_encode()
     code, names = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-    y, x = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (lat, lon))
+    y, x, h = (None if c is None else b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (lat, lon, hint))
     got, known = [np.zeros(b.num_rows) for _ in _FIELDS], np.zeros(b.num_rows, bool)
     fine = ~np.isnan(y) & ~np.isnan(x)
     for k, n in enumerate(names):
         if n in lines:
-            at = np.flatnonzero((code == k) & fine)
-            known[at] = True
-            for g, v in zip(got, nearest_of(lines[n], y[at], x[at]), strict=True):
-                g[at] = v
+            own = np.flatnonzero((code == k) & fine)
+            known[own] = True
+            for g, v in zip(got, nearest_of(lines[n], y[own], x[own], None if h is None else h[own], window), strict=True):
+                g[own] = v
     return got, known
 
 
-def _snap(shared, lat: str, lon: str, shape: str):
+def _snap(shared, at: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines: dict[str, np.ndarray] = pickle.loads(shared.value)
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, *_columns(b, *_placed(b, lat, lon, shape, lines))], names=[*b.schema.names, *[n for n, _ in _FIELDS]])
+                yield pa.RecordBatch.from_arrays([*b.columns, *_columns(b, *_placed(b, at, lines))], names=[*b.schema.names, *[n for n, _ in _FIELDS]])
 
     return run
 
 
-def _snap_parts(lat: str, lon: str, shape: str, columns: list[str]):
+def _snap_parts(at: tuple, columns: list[str]):
     """Arrow batches in which a shape's points come before its pings; one shape is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,25 +117,29 @@ def _snap_parts(lat: str, lon: str, shape: str, columns: list[str]):
                     part = part.slice(1)
                 if part.num_rows:
                     own = pa.RecordBatch.from_arrays([part.column(c) for c in columns], names=columns)
-                    yield pa.RecordBatch.from_arrays([*own.columns, *_columns(own, *_placed(own, lat, lon, shape, held))], names=[*columns, *[n for n, _ in _FIELDS]])
+                    yield pa.RecordBatch.from_arrays([*own.columns, *_columns(own, *_placed(own, at, held))], names=[*columns, *[n for n, _ in _FIELDS]])
 
     return run
 
 
-def snap(pings: DataFrame, lines: DataFrame, shape: str = "tripShape", lat: str = "latitude", lon: str = "longitude", max_points: int = MAX_POINTS) -> DataFrame:
+def snap(pings: DataFrame, lines: DataFrame, shape: str = "tripShape", lat: str = "latitude", lon: str = "longitude", max_points: int = MAX_POINTS, hint: str | None = None, window: float = CONFIG.hint_window_m) -> DataFrame:
     """pings with distanceAlongRouteMetres, crossTrackMetres, segmentIndex, snappedLatitude and snappedLongitude; null for
-    pings without position (null or NaN) or whose shape isn't in `lines` (shapeId, pts, pointCount). Equal distances go to the first segment."""
+    pings without position (null or NaN) or whose shape isn't in `lines` (shapeId, pts, pointCount). Equal distances go to the first segment.
+
+    hint: a column with metres along the shape; the search is then held to the segments that meet it, `window` metres to either side.
+    """
+    at = (lat, lon, shape, hint, window)
     out = T.StructType([*pings.schema.fields, *[T.StructField(n, t) for n, t in _FIELDS]])
     total = lines.agg(F.sum("pointCount")).first()[0] or 0
     if total <= max_points:
         b = flat(lines).toArrow()
         arrays = {n: _points(b, k) for k, n in enumerate(b.column("shapeId").to_pylist())}
         shared = pings.sparkSession.sparkContext.broadcast(pickle.dumps(arrays))
-        return pings.mapInArrow(_snap(shared, lat, lon, shape), out)
+        return pings.mapInArrow(_snap(shared, at), out)
     parts = pings.groupBy(F.col(shape).alias("_shape")).agg(F.ceil(F.count("*") / PART_ROWS).alias("_parts"))
     salted = pings.withColumn("_shape", F.col(shape)).join(parts.withColumnRenamed("_shape", "_s"), F.col("_shape").eqNullSafe(F.col("_s")))
     own = F.xxhash64(*[f.name for f in pings.schema.fields if not isinstance(f.dataType, T.MapType)])  # the same if a task runs again
     rows = salted.withColumns({"_part": F.pmod(own, F.col("_parts")), "_tag": F.lit(1)}).drop("_s", "_parts")
     points = flat(lines).withColumnRenamed("shapeId", "_shape").join(parts, "_shape").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).withColumn("_tag", F.lit(0)).drop("_parts")
     both = rows.unionByName(points, allowMissingColumns=True)
-    return both.repartition("_shape", "_part").sortWithinPartitions("_shape", "_part", "_tag").mapInArrow(_snap_parts(lat, lon, shape, pings.columns), out)
+    return both.repartition("_shape", "_part").sortWithinPartitions("_shape", "_part", "_tag").mapInArrow(_snap_parts(at, pings.columns), out)

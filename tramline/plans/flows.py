@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tramline.config import CONFIG
 from tramline.functions import geo, ids, status
-from tramline.operators import episodes, gaps, quality, resolve, schedule, spacing, state
+from tramline.functions.folds import before
+from tramline.operators import episodes, gaps, quality, resolve, schedule, snap, spacing, state
 from tramline.plans.registry import Registry
 from tramline.plans.transit import _DISORDER, ALERT_SQL, NOW_SQL, POINTS_CTE, RESOLVED_CTE, RH, ROUTES, SHAPES, STATUS_SQL, TRIPS, TRIPS_CTE, VP
 from tramline.session import keep, one_row
@@ -312,14 +313,6 @@ def accuracy(spark: SparkSession, d: str) -> DataFrame:
     return a.withColumns({c: F.round(c, 4) for c in ("mean_implied", "mean_reported", "p50", "p90", "worst", "r")})
 
 
-@query("ag_19")
-def self_consistency(spark: SparkSession, d: str) -> DataFrame:
-    s = SHAPES(spark, d)
-    points = resolve.shape_points(s.select(ids.bare("shapeId").alias("shapeId"), F.explode("pts").alias("p")).select("shapeId", "p.*"))
-    a = quality.self_consistency(points, resolve.polylines(s).select("shapeId", "segments"))
-    return a.withColumns({c: F.round(c, 3) for c in ("worst_along", "worst_cross")})
-
-
 @query("ag_20", "SELECT max(windowEnd) AS newest FROM route_headways")
 def newest_window(spark: SparkSession, d: str) -> DataFrame:
     return RH(spark, d).agg(F.max("windowEnd").alias("newest"))
@@ -335,43 +328,69 @@ def nearest_segment(spark: SparkSession, d: str) -> DataFrame:
     return projected(spark, d).select("deliveryId", *[F.round(c, n).alias(a) for (c, a), n in zip(_PROJ, (2, 3, 7, 7), strict=True)])
 
 
-_LINE = [(1, 33.75, -84.39, 0.0), (2, 33.759, -84.39, 1000.0), (3, 33.759, -84.38, 1000.0 + 924.5), (4, 33.759, -84.38, 1924.5), (5, 33.75, -84.38, 2924.5)]
-_LINE_SQL = "line(k, lat, lon, m, lat2, lon2, m2) AS (VALUES " + ", ".join(f"({i}, {a[1]}, {a[2]}, {a[3]}, {b[1]}, {b[2]}, {b[3]})" for i, (a, b) in enumerate(zip(_LINE[:-1], _LINE[1:], strict=True))) + ")"
-_FIXED = f"""f AS (SELECT p.projectionId, l.k, l.lat, l.lon, l.m, l.lat2, l.lon2, l.m2, (l.lon - p.x) * cos(radians(p.y)) * {PER} AS ax, (l.lat - p.y) * {PER} AS ay, (l.lon2 - l.lon) * cos(radians(p.y)) * {PER} AS dx, (l.lat2 - l.lat) * {PER} AS dy
-    FROM (SELECT projectionId, snappedLatitude AS y, snappedLongitude AS x FROM shape_projections) p, line l),
-  c AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0, least(1, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) END AS t FROM f),
-  e AS (SELECT projectionId, m + t * (m2 - m) AS along, pow(ax + t * dx, 2) + pow(ay + t * dy, 2) AS d2, k, m, m2 FROM c)"""
+# Positions q(id, shapeId, y, x, hint) against the segments sg(shapeId, k, lat, lon, m, lat2, lon2, m2), held to those that meet the hint.
+_SEGS = "sg AS (SELECT * FROM (SELECT shapeId, row_number() OVER w - 1 AS k, lat, lon, m, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, lead(m) OVER w AS m2 FROM {points} WINDOW w AS (PARTITION BY shapeId ORDER BY seq)) WHERE lat2 IS NOT NULL)"
+_HELD = f"""f AS (SELECT q.id, q.hint, s.*, min(s.m) OVER (PARTITION BY q.id) AS m0, (s.lon - q.x) * cos(radians(q.y)) * {PER} AS ax, (s.lat - q.y) * {PER} AS ay, (s.lon2 - s.lon) * cos(radians(q.y)) * {PER} AS dx, (s.lat2 - s.lat) * {PER} AS dy
+    FROM q JOIN sg s ON s.shapeId = q.shapeId),
+  g AS (SELECT *, CASE WHEN hint + {{w}} < m0 THEN k = 0 ELSE coalesce(m2 >= hint - {{w}} AND m <= hint + {{w}}, false) END AS meets FROM f),
+  h AS (SELECT *, bool_or(meets) OVER (PARTITION BY id) AS anyone FROM g),
+  c AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0, least(1, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) END AS t FROM h WHERE meets OR NOT anyone),
+  e AS (SELECT id, first(along ORDER BY round(d2, 6), k) AS along, sqrt(first(d2 ORDER BY round(d2, 6), k)) AS cross_ FROM (SELECT id, k, m + t * (m2 - m) AS along, pow(ax + t * dx, 2) + pow(ay + t * dy, 2) AS d2 FROM c) GROUP BY 1)"""
+_OWN = """q AS (SELECT projectionId AS id, trim(shapeId) AS shapeId, snappedLatitude AS y, snappedLongitude AS x, {hint} AS hint FROM shape_projections)"""
+_DOUBLED = "doubled AS (SELECT shapeId, seq * 2 + j AS seq, lat, lon, m FROM points, (VALUES (0), (1)) AS twice(j) WHERE j = 0 OR seq % 10 = 0)"
 
 
-def on_line(spark: SparkSession, d: str) -> DataFrame:
-    pts = F.array(*[F.struct(F.lit(s).alias("seq"), F.lit(a).alias("lat"), F.lit(b).alias("lon"), F.lit(m).alias("m")) for s, a, b, m in _LINE])
-    p = table(spark, d, "shape_projections").select("projectionId", F.col("snappedLatitude").alias("latitude"), F.col("snappedLongitude").alias("longitude"))
-    return p.withColumn("segments", geo.segments(pts)).withColumn("_cos", F.cos(F.radians("latitude")))
+def own_places(spark: SparkSession, d: str, *more) -> DataFrame:
+    p = table(spark, d, "shape_projections")
+    return p.select("projectionId", ids.bare("shapeId").alias("shapeId"), F.col("snappedLatitude").alias("y"), F.col("snappedLongitude").alias("x"), *more)
 
 
-@query("pr_2", f"WITH {_LINE_SQL}, {_FIXED} SELECT projectionId, round(first(along ORDER BY round(d2, 3), k), 2) AS along, round(sqrt(min(d2)), 2) AS cross_track FROM e GROUP BY 1")
+@query("pr_2", f"WITH {POINTS_CTE}, {_DOUBLED}, {_SEGS.format(points='doubled')}, {_OWN.format(hint='NULL::DOUBLE')}, {_HELD.format(w=0)} SELECT id AS projectionId, round(along, 2) AS along, round(cross_, 2) AS cross_track FROM e")
 def zero_length(spark: SparkSession, d: str) -> DataFrame:
-    """A line with a segment without length, and a corner."""
-    n = on_line(spark, d).withColumn("n", geo.nearest("segments", F.col("latitude"), F.col("longitude"), F.col("_cos")))
-    return n.select("projectionId", F.round("n.along", 2).alias("along"), F.round(F.sqrt("n.d2"), 2).alias("cross_track"))
+    """Every shape with every tenth point twice, so that it has segments without length."""
+    points = resolve.shape_points(SHAPES(spark, d).select(ids.bare("shapeId").alias("shapeId"), F.explode("pts").alias("p")).select("shapeId", "p.*"))
+    twice = points.withColumn("j", F.explode(F.when(F.col("seq") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    lines = keep(resolve.assemble(twice.withColumn("seq", F.col("seq") * 2 + F.col("j"))))
+    n = snap.snap(own_places(spark, d), lines, "shapeId", "y", "x").filter("segmentIndex is not null")
+    return n.select("projectionId", F.round("distanceAlongRouteMetres", 2).alias("along"), F.round("crossTrackMetres", 2).alias("cross_track"))
 
 
-@query("pr_3", f"WITH {_LINE_SQL}, {_FIXED} SELECT projectionId, round(first(along ORDER BY round(d2, 3), k), 2) AS along FROM e WHERE m2 >= 2000 AND m <= 2800 GROUP BY 1")
+@query("pr_3", f"WITH {POINTS_CTE}, {_SEGS.format(points='points')}, {_OWN.format(hint='distanceAlongRouteMetres + projectionId % 5 * 1000 - 2000')}, {_HELD.format(w=400)} SELECT id AS projectionId, round(along, 2) AS along FROM e")
 def hinted(spark: SparkSession, d: str) -> DataFrame:
-    n = on_line(spark, d).withColumn("n", geo.nearest(geo.near("segments", F.lit(2400.0), 400.0), F.col("latitude"), F.col("longitude"), F.col("_cos")))
-    return n.select("projectionId", F.round("n.along", 2).alias("along"))
+    """Projections again, hinted with where they were, or up to two kilometres off."""
+    p = own_places(spark, d, (F.col("distanceAlongRouteMetres") + F.col("projectionId") % 5 * 1000 - 2000).alias("hint"))
+    n = snap.snap(p, keep(resolve.polylines(SHAPES(spark, d))), "shapeId", "y", "x", hint="hint", window=400.0)
+    return n.filter("segmentIndex is not null").select("projectionId", F.round("distanceAlongRouteMetres", 2).alias("along"))
 
 
-@query("pr_4")
+@query("pr_4", f"""WITH {POINTS_CTE}, {_SEGS.format(points='points')}, {_OWN.format(hint='lag(distanceAlongRouteMetres) OVER (PARTITION BY vehicleId, trim(shapeId) ORDER BY "timestamp", projectionId)')}, {_HELD.format(w=3000)}
+  SELECT id AS projectionId, round(along, 2) AS along FROM e""")
 def hint_carry_over(spark: SparkSession, d: str) -> DataFrame:
     """Projections again, each hinted with the one before of the same vehicle on the same shape."""
-    p = table(spark, d, "shape_projections")
-    w = Window.partitionBy("vehicleId", "shapeId").orderBy("timestamp", "projectionId")
-    lines = resolve.small_side(resolve.polylines(SHAPES(spark, d)).select("shapeId", "segments"), resolve.MAX_SHAPES)
-    h = p.withColumn("hint", F.lag("distanceAlongRouteMetres").over(w)).join(lines, "shapeId").withColumn("_cos", F.cos(F.radians("snappedLatitude")))
-    segs = F.when(F.col("hint").isNull(), F.col("segments")).otherwise(geo.near("segments", F.col("hint"), CONFIG.hint_window_m))
-    n = h.withColumn("n", geo.nearest(segs, F.col("snappedLatitude"), F.col("snappedLongitude"), F.col("_cos")))
-    return n.select("projectionId", F.round("n.along", 2).alias("along"), F.round(F.abs(F.col("n.along") - F.col("distanceAlongRouteMetres")), 1).alias("off"))
+    p = own_places(spark, d, "vehicleId", "timestamp", "distanceAlongRouteMetres")
+    h = before(p, ["vehicleId", "shapeId"], ["timestamp", "projectionId"], lag_of={"hint": F.col("distanceAlongRouteMetres")}).select("projectionId", "shapeId", "y", "x", "hint")
+    n = snap.snap(h, keep(resolve.polylines(SHAPES(spark, d))), "shapeId", "y", "x", hint="hint")
+    return n.filter("segmentIndex is not null").select("projectionId", F.round("distanceAlongRouteMetres", 2).alias("along"))
+
+
+_VERTEX = "v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shapeId ORDER BY seq) - 1 AS n FROM points) WHERE n % 40 = 0), q AS (SELECT shapeId || '#' || n AS id, shapeId, lat AS y, lon AS x, {hint} AS hint FROM v)"
+_ONE = f"WITH {POINTS_CTE}, {{segs}}, {{vertex}}, {{held}} SELECT * FROM e"
+
+
+def _vertex_sql() -> str:
+    of = lambda hint: _ONE.format(segs=_SEGS.format(points="points"), vertex=_VERTEX.format(hint=hint), held=_HELD.format(w=400))
+    return f"""WITH {POINTS_CTE}, free AS ({of('NULL::DOUBLE')}), held AS ({of('m')}), {_VERTEX.format(hint='m')},
+  j AS (SELECT q.shapeId, abs(free.along - q.hint) AS err, free.cross_ AS cross_, abs(held.along - q.hint) AS held_err FROM q JOIN free ON free.id = q.id JOIN held ON held.id = q.id)
+  SELECT CAST(count(*) AS BIGINT) AS checked, round(max(err), 3) AS worst_along, round(max(cross_), 3) AS worst_cross, CAST(count(*) FILTER (err > 50) AS BIGINT) AS ambiguous, CAST(count(DISTINCT CASE WHEN err > 50 THEN shapeId END) AS BIGINT) AS shapes,
+    CAST(count(*) FILTER (err > 50 AND held_err > 50) AS BIGINT) AS hinted_failures FROM j"""
+
+
+@query("ag_19", _vertex_sql())
+def self_consistency(spark: SparkSession, d: str) -> DataFrame:
+    s = SHAPES(spark, d)
+    points = resolve.shape_points(s.select(ids.bare("shapeId").alias("shapeId"), F.explode("pts").alias("p")).select("shapeId", "p.*"))
+    a = quality.self_consistency(points, keep(resolve.polylines(s)))
+    return a.withColumns({c: F.round(c, 3) for c in ("worst_along", "worst_cross")})
 
 
 @query("pr_5", f"WITH {POINTS_CTE} SELECT CAST(count(*) AS BIGINT) AS shapes, CAST(sum(n) AS BIGINT) AS points, round(max(len), 2) AS longest FROM shapes")
@@ -596,11 +615,22 @@ def view_status(spark: SparkSession, d: str) -> DataFrame:
 query("ag_21", V7)(counters)
 
 
-@query("v_6")
+_V6 = f"""WITH {EPISODES_CTE}, {VEHICLES_CTE}, {LATEST_CTE}, {"counted AS (" + V7[V7.index("SELECT (SELECT"):] + ")"}
+  SELECT counted.*, (SELECT string_agg(headwayGroup || '=' || recordId, ',' ORDER BY headwayGroup) FROM latest WHERE windowEnd >= (SELECT max(windowEnd) FROM route_headways) - INTERVAL 10 MINUTE) AS "routeViews",
+    (SELECT string_agg(episodeId, ',' ORDER BY episodeId) FROM full_ WHERE endedAt IS NULL) AS alerts, (SELECT string_agg(vehicle || '=' || deliveryId, ',' ORDER BY vehicle) FROM vlive) AS "vehicleViews", epoch_ms(newest) AS sequence FROM counted"""
+
+
+@query("v_6", _V6)
 def view_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """One row: live routes, open alerts, live vehicles and counters. What it collects is bounded by the fleet."""
-    pack = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))
-    out = one_row(counters(spark, d), pack(view_routes(spark, d), "routeViews"), pack(view_alerts(spark, d), "alerts"), pack(view_vehicles(spark, d), "vehicleViews"))
+    def pack(df: DataFrame, name: str, text) -> DataFrame:
+        got = df.agg(F.array_join(F.sort_array(F.collect_list(text)), ",").alias(name))
+        return got.select(F.when(F.col(name) != "", F.col(name)).alias(name))
+
+    pair = lambda a, b: F.concat_ws("=", a, F.col(b).cast("string"))
+    out = one_row(
+        counters(spark, d), pack(view_routes(spark, d), "routeViews", pair("headwayGroup", "recordId")), pack(view_alerts(spark, d), "alerts", F.col("episodeId")), pack(view_vehicles(spark, d), "vehicleViews", pair("vehicle", "deliveryId"))
+    )
     return out.withColumn("sequence", F.unix_millis(F.col("newest").cast("timestamp")))
 
 
