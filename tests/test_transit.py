@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tramline.config import CONFIG
 from tramline.functions import arrays, geo, status, times
 from tramline.operators import gaps, schedule, snap
 
@@ -15,18 +16,18 @@ def line(n, lon=-84.39):
     return [(k + 1, 33.75 + 0.001 * k, lon, STEP * k) for k in range(n)]
 
 
-def place(spark, pts, positions, hint=None, window=None):
-    df = spark.createDataFrame([(pts, la, lo) for la, lo in positions], "pts array<struct<seq int, lat double, lon double, m double>>, lat double, lon double")
-    df = df.withColumn("s", geo.segments(F.col("pts"))).withColumn("c", F.cos(F.radians("lat")))
-    segs = geo.near("s", F.lit(float(hint)), window) if hint is not None else F.col("s")
-    return df.select(geo.nearest(segs, F.col("lat"), F.col("lon"), F.col("c")).alias("n")).select("n.*").collect()
+def place(spark, pts, positions, hint=None, window=CONFIG.hint_window_m):
+    df = spark.createDataFrame([("A", pts, la, lo) for la, lo in positions], "shapeId string, pts array<struct<seq int, lat double, lon double, m double>>, lat double, lon double")
+    lines = df.limit(1).select("shapeId", geo.segments(F.col("pts")).alias("segments"), F.size("pts").alias("pointCount"))
+    got = snap.snap(df.select("shapeId", "lat", "lon", F.lit(hint).cast("double").alias("hint")), lines, "shapeId", "lat", "lon", hint="hint", window=window)
+    return got.selectExpr("distanceAlongRouteMetres as along", "crossTrackMetres as off", "segmentIndex as k", "snappedLongitude as lon").collect()
 
 
 def test_projection_on_a_line(spark):
     mid, off, before = place(spark, line(3), [(33.7505, -84.39), (33.7505, -84.389), (33.745, -84.39)])
-    assert mid.along == pytest.approx(55.6, abs=0.5) and mid.d2**0.5 < 0.01 and mid.k == 0
-    assert off.along == pytest.approx(55.6, abs=0.5) and off.d2**0.5 == pytest.approx(92.45, abs=0.2) and off.lon == pytest.approx(-84.39, abs=1e-9)
-    assert before.along == 0 and before.d2**0.5 == pytest.approx(5 * STEP, abs=1)
+    assert mid.along == pytest.approx(55.6, abs=0.5) and mid.off < 0.01 and mid.k == 0
+    assert off.along == pytest.approx(55.6, abs=0.5) and off.off == pytest.approx(92.45, abs=0.2) and off.lon == pytest.approx(-84.39, abs=1e-9)
+    assert before.along == 0 and before.off == pytest.approx(5 * STEP, abs=1)
 
 
 def test_out_and_back_needs_a_hint(spark):
@@ -34,7 +35,7 @@ def test_out_and_back_needs_a_hint(spark):
     at = [(33.7545, -84.389995)]
     assert place(spark, pts, at, 480, 200.0)[0].along == pytest.approx(500, abs=20)
     assert place(spark, pts, at, 1520, 200.0)[0].along == pytest.approx(1500, abs=20)
-    assert place(spark, pts, at, 50_000, 100.0)[0].d2**0.5 < 50  # beyond the end: all of it
+    assert place(spark, pts, at, 50_000, 100.0)[0].off < 50  # beyond the end: all of it
     assert place(spark, pts, at, -5_000, 100.0)[0].k == 0
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tramline.config import CONFIG
-from tramline.functions.ids import as_column
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -29,58 +28,3 @@ def segments(pts: Column) -> Column:
             k.alias("k"), p["a"]["lat"].alias("lat"), p["a"]["lon"].alias("lon"), p["a"]["m"].alias("m"), p["b"]["lat"].alias("lat2"), p["b"]["lon"].alias("lon2"), p["b"]["m"].alias("m2")
         ),
     )
-
-
-def nearest(segs: Column | str, lat: Column, lon: Column, cos_lat: Column) -> Column:
-    """struct(d2, k, along, lat, lon) of the segment nearest to a position; the first of equally near ones.
-
-    Distances are on the plane that touches at the position, so its cosine is given once per row as a
-    column. A segment without length is its first point. Null for no segments.
-    """
-    per = CONFIG.metres_per_degree
-
-    # Each step is a pass of its own: what a lambda's struct holds is computed once, an expression is not.
-    def planar(s: Column) -> Column:
-        return F.struct(
-            s.alias("s"), ((s["lon"] - lon) * cos_lat * per).alias("ax"), ((s["lat"] - lat) * per).alias("ay"), ((s["lon2"] - s["lon"]) * cos_lat * per).alias("dx"), ((s["lat2"] - s["lat"]) * per).alias("dy")
-        )
-
-    def placed(g: Column) -> Column:
-        size = g["dx"] * g["dx"] + g["dy"] * g["dy"]
-        t = F.when(size == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(-(g["ax"] * g["dx"] + g["ay"] * g["dy"]), size))))
-        return F.struct(g.alias("g"), t.alias("t"))
-
-    def measured(h: Column) -> Column:
-        g, t, s = h["g"], h["t"], h["g"]["s"]
-        x, y = g["ax"] + t * g["dx"], g["ay"] + t * g["dy"]
-        return F.struct(
-            (x * x + y * y).alias("d2"), s["k"].alias("k"), (s["m"] + t * (s["m2"] - s["m"])).alias("along"), (s["lat"] + t * (s["lat2"] - s["lat"])).alias("lat"), (s["lon"] + t * (s["lon2"] - s["lon"])).alias("lon")
-        )
-
-    return F.array_min(F.transform(F.transform(F.transform(as_column(segs), planar), placed), measured))
-
-
-def near(segs: Column | str, hint: Column, window: float) -> Column:
-    """The segments that meet [hint - window, hint + window]; the first segment if that lies before the start,
-    all of them if it lies beyond the end."""
-    s = as_column(segs)
-    lo, hi = hint - window, hint + window
-    met = F.filter(s, lambda x: (x["m2"] >= lo) & (x["m"] <= hi))
-    first = F.slice(s, 1, 1)
-    return F.when(hi < F.get(s, F.lit(0))["m"], first).when(F.size(met) > 0, met).otherwise(s)
-
-
-def with_projection(rows, lat: str = "latitude", lon: str = "longitude", segs: str = "segments", prefix: str = ""):
-    """rows with distanceAlongRouteMetres, crossTrackMetres, segmentIndex, snappedLatitude, snappedLongitude."""
-    p = prefix
-    # generated, so that no filter or field pulls the search into itself and repeats it
-    near_ = rows.withColumn("_cos", F.cos(F.radians(lat))).withColumn("_n", F.explode(F.array(nearest(segs, F.col(lat), F.col(lon), F.col("_cos")))))
-    return near_.withColumns(
-        {
-            f"{p}distanceAlongRouteMetres": F.col("_n.along"),
-            f"{p}crossTrackMetres": F.sqrt("_n.d2"),
-            f"{p}segmentIndex": F.col("_n.k"),
-            f"{p}snappedLatitude": F.col("_n.lat"),
-            f"{p}snappedLongitude": F.col("_n.lon"),
-        }
-    ).drop("_n", "_cos")

@@ -171,9 +171,13 @@ def _near(moments: str = "moments") -> str:
 
 @query("ag_6", f"WITH {SCHED_CTE}, {CALENDAR_CTE}, {MOMENTS_CTE}, {_near()} SELECT headwayGroup, CAST(date AS VARCHAR) AS date, second, trips, CAST(headway AS INTEGER) AS headway, round(speed, 4) AS speed FROM found")
 def scheduled_headway(spark: SparkSession, d: str) -> DataFrame:
+    return headways_of(spark, d, timetable_rows(spark, d), active(spark))
+
+
+def headways_of(spark: SparkSession, d: str, trips: DataFrame, on: DataFrame) -> DataFrame:
     date, second = spacing.moment("windowEnd")
     m = RH(spark, d).select("headwayGroup", date.alias("date"), second.alias("second")).distinct()
-    s = schedule.scheduled_headways(m, timetable_rows(spark, d), active(spark))
+    s = schedule.scheduled_headways(m, trips, on)
     return s.select("headwayGroup", F.col("date").cast("string").alias("date"), "second", F.col("tripsConsidered").alias("trips"), F.col("scheduledHeadwaySeconds").alias("headway"), F.round("averageSpeedMps", 4).alias("speed"))
 
 

@@ -13,7 +13,8 @@ from tramline.config import CONFIG
 from tramline.functions import ids
 from tramline.plans import flows
 from tramline.plans.registry import Registry
-from tramline.plans.transit import ALERT_SQL, POINTS_CTE, RH, ROUTES, SHAPES, TRIPS, TRIPS_CTE, VP
+from tramline.operators import schedule
+from tramline.plans.transit import ALERT_SQL, RH, ROUTES, SHAPES, TRIPS, VP
 from tramline.session import fresh, one_row
 from tramline.sources import feed, gtfs, pings
 from tramline.streaming import sinks, spacing
@@ -181,13 +182,8 @@ def refused_as_late(spark: SparkSession, d: str) -> DataFrame:
     return both.filter("late > 0").select(F.col("windowStart").cast("timestamp_ntz").alias("windowStart"), "late")
 
 
-@query(
-    "src_4",
-    f"""WITH {TRIPS_CTE}, {POINTS_CTE} SELECT (SELECT CAST(count(*) AS BIGINT) FROM gtfs_routes) AS routes, (SELECT CAST(count(*) AS BIGINT) FROM trips) AS trips,
-  (SELECT CAST(count(*) AS BIGINT) FROM shapes) AS shapes, (SELECT round(sum(len) / 1000, 1) FROM shapes) AS kilometres""",
-)
-def archive_scan(spark: SparkSession, d: str) -> DataFrame:
-    """The static tables as a GTFS archive, unpacked to the shared folder and read by header names.
+def archive(spark: SparkSession, d: str) -> str:
+    """The static tables, the timetable and the calendar as a GTFS archive: the path of the file.
 
     An archive is one file that one machine writes; the static feed is what goes through the driver.
     """
@@ -195,9 +191,6 @@ def archive_scan(spark: SparkSession, d: str) -> DataFrame:
     import io
     import zipfile
 
-    folder = fresh(spark, "gtfs").removeprefix("file://")
-    os.makedirs(folder, exist_ok=True)
-
     def text(df: DataFrame) -> str:
         out = io.StringIO()
         w = csv.writer(out)
@@ -210,11 +203,55 @@ def archive_scan(spark: SparkSession, d: str) -> DataFrame:
     )
     trips = TRIPS(spark, d).orderBy("feedRow").select(F.col("tripId").alias("trip_id"), F.col("routeId").alias("route_id"), F.col("serviceId").alias("service_id"), F.col("directionId").alias("direction_id"), F.col("shapeId").alias("shape_id"))
     routes = ROUTES(spark, d).select(F.col("routeId").alias("route_id"), F.col("shortName").alias("route_short_name"), F.col("longName").alias("route_long_name"), F.col("routeType").alias("route_type"), F.col("colorHex").alias("route_color"))
-    with zipfile.ZipFile(f"{folder}/feed.zip", "w", zipfile.ZIP_DEFLATED) as z:
-        for name, df in (("routes", routes), ("trips", trips), ("shapes", points)):
+    # a trip's stops in no order, times past 24:00, a first stop without departure, and a row without a sequence
+    at = F.col("startSeconds") + F.floor((F.col("endSeconds") - F.col("startSeconds")) * F.col("k") / 9)
+    clock = F.format_string("%d:%02d:%02d", F.floor(at / 3600).cast("int"), (F.floor(at / 60) % 60).cast("int"), (at % 60).cast("int"))
+    stops = flows.timetable_rows(spark, d).select("*", F.explode(F.shuffle(F.sequence(F.lit(0), F.lit(10)))).alias("k")).select(
+        F.col("tripId").alias("trip_id"), clock.alias("arrival_time"), F.when(F.col("k") > 0, clock).otherwise("").alias("departure_time"), F.when(F.col("k") < 10, F.col("k") + 1).otherwise(-5).alias("stop_sequence")
+    )
+    _, weekly, exceptions = flows.calendars(spark)
+    day = lambda c: F.date_format(c, "yyyyMMdd")
+    calendar = weekly.select(F.col("serviceId").alias("service_id"), *[F.array_contains("days", k).cast("int").alias(n) for k, n in enumerate(gtfs.DAYS)], day("start").alias("start_date"), day("end").alias("end_date"))
+    dates = exceptions.select(F.col("serviceId").alias("service_id"), day("date").alias("date"), F.col("exceptionType").alias("exception_type"))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, df in (("routes", routes), ("trips", trips), ("shapes", points), ("stop_times", stops), ("calendar", calendar), ("calendar_dates", dates)):
             z.writestr(f"{name}.txt", text(df))
-    s = gtfs.load(spark, f"{folder}/feed.zip", f"{folder}/staged")
-    return one_row(s.routes.agg(F.count("*").alias("routes")), s.trips.agg(F.count("*").alias("trips")), s.lines.agg(F.count("*").alias("shapes"), F.round(F.sum("shapeLengthMetres") / 1000, 1).alias("kilometres")))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(fresh(spark, "gtfs") + "/feed.zip")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    return path.toString()
+
+
+def loaded(spark: SparkSession, d: str) -> gtfs.Snapshot:
+    at = archive(spark, d)
+    return gtfs.load(spark, at, at.removesuffix("/feed.zip") + "/staged")
+
+
+@query(
+    "src_4",
+    f"""WITH {flows.SCHED_CTE}, {flows.CALENDAR_CTE} SELECT (SELECT CAST(count(*) AS BIGINT) FROM gtfs_routes) AS routes, (SELECT CAST(count(*) AS BIGINT) FROM trips) AS trips,
+  (SELECT CAST(count(*) AS BIGINT) FROM shapes) AS shapes, (SELECT round(sum(len) / 1000, 1) FROM shapes) AS kilometres, (SELECT CAST(count(*) AS BIGINT) FROM sched) AS scheduled,
+  (SELECT CAST(sum(startSeconds) AS BIGINT) FROM sched) AS starts, (SELECT CAST(sum(endSeconds) AS BIGINT) FROM sched) AS ends, (SELECT CAST(count(*) AS BIGINT) FROM active) AS services""",
+)
+def archive_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The feed as an archive, unpacked to the shared folder and read by header names: stop times to trip bounds, calendars to active services."""
+    s = loaded(spark, d)
+    on = schedule.active_services(flows.calendars(spark)[0], s.calendar, s.exceptions)
+    sums = s.scheduled.agg(F.count("*").alias("scheduled"), F.sum("startSeconds").cast("long").alias("starts"), F.sum("endSeconds").cast("long").alias("ends"))
+    lengths = s.lines.agg(F.count("*").alias("shapes"), F.round(F.sum("shapeLengthMetres") / 1000, 1).alias("kilometres"))
+    return one_row(s.routes.agg(F.count("*").alias("routes")), s.trips.agg(F.count("*").alias("trips")), lengths, sums, on.agg(F.count("*").alias("services")))
+
+
+@query("src_7", flows.ORACLES["ag_6"])
+def cached_timetable(spark: SparkSession, d: str) -> DataFrame:
+    """Scheduled headways of all window records, by the stop times and calendars of a cached snapshot of the archive."""
+    cache = gtfs.SnapshotCache(lambda: loaded(spark, d))
+    first, s = cache.get(), cache.get()
+    assert first is s  # within the refresh time it is loaded once
+    on = schedule.active_services(flows.calendars(spark)[0], s.calendar, s.exceptions)
+    return flows.headways_of(spark, d, s.scheduled, on)
 
 
 @query("snk_4", f"""SELECT CAST(count(*) AS BIGINT) AS records, CAST(count(*) FILTER (status IN {ALERT_SQL}) AS BIGINT) AS alerts FROM route_headways""")

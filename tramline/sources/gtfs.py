@@ -10,7 +10,6 @@ import tempfile
 import time
 import urllib.error
 import urllib.request
-import zipfile
 from dataclasses import dataclass
 from email.utils import formatdate
 
@@ -27,21 +26,41 @@ OPTIONAL = ("stop_times.txt", "calendar.txt", "calendar_dates.txt")
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
 
-def stage(archive: str, folder: str) -> dict[str, str]:
-    """Unpack the files that are read into a folder that all executors share: file name -> path."""
-    with zipfile.ZipFile(archive) as z:
-        names = set(z.namelist())
-        for n in REQUIRED:
-            if n not in names:
-                raise FileNotFoundError(f"{archive} has no {n}")
-        return {n: z.extract(n, folder) for n in (*REQUIRED, *OPTIONAL) if n in names}
+def stage(spark: SparkSession, archive: str, folder: str) -> dict[str, str]:
+    """Unpack the files that are read into a folder that all executors share: file name -> path.
 
-
-def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """The named columns as trimmed strings; those the file lacks are null. A byte order mark is skipped."""
+    Both are Hadoop paths (`file://`, `hdfs://`, `s3a://` or bare); bytes go from stream to stream in the driver's JVM.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    source, to = path(archive), path(folder)
+    fs = to.getFileSystem(conf)
+    found = {}
+    packed = jvm.java.util.zip.ZipInputStream(source.getFileSystem(conf).open(source))
+    try:
+        while (entry := packed.getNextEntry()) is not None:
+            name = entry.getName()
+            if name in REQUIRED + OPTIONAL:
+                out = fs.create(path(to, name), True)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(packed, out, 1 << 16, False)
+                out.close()
+                found[name] = f"{folder}/{name}"
+    finally:
+        packed.close()
+    for n in REQUIRED:
+        if n not in found:
+            raise FileNotFoundError(f"{archive} has no {n}")
+    return found
+
+
+def read_csv(spark: SparkSession, path: str, columns: list[str], numbered: bool = False) -> DataFrame:
+    """The named columns as trimmed strings; those the file lacks are null. A byte order mark is skipped. numbered adds feedRow, by which rows are in
+    the order of the file however it is split: where the split begins, then the row in it."""
     r = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("multiLine", False).csv(path)
     have = {c.strip().lstrip("﻿"): c for c in r.columns}
-    return r.select(*[F.trim(F.col(f"`{have[c]}`")).alias(c) if c in have else F.lit(None).cast("string").alias(c) for c in columns])
+    named = [F.trim(F.col(f"`{have[c]}`")).alias(c) if c in have else F.lit(None).cast("string").alias(c) for c in columns]
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias("feedRow")
+    return r.select(*named, *([place] if numbered else []))
 
 
 def metres_of_km(c: Column) -> Column:
@@ -63,9 +82,9 @@ class Snapshot:
 
 
 def load(spark: SparkSession, archive: str, folder: str) -> Snapshot:
-    """Read an archive. Rows are numbered in the order in which Spark reads each file, which is the file's own for files of one split."""
-    files = stage(archive, folder)
-    numbered = lambda n, cols: read_csv(spark, files[n], cols).withColumn("feedRow", F.monotonically_increasing_id())
+    """Read an archive, unpacked to a shared folder. Where several rows have one id, the file's order tells which counts."""
+    files = stage(spark, archive, folder)
+    numbered = lambda n, cols: read_csv(spark, files[n], cols, numbered=True)
     routes = numbered("routes.txt", ["route_id", "route_short_name", "route_long_name", "route_type", "route_color"]).select(
         F.col("route_id").alias("routeId"), F.coalesce("route_short_name", F.lit("")).alias("shortName"), F.coalesce("route_long_name", F.lit("")).alias("longName"), times.lenient_int("route_type", -1).alias("routeType"), F.col("route_color").alias("colorHex"), "feedRow"
     )
