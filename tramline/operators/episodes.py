@@ -15,6 +15,7 @@ from tramline.config import CONFIG
 from tramline.functions.folds import before
 from tramline.functions.ids import micros
 from tramline.functions.status import alertable, episode_id, severity
+from tramline.session import keep
 
 ORDER = ["emittedAt", "recordId"]
 
@@ -27,11 +28,12 @@ def accepted(records: DataFrame) -> DataFrame:
 
 def segmented(taken: DataFrame) -> DataFrame:
     """taken with alert, opens, episode (number within its group; for a record that clears, the one it closes) and the running worst."""
+    # every step reads its rows twice, so each is written before the next
     group = ["headwayGroup"]
-    a = before(taken.withColumn("alert", alertable("status")), group, ORDER, lag_of={"_was": F.col("alert")})
+    a = keep(before(keep(taken.withColumn("alert", alertable("status"))), group, ORDER, lag_of={"_was": F.col("alert")}))
     was = F.coalesce("_was", F.lit(False))
     e = a.withColumns({"opens": F.col("alert") & ~was, "clears": ~F.col("alert") & was, "_sev": severity("status")}).drop("_was")
-    e = before(e, group, ORDER, sum_of={"episode": F.col("opens").cast("int")})
+    e = keep(before(e, group, ORDER, sum_of={"episode": F.col("opens").cast("int")}))
     keys = ["headwayGroup", "episode", "alert"]
     firsts = e.groupBy(*keys, "_sev").agg(F.min(F.struct(*ORDER)).alias("_first"))
     e = e.join(firsts, [*keys, "_sev"])
@@ -53,7 +55,7 @@ def changes(records: DataFrame) -> DataFrame:
 
 def episodes(records: DataFrame, now=None) -> DataFrame:
     """One row per episode; endedAt is null while it is open. now: a column; open episodes silent for longer than the linger are closed."""
-    s = segmented(accepted(records))
+    s = keep(segmented(accepted(records)))
     seq = F.struct(*ORDER)
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), seq))
     got = (
