@@ -115,7 +115,34 @@ def _hourly_sql(src: str, record: str, event: str, arrival: str, value: str) ->
     FROM {src} WHERE "{event}" IS NOT NULL AND "{arrival}" IS NOT NULL) GROUP BY 1, 2"""
 
 
+def _metres(a: str, b: str) -> str:
+    h = f"pow(sin((radians({b}.lat) - radians({a}.lat)) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin((radians({b}.lon) - radians({a}.lon)) / 2), 2)"
+    return f"(2 * 6371008.8 * asin(least(1.0, sqrt({h}))))"
+
+
+# Of every ping the end of its run within 50 m; then a walk over each track, from the end of every stop or to the next ping.
+_STOPS = f"""WITH RECURSIVE {_KEPT}, sound AS (
+    SELECT vehicle, epoch_us("timestamp") AS t, {{{{'lat': latitude, 'lon': longitude}}}} AS p FROM kept
+    WHERE vehicle <> '' AND "timestamp" <= receivedAt + INTERVAL 2 MINUTE AND latitude BETWEEN 33 AND 35 AND longitude BETWEEN -86 AND -83),
+  near AS (SELECT *, lag(p) OVER w AS p0, lag(t) OVER w AS t0, lead(p) OVER w AS p1, lead(t) OVER w AS t1 FROM sound WINDOW w AS (PARTITION BY vehicle ORDER BY t)),
+  stays AS (SELECT vehicle, t, p FROM near WHERE NOT (coalesce({_metres('p0', 'p')} > 60 * (t - t0) / 1e6, false) AND coalesce({_metres('p', 'p1')} > 60 * (t1 - t) / 1e6, false))),
+  gaps AS (SELECT *, lag(p) OVER w AS p0, coalesce(t - lag(t) OVER w > 1200000000, true) AS gap FROM stays WINDOW w AS (PARTITION BY vehicle ORDER BY t)),
+  tracks AS (SELECT *, sum(gap::INT) OVER (PARTITION BY vehicle ORDER BY t) AS track FROM gaps),
+  pts AS (SELECT vehicle, track, t, p, row_number() OVER w AS n, count(*) OVER (PARTITION BY vehicle, track) AS size, sum(CASE WHEN gap THEN 0 ELSE {_metres('p0', 'p')} END) OVER w AS way FROM tracks WINDOW w AS (PARTITION BY vehicle, track ORDER BY t)),
+  outs AS (SELECT a.vehicle, a.track, a.n, min(b.n) AS out FROM pts a JOIN pts b ON a.vehicle = b.vehicle AND a.track = b.track AND b.n > a.n AND {_metres('a.p', 'b.p')} > 50 GROUP BY 1, 2, 3),
+  runs AS (SELECT pts.*, coalesce(out, size + 1) - 1 AS e FROM pts LEFT JOIN outs USING (vehicle, track, n)),
+  ways AS (SELECT r.*, x.t AS te, x.t - r.t >= 300000000 AS stop FROM runs r JOIN pts x ON x.vehicle = r.vehicle AND x.track = r.track AND x.n = r.e),
+  walk AS (SELECT vehicle, track, n, e, stop FROM ways WHERE n = 1
+    UNION ALL SELECT y.vehicle, y.track, y.n, y.e, y.stop FROM walk w JOIN ways y ON y.vehicle = w.vehicle AND y.track = w.track AND y.n = CASE WHEN w.stop THEN w.e + 1 ELSE w.n + 1 END),
+  marks AS (SELECT vehicle, track, n AS a, e AS b FROM walk WHERE stop UNION ALL SELECT DISTINCT vehicle, track, 1, 1 FROM pts UNION ALL SELECT DISTINCT vehicle, track, size, size FROM pts),
+  legs AS (SELECT vehicle, track, b AS a, lead(a) OVER (PARTITION BY vehicle, track ORDER BY a, b) AS b FROM marks)
+  SELECT vehicle AS vehicle_id, 'stop' AS kind, CAST(floor(t / 1e6) AS BIGINT) AS start_s, CAST(floor(te / 1e6) AS BIGINT) AS end_s FROM ways JOIN (SELECT vehicle, track, n FROM walk WHERE stop) USING (vehicle, track, n)
+  UNION ALL SELECT l.vehicle, 'trip', CAST(floor(x.t / 1e6) AS BIGINT), CAST(floor(y.t / 1e6) AS BIGINT) FROM legs l JOIN pts x ON x.vehicle = l.vehicle AND x.track = l.track AND x.n = l.a
+    JOIN pts y ON y.vehicle = l.vehicle AND y.track = l.track AND y.n = l.b WHERE y.way - x.way >= 500""".replace("{{", "{").replace("}}", "}")
+
+
 ORACLES = {
+    "p5_found": _STOPS,
     "p1_found": f"WITH {_KEPT} SELECT deliveryId AS delivery_id FROM vehicle_positions WHERE deliveryId NOT IN (SELECT deliveryId FROM kept)",
     "p1_ranges": f"""WITH {_KEPT}, n AS (SELECT DISTINCT vehicle AS producer, CAST(floor(epoch_us("timestamp") / 1000000) AS BIGINT) AS s FROM kept WHERE vehicle <> '' AND "timestamp" IS NOT NULL),
   b AS (SELECT producer, CAST(floor(s / 3600.0) AS BIGINT) AS block, s FROM n),
