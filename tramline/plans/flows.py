@@ -543,9 +543,11 @@ def view_alerts(spark: SparkSession, d: str) -> DataFrame:
     return all_episodes(spark, d).filter("endedAt is null").select("episodeId", "worstStatus", "startedAt").orderBy(F.desc(status.severity("worstStatus")), "startedAt", "episodeId")
 
 
-@query("so_2", f"WITH {EPISODES_CTE} SELECT episodeId, worstStatus, startedAt FROM full_ WHERE endedAt IS NULL")
+@query("so_2", f"WITH {EPISODES_CTE} SELECT CAST(row_number() OVER (ORDER BY CASE WHEN worstStatus LIKE 'SEVERE%' THEN 2 ELSE 1 END DESC, startedAt, episodeId) AS INTEGER) AS place, episodeId FROM full_ WHERE endedAt IS NULL")
 def open_episodes(spark: SparkSession, d: str) -> DataFrame:
-    return view_alerts(spark, d)
+    """The order of the open episodes, of which a group has one at most."""
+    worst_first = Window.partitionBy().orderBy(F.desc(status.severity("worstStatus")), "startedAt", "episodeId")
+    return all_episodes(spark, d).filter("endedAt is null").select(F.row_number().over(worst_first).alias("place"), "episodeId")
 
 
 _HISTORY = f"WITH {EPISODES_CTE} SELECT episodeId, endedAt FROM full_ WHERE endedAt IS NOT NULL ORDER BY endedAt DESC, episodeId LIMIT {{n}}"
@@ -616,7 +618,11 @@ def view_status(spark: SparkSession, d: str) -> DataFrame:
     return counters(spark, d)
 
 
-query("ag_21", V7)(counters)
+@query("ag_21", V7.replace("WITH ", f"WITH {OUTCOME_CTE}, ", 1) + """, (SELECT CAST(count(*) FILTER (outcome = 'STALE') AS BIGINT) FROM outcomes) AS stale, (SELECT CAST(count(*) FILTER (vehicleId IS NULL OR tripId IS NULL) AS BIGINT) FROM vehicle_positions) AS incomplete""")
+def rollup_counters(spark: SparkSession, d: str) -> DataFrame:
+    """The status counters with those of the ping store and of the log's filter."""
+    stale = ping_outcomes(spark, d).agg(F.count_if(F.col("outcome") == "STALE").alias("stale"))
+    return one_row(counters(spark, d), stale, VP(spark, d).agg(F.count_if(F.col("vehicleId").isNull() | F.col("tripId").isNull()).alias("incomplete")))
 
 
 _V6 = f"""WITH {EPISODES_CTE}, {VEHICLES_CTE}, {LATEST_CTE}, {"counted AS (" + V7[V7.index("SELECT (SELECT"):] + ")"}

@@ -265,11 +265,14 @@ def weekday_predicate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", runs.alias("runs"))
 
 
-@query("fn_5", "SELECT p_partkey, CAST((p_size % 2) + (CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END) AS INTEGER) AS days FROM part")
+_FLAGS = [(0, "p_size % 2 = 1"), (1, "p_size % 3 = 0"), (2, "p_size % 5 < 2"), (3, "p_size > 25"), (4, "p_size % 7 = 1"), (5, "p_size < 10"), (6, "p_size % 11 > 5")]
+
+
+@query("fn_5", "SELECT p_partkey, coalesce(array_to_string([" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in _FLAGS) + "], ','), '') AS days FROM part")
 def day_columns(spark: SparkSession, d: str) -> DataFrame:
-    flag = lambda c: F.when(c, "1").otherwise("0")
-    p = F.col("p_size")
-    return table(spark, d, "part").select("p_partkey", F.size(times.day_set(flag(p % 2 == 1), flag(p % 3 == 0))).alias("days"))
+    """Seven day columns, each "1", "0" or padded, as a set of weekdays."""
+    flags = [F.when(F.expr(c), " 1" if k % 2 else "1").otherwise("0") for k, c in _FLAGS]
+    return table(spark, d, "part").select("p_partkey", F.array_join(times.day_set(*flags).cast("array<string>"), ",").alias("days"))
 
 
 @query("fn_6", """SELECT recordId, strftime(x, '%Y-%m-%d') AS day, CAST(hour(x) * 3600 + minute(x) * 60 + second(x) AS INTEGER) AS seconds
@@ -412,12 +415,21 @@ query("so_9")(lambda s, d: VP(s, d).select("deliveryId").limit(5))
 # Sinks ---------------------------------------------------------------------------------------------
 
 
-@query("snk_3", """SELECT deliveryId, latitude IS NULL AS tombstone, CASE WHEN latitude IS NULL THEN NULL ELSE json_object('vehicleId', vehicleId) END AS value FROM (SELECT deliveryId, vehicleId, latitude FROM vehicle_positions)""")
+_PING_OUT = ["vehicleId", "routeId", "tripId", "directionId", "latitude", "longitude", "bearingDegrees", "speedMetersPerSecond", "timestamp"]
+_NUMBERS = ("latitude", "longitude", "bearingDegrees", "speedMetersPerSecond")
+
+
+@query("snk_3", "SELECT deliveryId, latitude IS NULL AS tombstone, " + ", ".join(f'CASE WHEN latitude IS NOT NULL{f" AND NOT isnan({c})" if c in _NUMBERS else ""} THEN "{c}" END AS "{c}"' for c in _PING_OUT) + " FROM vehicle_positions")
 def serialise(spark: SparkSession, d: str) -> DataFrame:
+    """Every field of a ping to JSON and back; pings without a latitude are tombstones, of which nothing comes back."""
     from tramline.sources.pings import json_value
 
     v = VP(spark, d)
-    return v.select("deliveryId", F.col("latitude").isNull().alias("tombstone"), json_value(F.when(F.col("latitude").isNotNull(), F.struct("vehicleId"))).alias("value"))
+    of = {f.name: f.dataType for f in schema.PING.fields}
+    value = json_value(F.when(F.col("latitude").isNotNull(), F.struct(*[F.col(c).cast(of[c]).alias(c) for c in _PING_OUT])))
+    back = v.select("deliveryId", value.isNull().alias("tombstone"), F.from_json(value, schema.PING).alias("p"))
+    number = lambda c: F.when(~F.isnan(f"p.{c}"), F.col(f"p.{c}")) if c in _NUMBERS else F.col(f"p.{c}").cast("timestamp_ntz") if c == "timestamp" else F.col(f"p.{c}")
+    return back.select("deliveryId", "tombstone", *[number(c).alias(c) for c in _PING_OUT])
 
 
 @query("snk_5", f"""SELECT headwayGroup, recordId, {ROUNDED}, status
@@ -428,9 +440,15 @@ def console(spark: SparkSession, d: str) -> DataFrame:
     return console_rows(RH(spark, d), "recordId")
 
 
-@query("snk_6", "SELECT recordId, headwayGroup AS key, json_object('headwayGroup', headwayGroup, 'vehicleCount', vehicleCount) AS value FROM route_headways")
+_RECORD_OUT = ["windowStart", "windowEnd", "routeShortName", "directionId", "vehicleCount", "minGapMetres", "scheduledHeadwaySeconds", "headwayRatio", "status"]
+
+
+@query("snk_6", "SELECT recordId, headwayGroup AS key, " + ", ".join(f'"{c}"' for c in _RECORD_OUT) + ", array_to_string(orderedVehicles, ',') AS ordered, CAST(len(gapsMetres) AS INTEGER) AS gaps FROM route_headways")
 def keyed_json(spark: SparkSession, d: str) -> DataFrame:
+    """Whole window records as keyed JSON, and what a reader of the topic gets."""
     from tramline.streaming.sinks import keyed_json as keyed
 
-    r = RH(spark, d).select("recordId", "headwayGroup", "vehicleCount")
-    return keyed(r, "headwayGroup", ["headwayGroup", "vehicleCount"], keep=["recordId"])
+    rows = keyed(RH(spark, d), "headwayGroup", [f.name for f in schema.RECORD.fields], keep=["recordId"])
+    back = rows.select("recordId", "key", F.from_json("value", schema.RECORD).alias("r"))
+    at = lambda c: F.col(f"r.{c}").cast("timestamp_ntz") if c.startswith("window") else F.col(f"r.{c}")
+    return back.select("recordId", "key", *[at(c).alias(c) for c in _RECORD_OUT], F.array_join("r.orderedVehicles", ",").alias("ordered"), F.size("r.gapsMetres").alias("gaps"))
