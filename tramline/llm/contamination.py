@@ -12,7 +12,7 @@ documents; then each document's prefix shingles name candidate items, the number
 an item-sized window bounds them, and runs of shared words are chained to the exact stretch.
 
 Items are the stated query set: they are taken in blocks of at most `block_words` words, and each block meets
-all rows. A block's tables are what is broadcast, so that its size is bounded by that parameter.
+all rows, whose texts are decoded once. A block's tables are what is broadcast, so that its size is bounded by that parameter.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm.mail import message_words, words
-from tramline.session import cut
+from tramline.session import cut, keep
 
 K = 5
 BLOCK_WORDS = 1_000_000
@@ -100,8 +100,17 @@ HITS = "doc_id long, part int, first int, words array<int>, at array<int>, shing
 _HITS = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("first", pa.int32()), ("words", pa.list_(pa.int32())), ("at", pa.list_(pa.int32())), ("shingle", pa.list_(pa.int32()))])
 
 
+def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (doc_id, text) to the words of every readable part."""
+    for b in batches:
+        told = [(doc, p, ws) for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True) for p, ws in enumerate(message_words(text.as_py()))]
+        if told:
+            doc, part, ws = zip(*told, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(part, pa.int32()), pa.array(ws, pa.list_(pa.string()))], names=["doc_id", "part", "words"])
+
+
 def find_hits(items: Items):
-    """Arrow batches (doc_id, text) to the parts that share a shingle with an item, or hold a short item's words."""
+    """Arrow batches (doc_id, text), or (doc_id, part, words) of decoded texts, to the parts that share a shingle with an item, or hold a short item's words."""
     vocab, hashes, margin = items.vocab, items.hashes, 2 * items.longest
     short = {int(w) for i in items.short.values() for w in i}
 
@@ -109,12 +118,15 @@ def find_hits(items: Items):
         get = vocab.get
         for b in batches:
             docs, parts, flat, edges = [], [], [], [0]
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                for p, ws in enumerate(message_words(text.as_py())):
-                    flat += [get(w, 0) for w in ws]
-                    docs.append(doc)
-                    parts.append(p)
-                    edges.append(len(flat))
+            if "words" in b.schema.names:
+                told = zip(b.column("doc_id").to_pylist(), b.column("part").to_pylist(), (x.as_py() for x in b.column("words")), strict=True)
+            else:
+                told = ((doc, p, ws) for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True) for p, ws in enumerate(message_words(text.as_py())))
+            for doc, p, ws in told:
+                flat += [get(w, 0) for w in ws]
+                docs.append(doc)
+                parts.append(p)
+                edges.append(len(flat))
             out: dict[str, list] = {f.name: [] for f in _HITS}
             ids, bounds = np.array(flat, np.int32), np.array(edges)
             known = ids != 0
@@ -311,6 +323,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WOR
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (4 * block_words)))  # four characters a word, or fewer words
     corpus = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if blocks > 1:
+        corpus = keep(corpus.mapInArrow(decode, "doc_id long, part int, words array<string>"))  # texts are decoded once for all blocks
     out = None
     for n in range(blocks):
         own = sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n) if blocks > 1 else sized
