@@ -162,6 +162,7 @@ def decode_track(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, d: np.ndarray,
     gain = upto(np.maximum(0.0, d / how.step_m + math.log(how.step_m / how.noise_m)))  # at most, of a stop's pings over travelled ones
     exact = upto(d / how.step_m + math.log(how.step_m / how.noise_m))
     density = max(0.0, -math.log(min(how.stop_log_sd, how.travel_log_sd)) - how.stop_log_s + how.stop_log_sd**2)  # more than any duration's
+    count = np.arange(n + 1)
     surely = -700.0  # log_longer is never below it
     # by the end of the last stop, plus 1; 0 is the beginning of the track
     score, first, before = np.full(n + 1, -np.inf), np.full(n + 1, -1), np.zeros(n + 1, int)
@@ -174,17 +175,26 @@ def decode_track(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, d: np.ndarray,
         stop = run_end(lat, lon, i, how)
         if long[i] >= stop:
             continue
-        came = score[on] + log_normal((t[i] - t[on - 1]) / SECOND, how.travel_log_s, how.travel_log_sd) if on[0] else np.concatenate([[score[0] + log_longer((t[i] - t[0]) / SECOND, how.travel_log_s, how.travel_log_sd)], score[on[1:]] + log_normal((t[i] - t[on[1:] - 1]) / SECOND, how.travel_log_s, how.travel_log_sd)])
-        k = int(np.argmax(came))
-        ends = np.arange(long[i], stop)
-        away = (sq[ends + 1] - sq[i]) - 2 * (x[i] * (sx[ends + 1] - sx[i]) + y[i] * (sy[ends + 1] - sy[i])) + (ends + 1 - i) * (x[i] ** 2 + y[i] ** 2)
-        stand = exact[ends + 1] - exact[i] - away / (2 * how.noise_m**2)
-        total = came[k] - how.enter_cost + stand + log_normal((t[ends] - t[i]) / SECOND, how.stop_log_s, how.stop_log_sd) - how.leave_cost * (ends < stop - 1)
-        score[on] -= how.skip_cost  # what travels on has passed a start
-        sure = total.max() + surely
-        score[on[score[on] + gain[n] - gain[i] + density < sure]] = -np.inf
-        better = ends[(total > score[ends + 1]) & (total + gain[n] - gain[ends + 1] + density >= sure)]
-        score[better + 1], first[better + 1], before[better + 1] = total[better - long[i]], i, on[k]
+        last = on[1:] if on[0] == 0 else on
+        came = score[last] + log_normal((t[i] - t[last - 1]) / SECOND, how.travel_log_s, how.travel_log_sd)
+        k = int(np.argmax(came)) if len(last) else -1
+        best, via = (float(came[k]), int(last[k])) if k >= 0 else (-math.inf, 0)
+        if on[0] == 0 and (from_start := float(score[0]) + log_longer((t[i] - t[0]) / SECOND, how.travel_log_s, how.travel_log_sd)) >= best:
+            best, via = from_start, 0
+        # the ends that i admits lie together: long[i] .. stop - 1
+        e0 = int(long[i])
+        ends, nexts = slice(e0, stop), slice(e0 + 1, stop + 1)
+        away = (sq[nexts] - sq[i]) - 2 * (x[i] * (sx[nexts] - sx[i]) + y[i] * (sy[nexts] - sy[i])) + count[e0 - i + 1 : stop - i + 1] * (x[i] ** 2 + y[i] ** 2)
+        total = exact[nexts] - away / (2 * how.noise_m**2) + log_normal((t[ends] - t[i]) / SECOND, how.stop_log_s, how.stop_log_sd) + (best - how.enter_cost - exact[i])
+        if how.leave_cost:
+            total[:-1] -= how.leave_cost
+        if how.skip_cost:
+            score[on] -= how.skip_cost  # what travels on has passed a start
+        sure = float(total.max()) + surely
+        score[on[score[on] + (gain[n] - gain[i] + density) < sure]] = -np.inf
+        better = np.flatnonzero((total > score[nexts]) & (total + (gain[n] + density) - gain[nexts] >= sure))
+        at = better + (e0 + 1)
+        score[at], first[at], before[at] = total[better], i, via
         while lo < n and score[lo] == -np.inf:
             lo += 1
     left = np.flatnonzero(score > -np.inf)
