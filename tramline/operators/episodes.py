@@ -27,13 +27,17 @@ def accepted(records: DataFrame) -> DataFrame:
 
 
 def segmented(taken: DataFrame) -> DataFrame:
-    """taken with alert, opens, episode (number within its group; for a record that clears, the one it closes) and the running worst."""
-    # every step reads its rows twice, so each is written before the next
-    group = ["headwayGroup"]
-    a = keep(before(keep(taken.withColumn("alert", alertable("status"))), group, ORDER, lag_of={"_was": F.col("alert")}))
+    """taken with alert, opens, clears, episode, the running worst and the worst status before.
+
+    An episode is told by the last record before it that is no alert: its recordId, -1 if there is none. The record that clears an episode
+    has the same.
+    """
+    calm = F.when(~F.col("alert"), F.struct(*ORDER))
+    # written before and after, since every fold reads its rows twice
+    a = keep(taken.withColumn("alert", alertable("status")))
+    a = keep(before(a, ["headwayGroup"], ORDER, lag_of={"_was": F.col("alert")}, max_of={"_calm": calm}))
     was = F.coalesce("_was", F.lit(False))
-    e = a.withColumns({"opens": F.col("alert") & ~was, "clears": ~F.col("alert") & was, "_sev": severity("status")}).drop("_was")
-    e = keep(before(e, group, ORDER, sum_of={"episode": F.col("opens").cast("int")}))
+    e = a.withColumns({"opens": F.col("alert") & ~was, "clears": ~F.col("alert") & was, "_sev": severity("status"), "episode": F.coalesce(F.col("_calm.recordId"), F.lit(-1))}).drop("_was", "_calm")
     keys = ["headwayGroup", "episode", "alert"]
     firsts = e.groupBy(*keys, "_sev").agg(F.min(F.struct(*ORDER)).alias("_first"))
     e = e.join(firsts, [*keys, "_sev"])
