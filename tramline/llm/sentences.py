@@ -67,7 +67,7 @@ _O, _C = re.escape(_OPEN + _OPENED), re.escape(_CLOSE + _CLOSED)
 _CLUSTER = "[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f]|[\u0e01-\u0e30\u0e32\u0e33\u0e40-\u0e46\u0e50-\u0e59][\u0e31\u0e34-\u0e3a\u0e47-\u0e4e]*"
 _LETTER = f"[^{_BLANK}{_SIGNS}\u0e01-\u0e5b\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f]"
 #: (openers, word, signs behind it, blank): a text is nothing but these, one after the other.
-_TOKEN = re.compile(f"([{_O}¿¡]*)({_CLUSTER}|{_LETTER}+(?:[-'’]{_LETTER}+)*)?((?:(?![{_O}¿¡])[{_SIGNS}\u0e31\u0e34-\u0e3a\u0e47-\u0e5b])*(?: [!?]+)?)([{_BLANK}]*)")
+_TOKEN = re.compile(f"([{_O}¿¡]*)({_CLUSTER}|{_LETTER}+(?:[-'’]{_LETTER}+)*)?((?:(?![{_O}¿¡])[{_SIGNS}\u0e31\u0e34-\u0e3a\u0e47-\u0e5b])*(?:[{_BLANK}]{{1,3}}[!?]+)?)([{_BLANK}]*)")
 _DIGITS = re.compile(r"\d+")
 _AT = re.compile("@|://")
 _EDGE = re.compile(f"[{_BLANK}{_O}\u0e01-\u0e5b\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f]")
@@ -125,7 +125,7 @@ class Words(dict):
 
 
 class Tails(dict):
-    """(hash, kind, opens and closes) of the signs behind a word, remembered."""
+    """(hash, whether one is an ideographic sign, how many close, kind) of the signs behind a word, remembered."""
 
     def __missing__(self, tail: str) -> int:
         if len(self) > 100_000:
@@ -147,7 +147,7 @@ class Tails(dict):
         else:
             kind = DASH if bare[-1] in _DASH else OTHER
         closes = sum(c in _CLOSE + _CLOSED for c in tail)
-        got = self[tail] = (zlib.crc32(tail.encode("utf-8", "surrogatepass")) << 8) | (min(closes, 7) << 4) | kind
+        got = self[tail] = (zlib.crc32(tail.encode("utf-8", "surrogatepass")) << 8) | (any("\u3000" <= c <= "\u303f" or "\uff00" <= c <= "\uff65" for c in tail) << 7) | (min(closes, 7) << 4) | kind
         return got
 
 
@@ -343,7 +343,8 @@ class Text:
         # what is certain: 1 an event, 0 none, -1 hidden
         self.sure = np.where(last, 1, np.where((bits & HELD) > 0, 0, np.where(dots, np.where(goes_on, 0, 1), -1))).astype(np.int8)
         shape = kind * 2 + blank
-        self.script = np.where(form == THAI, 1, np.where(form == IDEOGRAPH, 2, np.where(form == PLAIN, 3, 0)))
+        # digits are of the script of their signs, if those have one
+        self.script = np.where((form == DIGIT) & (tail >> 7 & 1 > 0), 2, np.where(form == THAI, 1, np.where(form == IDEOGRAPH, 2, np.where(form == PLAIN, 3, 0))))
         # behind a sign a blank may be missing; where there is none it is all there is to see
         sign = kind * 2 + (blank & (kind == BARE))
         self.seed = self.script * 64 + sign
