@@ -393,6 +393,8 @@ def counts_of(x: Text, p: np.ndarray | None) -> dict[str, np.ndarray]:
     return w
 
 
+#: Words that are looked at together, which bounds what a task holds unless one text has more.
+PIECE_WORDS = 200_000
 KAPPA = 4.0
 SURE = 0.98
 ANCHOR = 20.0
@@ -531,16 +533,32 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow batches (doc_id, start, own) to a row per text with its words; at is where the first begins in the whole text."""
     for batch in batches:
         s, rows = Scanned(), []
-        for doc, start, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "own")), strict=True):
+        for doc, start, own in zip(batch.column("doc_id").to_pylist(), batch.column("start").to_pylist(), batch.column("own"), strict=True):
+            own = own.as_py()
             if own and not own.isspace():
                 first, n = s.add(own)
                 if n:
                     rows.append((doc, start + first, n))
+            if len(s.word) > PIECE_WORDS:
+                yield _scanned(s, rows)
+                s, rows = Scanned(), []
         if rows:
-            doc, at, n = zip(*rows, strict=True)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(getattr(s, c), _ARROW[t])) for c, t in LISTS.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int32()), *lists], schema=SCAN)
+            yield _scanned(s, rows)
+
+
+def _scanned(s: Scanned, rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    doc, at, n = zip(*rows, strict=True)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(getattr(s, c), _ARROW[t])) for c, t in LISTS.items()]
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int32()), *lists], schema=SCAN)
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of scanned batches in pieces of about PIECE_WORDS words; a text is never cut."""
+    for b in batches:
+        at = np.cumsum(b.column("n").to_numpy()) // PIECE_WORDS
+        edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), b.num_rows]
+        yield from (b.slice(x, y - x) for x, y in zip(edges[:-1], edges[1:], strict=True) if y > x)
 
 
 def text_of(b: pa.RecordBatch) -> Text:
@@ -553,7 +571,7 @@ def count(model: Model | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in pieces(batches):
             if b.num_rows:
                 x = text_of(b)
                 for k, v in counts_of(x, model and model.first_guess(x)).items():
@@ -610,7 +628,7 @@ UNITS = pa.schema([("doc_id", pa.int64()), ("start_char", pa.int64()), ("end_cha
 def split(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(pickle.loads(shared.value))
-        for b in batches:
+        for b in pieces(batches):
             if b.num_rows:
                 row, x, y = units_of(b, model)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(x), pa.array(y)], schema=UNITS)
