@@ -501,7 +501,16 @@ def accepted_records(spark: SparkSession, d: str) -> DataFrame:
     return episodes.accepted(RH(spark, d)).select("recordId")
 
 
-@query("st_4")
+_CHANGES = f"""WITH {EPISODES_CTE},
+  firsts AS (SELECT *, row_number() OVER (PARTITION BY headwayGroup, ep, sev ORDER BY emittedAt, recordId) = 1 AS first_ FROM seg WHERE alert),
+  so_far AS (SELECT *, max(struct_pack(a := sev, b := coalesce(abs(headwayRatio - 1), CASE WHEN first_ THEN 'Infinity'::DOUBLE ELSE -1 END), c := -epoch_us(emittedAt), d := -recordId, s := status))
+      OVER (PARTITION BY headwayGroup, ep ORDER BY emittedAt, recordId ROWS UNBOUNDED PRECEDING) AS worst FROM firsts),
+  told AS (SELECT recordId, worst.s AS now_, lag(worst.s) OVER (PARTITION BY headwayGroup, ep ORDER BY emittedAt, recordId) AS before_ FROM so_far)
+  SELECT seg.recordId, headwayGroup, windowEnd, CASE WHEN alert AND NOT was THEN 'OPENED' WHEN alert AND now_ <> before_ THEN 'ESCALATED' WHEN alert THEN 'CONTINUED' WHEN was THEN 'CLEARED' ELSE 'NONE' END AS change
+  FROM seg LEFT JOIN told ON told.recordId = seg.recordId"""
+
+
+@query("st_4", _CHANGES)
 def episode_changes(spark: SparkSession, d: str) -> DataFrame:
     """What every accepted record did to its group's episode; tests hold it against the stream's fold."""
     return episodes.changes(RH(spark, d))
