@@ -45,7 +45,7 @@ class Rules:
     least_readings: int = 30
     stuck: int = 8
     risk: float = 1e-4
-    proposal_risk: float = 5e-3
+    proposal_risk: float = 2e-2
     shape_weight: float = 100.0  # peaks that a src's common shape counts for beside a source's own
     most_excess: float = 1.5  # spreads; a median excess above it is spikes rather than a tail
 
@@ -200,7 +200,8 @@ def anomalies(readings: DataFrame, rules: Rules = Rules(), confirm: bool = True)
     judged = rows.withColumns({"hour": hour_of_day(), "impossible": impossible()}).join(small_side(limits, MAX_SOURCES), KEYS, "left")
     far = residual() > F.col("cutoff")
     if confirm:
-        far = far & (F.col("x") > F.col("m") + rules.far_spreads * F.col("d"))
+        # a source that mostly shows one value (D is 0) has no spread to fit a tail in: all its readings are proposed
+        far = (far | (F.col("d") == 0)) & (F.col("x") > F.col("m") + rules.far_spreads * F.col("d"))
     flags = judged.select("src", "record_id", "impossible", F.coalesce(~F.col("impossible") & far, F.lit(False)).alias("far"), F.lit(False).alias("stuck")).filter("impossible or far")
     no = F.lit(False)
     both = flags.unionByName(stuck_rows(rows, rules).select("src", "record_id", no.alias("impossible"), no.alias("far"), F.lit(True).alias("stuck")))
